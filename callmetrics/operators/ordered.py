@@ -13,6 +13,7 @@ Group columns must not be null: the offsets are joined on them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -24,13 +25,17 @@ from callmetrics.session import parallelism
 CELL = "__cell"
 
 
-def split_points(df: DataFrame, key: str, ranges: int) -> list[float]:
-    """Approximate quantiles of a numeric key; fewer than ``ranges`` numbers."""
+def _quantile_points(df: DataFrame, key: str, ranges: int) -> list[float]:
     if ranges < 2:
         return []
     probabilities = [i / ranges for i in range(1, ranges)]
     row = df.agg(F.percentile_approx(F.col(key).cast("double"), probabilities, 10_000)).first()
-    return sorted(set(row[0] or []))
+    return sorted(row[0] or [])
+
+
+def split_points(df: DataFrame, key: str, ranges: int) -> list[float]:
+    """Approximate quantiles of a numeric key; fewer than ``ranges`` numbers."""
+    return sorted(set(_quantile_points(df, key, ranges)))
 
 
 def uniform_points(low: float, high: float, ranges: int) -> list[float]:
@@ -38,23 +43,48 @@ def uniform_points(low: float, high: float, ranges: int) -> list[float]:
     return [low + (high - low) * i / ranges for i in range(1, ranges)]
 
 
-def with_cell(df: DataFrame, key: str, points: Sequence[float] | None = None) -> DataFrame:
-    """Add the range number of ``key``. The cast to double keeps the order."""
-    if points is None:
-        points = split_points(df, key, parallelism(df.sparkSession))
+def _range_number(df: DataFrame, key: str, points: Sequence[float], name: str) -> DataFrame:
     inf = float("inf")
-    numeric = df.withColumn("__key", F.col(key).cast("double"))
     cutter = Bucketizer(
         splits=[-inf, *points, inf] if points else [-inf, 0.0, inf],
         inputCol="__key", outputCol="__range", handleInvalid="keep",
     )
+    numeric = df.withColumn("__key", F.col(key).cast("double"))
     return (
         cutter.transform(numeric)
-        .withColumn(CELL, F.col("__range").cast("int"))
+        .withColumn(name, F.col("__range").cast("bigint"))
         .drop("__key", "__range")
     )
 
 
+def with_cell(
+    df: DataFrame, key: str, points: Sequence[float] | None = None, tie: str | None = None
+) -> DataFrame:
+    """Add the range number of ``key``. The cast to double keeps the order.
+
+    A key value so frequent that it fills more than one range gets a range of
+    its own, which is cut further by the numeric tie column, if there is one.
+    The tie column must then be the second order column."""
+    ranges = parallelism(df.sparkSession)
+    heavy: list[float] = []
+    if points is None:
+        found = _quantile_points(df, key, ranges)
+        points = sorted(set(found))
+        if tie is not None:
+            heavy = [p for p in points if found.count(p) > 1]
+            points = sorted({*points, *[math.nextafter(p, math.inf) for p in heavy]})
+    cells = _range_number(df, key, points, CELL)
+    if not heavy:
+        return cells
+    crowded = F.col(key).cast("double").isin(heavy)
+    tie_points = split_points(df.where(crowded), tie, ranges)
+    return (
+        _range_number(cells, tie, tie_points, "__sub")
+        .withColumn(CELL, F.col(CELL) * 1_000_000 + F.when(crowded, F.col("__sub")).otherwise(0))
+        .drop("__sub")
+    )
+
+
 def _group_window(groups: Sequence[str]):
     # Over cell totals only: at most one row per range and group.
     return Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
@@ -68,6 +98,7 @@ def prefix_sums(
     order: Sequence[Column | str] | None = None,
     points: Sequence[float] | None = None,
     totals: dict[str, str] | None = None,
+    tie: str | None = None,
 ) -> DataFrame:
     """Add, per output name in ``sums``, the sum of its column over all rows of
     the group that come strictly before the row. ``order`` (default: the key)
@@ -75,7 +106,7 @@ def prefix_sums(
     read from the same cell totals."""
     totals = totals or {}
     groups = list(groups)
-    cells = with_cell(df, key, points)
+    cells = with_cell(df, key, points, tie)
     per_cell = cells.groupBy(*groups, CELL).agg(
         *[F.sum(column).alias(f"__t_{name}") for name, column in {**sums, **totals}.items()]
     )
@@ -105,10 +136,13 @@ def ranked(
     order: Sequence[Column | str] | None = None,
     name: str = "rank",
     points: Sequence[float] | None = None,
+    tie: str | None = None,
+    size: str | None = None,
 ) -> DataFrame:
-    """Zero-based position of each row in its group."""
+    """Zero-based position of each row in its group, and on request its size."""
     one = df.withColumn("__one", F.lit(1).cast("bigint"))
-    return prefix_sums(one, key, {name: "__one"}, groups, order, points).drop("__one")
+    totals = {size: "__one"} if size else None
+    return prefix_sums(one, key, {name: "__one"}, groups, order, points, totals, tie).drop("__one")
 
 
 def lagged(
@@ -118,10 +152,11 @@ def lagged(
     groups: Sequence[str] = (),
     order: Sequence[Column | str] | None = None,
     points: Sequence[float] | None = None,
+    tie: str | None = None,
 ) -> DataFrame:
     """Add the previous row's values: ``columns`` maps output name to column."""
     groups, order = list(groups), list(order or [key])
-    cells = with_cell(df, key, points)
+    cells = with_cell(df, key, points, tie)
     last = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
     ends = cells.groupBy(*groups, CELL).agg(
         F.max_by(F.struct(*[F.col(c).alias(n) for n, c in columns.items()]), last).alias("__end")

@@ -91,7 +91,7 @@ def call_plan(instances: DataFrame, samples: int, base_seed: int, order_key: Col
     return placed.select(
         "instance_id", "level_idx", "level_value",
         (F.lit(base_seed) + F.col("level_idx") * 100_000 + F.col("ordinal")).alias("seed"),
-        F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).cast("bigint").alias("sample_idx"),
+        F.explode(F.expr(f"sequence(0L, {samples - 1}L)")).alias("sample_idx"),
     )
 
 

@@ -23,14 +23,14 @@ def write_log(spark, d):
         "version", days.cast("bigint") * 10_000_000_000 + F.col("l_partkey")
     )
     placed = ranked(
-        log, "version", order=["version", "instance_id", "sample_idx", "l_suppkey", "l_quantity", "l_extendedprice"],
-        name="write_no",
+        log, "version", order=["version", "l_suppkey", "instance_id", "sample_idx", "l_quantity", "l_extendedprice"],
+        name="write_no", tie="l_suppkey",
     )
     return placed.withColumn("call_id", F.col("write_no") + 1)
 
 
 WRITES_SQL = T.UPSERT_SQL + """,
-writes AS (SELECT *, row_number() OVER (ORDER BY l_shipdate, l_partkey, instance_id, sample_idx, l_suppkey, l_quantity, l_extendedprice) AS call_id
+writes AS (SELECT *, row_number() OVER (ORDER BY l_shipdate, l_partkey, l_suppkey, instance_id, sample_idx, l_quantity, l_extendedprice) AS call_id
   FROM upsert_log)"""
 
 

@@ -179,7 +179,7 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = raw_stream_events(spark, sf_dir)
     first = raw.groupBy("call_id").agg(F.min("at_us").alias("start_us"))
     numbered = ranked(
-        raw, "at_us", ["call_id"], order=["at_us", "event_id"], name="seq"
+        raw, "at_us", ["call_id"], order=["at_us", "event_id"], name="seq", tie="event_id"
     )
     return numbered.join(first, "call_id").select(
         "call_id", "seq", ((F.col("at_us") - F.col("start_us")) / F.lit(1000.0)).alias("elapsed_ms"),
