@@ -220,3 +220,29 @@ def quantiles(
             for p in probabilities
         ],
     )
+
+
+def first_k(
+    df: DataFrame,
+    key: str,
+    k: Column,
+    groups: Sequence[str] = (),
+    order: Sequence[Column | str] | None = None,
+    points: Sequence[float] | None = None,
+) -> DataFrame:
+    """The k first rows of each group; ``k`` may use the group's ``size``.
+    Ranges that begin at or after k are dropped before anything is shuffled for
+    ordering, so the cost follows k and not the group."""
+    groups = list(groups)
+    cells = with_cell(df, key, points)
+    sizes = cells.groupBy(*groups, CELL).agg(F.count(F.lit(1)).alias("__n"))
+    before = _group_window(groups).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        *groups, CELL, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"),
+        F.sum("__n").over(_group_window(groups)).alias("size"),
+    ).where(F.col("__o") < k)
+    inside = Window.partitionBy(*groups, CELL).orderBy(*(order or [key]))
+    placed = cells.join(offsets, [*groups, CELL]).withColumn(
+        "rank", F.col("__o") + F.row_number().over(inside) - 1
+    )
+    return placed.where(F.col("rank") < k).drop(CELL, "__o")

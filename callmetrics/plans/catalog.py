@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from callmetrics.plans import metric_queries, status_queries, store_queries  # noqa: F401
+from callmetrics.plans import curve_queries, metric_queries, status_queries, store_queries  # noqa: F401
 from callmetrics.plans.registry import CHECKS, QUERIES  # noqa: F401

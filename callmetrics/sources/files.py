@@ -22,12 +22,12 @@ def load_frozen(spark: SparkSession, path: str) -> dict:
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Log lines with their file and their position in it. The position comes
-    from the byte-ordered line id of the whole-file read order, so it only
-    orders lines within one file."""
-    return (
-        spark.read.text(path)
-        .select(F.input_file_name().alias("log"), F.monotonically_increasing_id().alias("line_no"), "value")
+    """Log lines with their file and a number that orders the lines of a file:
+    the block they were read from, then their place in the task."""
+    block = F.shiftleft(F.shiftright(F.col("_metadata.file_block_start"), 20), 34)
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("log"), (block + place).alias("line_no"), "value"
     )
 
 
