@@ -252,6 +252,7 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast(100 + n_chars % 977 AS double) * 100.0D AS latency_ms",
         "cast(floor(n_chars / 3.0D) + doc_id % 50 + 1 AS bigint) AS completion_tokens",
         "(20 + 2 * (doc_id % 5)) / 10.0D AS level_value",
+        "concat(lang, ' the answer is ', source) AS response_text",
         "n_chars", "text AS reasoning_text",
     )
 
@@ -263,7 +264,8 @@ TRACES_SQL = """traces AS (
       WHEN 3 THEN 'fail_truncated' ELSE 'pass' END AS outcome,
     CAST(100 + n_chars % 977 AS DOUBLE) * 100.0 AS latency_ms,
     CAST(floor(CAST(n_chars AS DOUBLE) / 3.0) AS BIGINT) + doc_id % 50 + 1 AS completion_tokens,
-    CAST(20 + 2 * (doc_id % 5) AS DOUBLE) / 10.0 AS level_value, n_chars, text AS reasoning_text
+    CAST(20 + 2 * (doc_id % 5) AS DOUBLE) / 10.0 AS level_value,
+    lang || ' the answer is ' || source AS response_text, n_chars, text AS reasoning_text
   FROM documents)"""
 
 
