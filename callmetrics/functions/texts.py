@@ -27,6 +27,12 @@ TAIL, HEDGE_TAIL, LAST = 0.3, 0.15, 0.1
 LONG_SHINGLE, SHINGLE = 6, 4
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once. Inside a lambda a column
+    is otherwise computed again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def words(text: Column) -> Column:
     """Lower-case words; a question mark is a word of its own."""
     spaced = F.translate(F.lower(F.coalesce(text, F.lit(""))), PUNCTUATION, " " * len(PUNCTUATION))
@@ -49,17 +55,25 @@ def density(array: Column, markers: Sequence[str]) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(hits(array, markers) * 1000.0 / n)
 
 
-def shingles(array: Column, k: int) -> Column:
-    n = F.size(array)
+def between(array: Column, first: Column, count: Column | int) -> Column:
+    """``count`` elements from the one-based ``first`` on, read by position:
+    inside a lambda a slice would copy the whole array every time."""
+    last = first + count - 1
     return F.when(
-        n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(array, i, k), " "))
-    ).otherwise(F.array().cast("array<string>"))
+        last >= first, F.transform(F.sequence(first, F.greatest(last, first)), lambda i: F.element_at(array, i))
+    ).otherwise(F.slice(array, 1, 0))
+
+
+def shingles(array: Column, k: int) -> Column:
+    """Every run of k words, as one text each."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(array) - k + 1, F.lit(1)))
+    run = lambda i: F.concat_ws(" ", *[F.element_at(array, i + j) for j in range(k)])
+    return F.when(F.size(array) >= k, F.transform(starts, run)).otherwise(F.array().cast("array<string>"))
 
 
 def repeats(array: Column, k: int = SHINGLE) -> Column:
     """Shingles that have occurred before in the array."""
-    made = shingles(array, k)
-    return F.size(made) - F.size(F.array_distinct(made))
+    return let(shingles(array, k), lambda made: F.size(made) - F.size(F.array_distinct(made)))
 
 
 def repetition(array: Column, k: int) -> Column:
@@ -92,6 +106,12 @@ REPEAT_POINTS = 1
 
 
 def rolling_scores(w: Column, lexicon: Mapping[str, Sequence[str]], chunk_words: int = CHUNK_WORDS) -> Column:
+    """Scores of a trace's words, which are bound first: a filter on the result
+    may be moved below the projection that made them."""
+    return let(w, lambda bound: _rolling_scores(bound, lexicon, chunk_words))
+
+
+def _rolling_scores(w: Column, lexicon: Mapping[str, Sequence[str]], chunk_words: int) -> Column:
     """Score after every full chunk, over the last 320 words: marker points of
     the window's chunks plus its repeated shingles."""
     span = WINDOW_WORDS // chunk_words
@@ -103,20 +123,26 @@ def rolling_scores(w: Column, lexicon: Mapping[str, Sequence[str]], chunk_words:
             value = value + F.when(word.isin(*lexicon[family]), worth).otherwise(0)
         return value
 
-    def chunk_points(j: Column) -> Column:
-        part = F.slice(w, j * chunk_words + 1, F.lit(chunk_words))
-        return F.aggregate(part, F.lit(0), lambda total, word: total + points(word))
-
-    every = F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)))
-    sums = F.transform(every, chunk_points)
-
-    def score(j: Column) -> Column:
-        first = F.greatest(j - (span - 1), F.lit(0))
-        marked = F.aggregate(F.slice(sums, first + 1, j - first + 1), F.lit(0), lambda total, v: total + v)
-        window = F.slice(w, first * chunk_words + 1, (j - first + 1) * chunk_words)
-        return (marked + REPEAT_POINTS * repeats(window)).cast("bigint")
-
-    return F.when(count > 0, F.transform(every, score)).otherwise(F.array().cast("array<bigint>"))
+    def scores(made: Column, marked: Column) -> Column:
+        """``made``: all shingles of the trace, ``marked``: points of its words."""
+        def chunk_sum(j: Column) -> Column:
+            positions = F.sequence(j * chunk_words + 1, (j + 1) * chunk_words)
+            return F.aggregate(positions, F.lit(0), lambda total, i: total + F.element_at(marked, i))
+
+        def score(sums: Column, j: Column) -> Column:
+            first = F.greatest(j - (span - 1), F.lit(0))
+            in_window = F.aggregate(
+                F.sequence(first + 1, j + 1), F.lit(0), lambda total, i: total + F.element_at(sums, i)
+            )
+            held = (j - first + 1) * chunk_words - (SHINGLE - 1)
+            repeated = held - F.size(F.array_distinct(between(made, first * chunk_words + 1, held)))
+            return (in_window + REPEAT_POINTS * repeated).cast("bigint")
+
+        every = F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)))
+        return let(F.transform(every, chunk_sum), lambda sums: F.transform(every, lambda j: score(sums, j)))
+
+    every_score = let(shingles(w, SHINGLE), lambda made: let(F.transform(w, points), lambda marked: scores(made, marked)))
+    return F.when(count > 0, every_score).otherwise(F.array().cast("array<bigint>"))
 
 
 def trigger_chunk(scores: Column, chunk_words: int = CHUNK_WORDS, threshold: float = THRESHOLD) -> Column:

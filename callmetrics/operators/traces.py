@@ -11,18 +11,25 @@ from callmetrics.functions import outcomes as O
 from callmetrics.functions import texts as X
 from callmetrics.operators import metrics as M
 from callmetrics.operators.ordered import prefix_sums, quantiles
-from callmetrics.session import materialize
+from callmetrics.session import materialize, parallelism
 
 # Fixed value: characters per billed token in the delivered-share estimate.
 CHARS_PER_TOKEN = 3.7
 
 
+def spread(traces: DataFrame) -> DataFrame:
+    """Text work is bound by processors: a table stored in fewer pieces than
+    there are shuffle partitions is spread by call id first."""
+    wanted = parallelism(traces.sparkSession)
+    return traces.repartition(wanted, "call_id") if traces.rdd.getNumPartitions() < wanted else traces
+
+
 def worded(traces: DataFrame, keep: Sequence[str]) -> DataFrame:
-    return traces.select(*keep, X.words(F.col("reasoning_text")).alias("w"))
+    return spread(traces.select(*keep, "reasoning_text")).select(*keep, X.words(F.col("reasoning_text")).alias("w"))
 
 
 def trace_features(traces: DataFrame, lexicon: Mapping[str, Sequence[str]], keep: Sequence[str]) -> DataFrame:
-    prepared = traces.select(
+    prepared = spread(traces.select(*keep, "reasoning_text", "response_text")).select(
         *keep, X.words(F.col("reasoning_text")).alias("w"), X.words(F.col("response_text")).alias("answer")
     ).select("*", X.last_share(F.col("w"), X.TAIL).alias("tail"))
     features = X.trace_features(F.col("w"), F.col("tail"), F.col("answer"), lexicon)
@@ -45,7 +52,10 @@ def texture_levels(features: DataFrame, keys: Sequence[str], names: Sequence[str
 
 def risk_scores(traces: DataFrame, lexicon: Mapping[str, Sequence[str]], chunk_words: int = X.CHUNK_WORDS) -> DataFrame:
     scored = worded(traces, ["call_id"]).select("call_id", X.rolling_scores(F.col("w"), lexicon, chunk_words).alias("scores"))
-    return scored.select("call_id", F.posexplode("scores").alias("chunk", "score")).select(
+    # The outer form infers no filter on the array, which would score twice.
+    return scored.select("call_id", F.posexplode_outer("scores").alias("chunk", "score")).where(
+        F.col("chunk").isNotNull()
+    ).select(
         "call_id", F.col("chunk").cast("bigint").alias("chunk"),
         ((F.col("chunk") + 1) * chunk_words).cast("bigint").alias("words_seen"), "score",
     )
