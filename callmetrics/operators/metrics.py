@@ -51,11 +51,15 @@ def score_histogram(rows: DataFrame, score: str, keys: Sequence[str]) -> DataFra
 
 
 def auc(rows: DataFrame, keys: Sequence[str] = (), score: str = "prediction") -> DataFrame:
-    """Share of (positive, negative) pairs in the right order, ties one half.
-    No pair is formed: each distinct score meets the count of lower negatives."""
+    """Share of (positive, negative) pairs in the right order, ties one half."""
+    return histogram_auc(score_histogram(rows.where(F.col(score).isNotNull()), score, list(keys)), keys)
+
+
+def histogram_auc(histogram: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The same from ``(keys, score, pos, neg)``. No pair is formed: each
+    distinct score meets the count of lower negatives."""
     keys = list(keys)
-    valid = rows.where(F.col(score).isNotNull())
-    running = prefix_sums(score_histogram(valid, score, keys), "score", {"below": "neg"}, keys)
+    running = prefix_sums(histogram, "score", {"below": "neg"}, keys)
     exact = "decimal(38,0)"
     wins = F.col("pos").cast("decimal(18,0)") * (2 * F.col("below") + F.col("neg")).cast("decimal(19,0)")
     sums = running.groupBy(*keys).agg(

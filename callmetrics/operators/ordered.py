@@ -229,17 +229,21 @@ def first_k(
     groups: Sequence[str] = (),
     order: Sequence[Column | str] | None = None,
     points: Sequence[float] | None = None,
+    quota: str | None = None,
 ) -> DataFrame:
-    """The k first rows of each group; ``k`` may use the group's ``size``.
+    """The k first rows of each group; ``k`` may use the group's ``size`` and,
+    given a 0/1 column ``quota``, its sum over the group as ``quota``.
     Ranges that begin at or after k are dropped before anything is shuffled for
     ordering, so the cost follows k and not the group."""
     groups = list(groups)
     cells = with_cell(df, key, points)
-    sizes = cells.groupBy(*groups, CELL).agg(F.count(F.lit(1)).alias("__n"))
+    marks = [F.sum(quota).alias("__q")] if quota else []
+    sizes = cells.groupBy(*groups, CELL).agg(F.count(F.lit(1)).alias("__n"), *marks)
     before = _group_window(groups).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         *groups, CELL, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"),
         F.sum("__n").over(_group_window(groups)).alias("size"),
+        *([F.sum("__q").over(_group_window(groups)).alias("quota")] if quota else []),
     ).where(F.col("__o") < k)
     inside = Window.partitionBy(*groups, CELL).orderBy(*(order or [key]))
     placed = cells.join(offsets, [*groups, CELL]).withColumn(
