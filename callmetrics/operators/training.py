@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import Imputer, SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callmetrics.functions.hashing import HASH_SPAN, uniform_long
+from callmetrics.functions.scoring import curve_probability
+from callmetrics.operators.curves import fit_curves
+from callmetrics.operators.ordered import ranked, uniform_points
+from callmetrics.session import materialize, parallelism
+
 
 def best_class(metrics: DataFrame, silent: DataFrame) -> DataFrame:
     """The score class with the highest skill and its retrospective gate."""
@@ -21,3 +33,66 @@ def best_class(metrics: DataFrame, silent: DataFrame) -> DataFrame:
     for c in conditions.values():
         passed = passed & c
     return row.select("model", "brier_skill", "auc", *[c.alias(n) for n, c in conditions.items()], passed.alias("pass"))
+
+
+def grouped_folds(instances: DataFrame, folds: int, seed: int) -> DataFrame:
+    """Fold per instance, dealt out inside each level in the order of a seeded
+    hash, so a level's instances are spread evenly and none is in two folds."""
+    keyed = instances.select("instance_id", "level_value").distinct().withColumn(
+        "__h", uniform_long(F.lit(seed), F.col("instance_id"))
+    )
+    points = uniform_points(0.0, HASH_SPAN, parallelism(instances.sparkSession))
+    placed = ranked(keyed, "__h", ["level_value"], ["__h", "instance_id"], "place", points)
+    return placed.select("instance_id", "level_value", (F.col("place") % folds).alias("fold"))
+
+
+def _pipeline(train: DataFrame, features: Sequence[str], strength: float) -> PipelineModel:
+    """Medians, indicators, scales and weights, all learned from ``train``."""
+    counts = train.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in features]).first()
+    gaps = [f for f in features if counts[f]]
+    filled = [f"{f}_filled" for f in features]
+    flags = [f"CASE WHEN {f} IS NULL THEN 1.0D ELSE 0.0D END AS {f}_absent" for f in gaps]
+    stages = [
+        SQLTransformer(statement=f"SELECT *{''.join(', ' + x for x in flags)} FROM __THIS__"),
+        Imputer(strategy="median", inputCols=list(features), outputCols=filled),
+        VectorAssembler(inputCols=[*filled, *[f"{f}_absent" for f in gaps]], outputCol="raw"),
+        StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
+        LogisticRegression(labelCol="label", regParam=strength, elasticNetParam=0.0, standardization=False, maxIter=50),
+    ]
+    return Pipeline(stages=stages).fit(train)
+
+
+def _scored(model: PipelineModel, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+    return model.transform(rows).select(*keep, vector_to_array("probability")[1].alias("prediction"))
+
+
+def out_of_fold(rows: DataFrame, features: Sequence[str], folds: int, keep: Sequence[str], strength: float = 0.01) -> DataFrame:
+    """``rows`` carry label, fold and features. Every row is scored by the model
+    that has not seen its fold; the loop is over folds, not over data."""
+    rows = materialize(rows)
+    out = None
+    for fold in range(folds):
+        model = _pipeline(rows.where(F.col("fold") != fold), features, strength)
+        part = _scored(model, rows.where(F.col("fold") == fold), keep)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def held_out_prior(rows: DataFrame, folds: int) -> DataFrame:
+    """Curve prior per fold and level, fitted without the fold's instances:
+    level counts of all folds less those of the fold."""
+    counts = rows.groupBy("fold", "level_value").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("k"))
+    others = counts.select("level_value", "n", "k", F.col("fold").alias("own")).select(
+        "level_value", "n", "k", "own", F.explode(F.expr(f"sequence(0L, {folds - 1}L)")).alias("fold")
+    ).where(F.col("fold") != F.col("own"))
+    cells = materialize(others.groupBy("fold", "level_value").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
+    fits = fit_curves(cells, ["fold"])
+    levels = rows.select("fold", "level_value").distinct()
+    return levels.join(fits, "fold").select(
+        "fold", "level_value", curve_probability(F.col("level_value"), F.col("b"), F.col("a"), F.col("lapse")).alias("curve_prior")
+    )
+
+
+def forward_holdout(train: DataFrame, test: DataFrame, features: Sequence[str], keep: Sequence[str], strength: float = 0.01) -> DataFrame:
+    """Train on one stage, score a later one."""
+    return _scored(_pipeline(materialize(train), features, strength), test, keep)
