@@ -57,7 +57,7 @@ def _pipeline(train: DataFrame, features: Sequence[str], strength: float) -> Pip
         Imputer(strategy="median", inputCols=list(features), outputCols=filled),
         VectorAssembler(inputCols=[*filled, *[f"{f}_absent" for f in gaps]], outputCol="raw"),
         StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
-        LogisticRegression(labelCol="label", regParam=strength, elasticNetParam=0.0, standardization=False, maxIter=50),
+        LogisticRegression(labelCol="label", regParam=strength, elasticNetParam=0.0, standardization=False, maxIter=20),
     ]
     return Pipeline(stages=stages).fit(train)
 

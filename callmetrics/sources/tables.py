@@ -244,7 +244,11 @@ completions AS (
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reasoning texts with the facts of their call; the text itself goes last
     so that narrow plans prune it."""
-    return table(spark, sf_dir, "documents").selectExpr(
+    return traces_from(table(spark, sf_dir, "documents"))
+
+
+def traces_from(documents: DataFrame) -> DataFrame:
+    return documents.selectExpr(
         "doc_id AS call_id", "source AS instance_id", "concat('model-', doc_id % 3) AS model_id",
         "concat('route-', doc_id % 2) AS route", "lang",
         "CASE doc_id % 5 WHEN 0 THEN 'fail_wrong' WHEN 1 THEN 'pass' WHEN 2 THEN 'pass' "
@@ -334,7 +338,11 @@ chunk_payloads AS (
 
 def upsert_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated writes of the same key, as a log of versions."""
-    return table(spark, sf_dir, "lineitem").selectExpr(
+    return upsert_log_from(table(spark, sf_dir, "lineitem"))
+
+
+def upsert_log_from(lineitem: DataFrame) -> DataFrame:
+    return lineitem.selectExpr(
         "cast(l_orderkey AS string) AS instance_id", "'model-0' AS model_id",
         "cast(l_linenumber AS bigint) AS sample_idx", "1L AS prompt_version", "'study' AS stage",
         "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
