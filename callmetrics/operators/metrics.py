@@ -45,14 +45,19 @@ def score_metrics(rows: DataFrame, keys: Sequence[str] = (), score: str = "predi
 
 
 def score_histogram(rows: DataFrame, score: str, keys: Sequence[str]) -> DataFrame:
-    return rows.groupBy(*keys, F.col(score).alias("score")).agg(
+    """Labels per distinct score. What follows reads it three times, so it is
+    stored once and the scores are not computed again."""
+    counted = rows.groupBy(*keys, F.col(score).alias("score")).agg(
         F.sum("label").cast("bigint").alias("pos"), F.sum(1 - F.col("label")).cast("bigint").alias("neg")
     )
+    # The missing score is dropped here: a filter before the grouping would be
+    # moved below the projection and compute every score a second time.
+    return materialize(counted).where(F.col("score").isNotNull())
 
 
 def auc(rows: DataFrame, keys: Sequence[str] = (), score: str = "prediction") -> DataFrame:
     """Share of (positive, negative) pairs in the right order, ties one half."""
-    return histogram_auc(score_histogram(rows.where(F.col(score).isNotNull()), score, list(keys)), keys)
+    return histogram_auc(score_histogram(rows, score, list(keys)), keys)
 
 
 def histogram_auc(histogram: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -77,7 +82,7 @@ def threshold_curve(rows: DataFrame, score: str = "prediction", keys: Sequence[s
     """Per distinct threshold, counts at or above it: the base of precision and
     recall, of TPR and FPR."""
     keys = list(keys)
-    histogram = score_histogram(rows.where(F.col(score).isNotNull()), score, keys)
+    histogram = score_histogram(rows, score, keys)
     running = prefix_sums(
         histogram, "score", {"pos_below": "pos", "neg_below": "neg"}, keys,
         totals={"positives": "pos", "negatives": "neg"},

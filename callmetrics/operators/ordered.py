@@ -20,7 +20,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callmetrics.session import parallelism
+from callmetrics.session import materialize, parallelism
 
 CELL = "__cell"
 
@@ -180,11 +180,7 @@ def lagged(
 
 def value_counts(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
     """Rows per distinct value; the reduction every ordered statistic starts from."""
-    return (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*groups, value)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
 
 
 def quantiles(
@@ -196,12 +192,11 @@ def quantiles(
     """Exact quantiles, linear between neighbours, without holding a group's
     values in one task: positions are read from running counts."""
     groups = list(groups)
-    present = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("v"))
-    points = split_points(present, "v", parallelism(df.sparkSession))
-    counts = value_counts(present, "v", groups)
-    placed = prefix_sums(
-        counts, "v", {"below": "n"}, groups, points=points, totals={"total": "n"}
-    )
+    values = df.select(*groups, F.col(value).cast("double").alias("v"))
+    # Stored once: the counts are read for the ranges, their totals and the
+    # ranks. Missing values are dropped after it, so no value is computed twice.
+    counts = materialize(value_counts(values, "v", groups)).where(F.col("v").isNotNull())
+    placed = prefix_sums(counts, "v", {"below": "n"}, groups, totals={"total": "n"})
     picks = []
     for name, p in probabilities.items():
         position = F.lit(p) * (F.col("total") - 1)

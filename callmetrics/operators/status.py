@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from callmetrics.functions import outcomes as O
 from callmetrics.operators.ordered import prefix_sums
+from callmetrics.session import materialize
 
 STUDY = ["stage", "model_id"]
 
@@ -220,16 +221,15 @@ def budget_replay(calls: DataFrame, reserve: int, cap: int | None, keys: Sequenc
     length ends one microsecond after its start."""
     keys = list(keys)
     calls = calls.withColumn("end_us", F.greatest("end_us", F.col("start_us") + 1))
-    starts = calls.groupBy(*keys, F.col("start_us").alias("at")).agg(
-        F.count(F.lit(1)).alias("begun"), F.lit(0).cast("bigint").alias("ended"), F.lit(0).cast("bigint").alias("settled")
-    )
-    ends = calls.groupBy(*keys, F.col("end_us").alias("at")).agg(
-        F.lit(0).cast("bigint").alias("begun"), F.count(F.lit(1)).alias("ended"),
-        F.sum("cost_microdollars").alias("settled"),
-    )
-    moments = starts.unionByName(ends).groupBy(*keys, "at").agg(
-        F.sum("begun").alias("begun"), F.sum("ended").alias("ended"), F.sum("settled").alias("settled")
+    none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    moment = lambda at, begun, ended, settled: F.struct(
+        F.col(at).alias("at"), begun.alias("begun"), ended.alias("ended"), settled.alias("settled")
     )
+    moments = calls.select(
+        *keys,
+        F.inline(F.array(moment("start_us", one, none, none), moment("end_us", none, one, F.col("cost_microdollars")))),
+    ).groupBy(*keys, "at").agg(*[F.sum(c).alias(c) for c in ("begun", "ended", "settled")])
+    moments = materialize(moments)
     line = prefix_sums(
         moments, "at", {"begun_before": "begun", "ended_before": "ended", "settled_before": "settled"}, keys
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from callmetrics.functions import envelope as E
 from callmetrics.functions import outcomes as O
 from callmetrics.operators.ordered import lagged, prefix_sums, quantiles, ranked
+from callmetrics.session import materialize
 
 
 def field_value(line: Column) -> Column:
@@ -56,13 +57,13 @@ def chunks(decoded_payloads: DataFrame) -> DataFrame:
     entry = lambda i, channel, size: F.struct(
         F.lit(i).alias("part"), F.lit(channel).alias("channel"), size.cast("bigint").alias("char_count")
     )
-    both = F.filter(
-        F.array(entry(0, "reasoning", reasoning), entry(1, "answer", answer)), lambda e: e["char_count"] > 0
-    )
-    events = decoded_payloads.where(p.isNotNull()).select(
-        "stream_id", "line_no", "elapsed_ms", F.inline(both)
+    both = F.array(entry(0, "reasoning", reasoning), entry(1, "answer", answer))
+    # A malformed payload has two empty deltas and so no chunk.
+    events = decoded_payloads.select("stream_id", "line_no", "elapsed_ms", F.inline(both)).where(
+        F.col("char_count") > 0
     ).withColumn("position", F.col("line_no") * 2 + F.col("part"))
-    return ranked(events, "position", ["stream_id"], name="seq").select(
+    # Narrow rows, stored so that numbering them does not parse again.
+    return ranked(materialize(events), "position", ["stream_id"], name="seq").select(
         "stream_id", "seq", "elapsed_ms", "channel", "char_count"
     )
 

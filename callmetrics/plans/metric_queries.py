@@ -10,7 +10,6 @@ from callmetrics.functions import outcomes as O
 from callmetrics.functions import scoring as X
 from callmetrics.operators import metrics as M
 from callmetrics.operators import status as S
-from callmetrics.operators.ordered import value_counts
 from callmetrics.plans import report as R
 from callmetrics.plans.registry import query
 from callmetrics.plans.status_queries import CLASS_SQL, COUNTS_SQL, IN_STUDY, study

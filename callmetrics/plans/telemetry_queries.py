@@ -36,6 +36,11 @@ chunk AS (SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY l
 CHUNK_CTES = (T.CHUNK_PAYLOADS_SQL, PARSED_SQL)
 
 
+def stored_events(spark, d):
+    """The numbered chunks as the table a collector would have stored."""
+    return materialize(T.stream_events(spark, d))
+
+
 def decoded(spark, d):
     return TM.decoded(T.chunk_payloads(spark, d))
 
@@ -104,14 +109,14 @@ GAPS_SQL = """gaps AS (SELECT call_id, seq, channel, elapsed_ms - lag(elapsed_ms
 
 @query("wn6_inter_chunk_gaps", ctes=(T.STREAM_EVENTS_SQL, GAPS_SQL), sql="SELECT call_id, seq, channel, gap_ms FROM gaps")
 def chunk_gaps(spark, d):
-    return TM.inter_chunk_gaps(T.stream_events(spark, d)).select("call_id", "seq", "channel", "gap_ms")
+    return TM.inter_chunk_gaps(stored_events(spark, d)).select("call_id", "seq", "channel", "gap_ms")
 
 
 @query("wn6_gap_quantiles", ctes=(T.STREAM_EVENTS_SQL, GAPS_SQL), sql="""
 SELECT channel, count(gap_ms) AS n, round(quantile_cont(gap_ms, 0.5), 6) AS p50, round(quantile_cont(gap_ms, 0.95), 6) AS p95,
   round(quantile_cont(gap_ms, 0.99), 6) AS p99 FROM gaps GROUP BY channel""")
 def _(spark, d):
-    gaps = materialize(TM.inter_chunk_gaps(T.stream_events(spark, d)).select("channel", "gap_ms"))
+    gaps = materialize(TM.inter_chunk_gaps(stored_events(spark, d)).select("channel", "gap_ms"))
     out = TM.gap_quantiles(gaps, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, ["channel"])
     return out.select("channel", "n", *[F.round(p, 6).alias(p) for p in ("p50", "p95", "p99")])
 
