@@ -126,14 +126,21 @@ def coverage(rows: DataFrame, coverages: Sequence[float], score: str = "predicti
     columns = ["call_id", "label", score] + ([cost] if cost else [])
     keyed = rows.select(*columns).withColumn("__down", -F.col(score))
     placed = ranked(keyed, "__down", order=["__down", "call_id"], name="rank", size="total", tie="call_id")
-    levels = placed.select(
-        "*", F.explode(F.array(*[F.lit(float(c)) for c in coverages])).alias("coverage")
-    ).where(F.col("rank") < F.ceil(F.col("coverage") * F.col("total")))
-    return levels.groupBy("coverage").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("label"), 6).alias("accuracy"),
-        F.round(F.avg(score), 6).alias("mean_confidence"),
-        *([F.sum(cost).alias("cost")] if cost else []),
+    taken = lambda c, value: F.when(F.col("rank") < F.ceil(F.lit(float(c)) * F.col("total")), value)
+    measures = {"n": F.lit(1), "accuracy": F.col("label"), "mean_confidence": F.col(score)}
+    if cost:
+        measures["cost"] = F.col(cost)
+    kinds = {"n": F.count, "cost": F.sum}
+    # All levels in one pass, then one row per level.
+    wide = placed.agg(*[
+        kinds.get(name, F.avg)(taken(c, value)).alias(f"{name}_{i}")
+        for i, c in enumerate(coverages) for name, value in measures.items()
+    ])
+    rows = ", ".join(
+        ", ".join([f"{float(c)}D", *[f"{name}_{i}" for name in measures]]) for i, c in enumerate(coverages)
     )
+    long = wide.selectExpr(f"stack({len(coverages)}, {rows}) AS (coverage, {', '.join(measures)})")
+    return long.withColumns({c: F.round(c, 6) for c in ("accuracy", "mean_confidence")})
 
 
 def cluster_sums(rows: DataFrame, cluster: str, keys: Sequence[str] = ()) -> DataFrame:

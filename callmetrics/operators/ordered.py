@@ -99,22 +99,25 @@ def prefix_sums(
     points: Sequence[float] | None = None,
     totals: dict[str, str] | None = None,
     tie: str | None = None,
+    minima: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add, per output name in ``sums``, the sum of its column over all rows of
     the group that come strictly before the row. ``order`` (default: the key)
-    must be total and begin with the key. ``totals`` adds whole-group sums,
-    read from the same cell totals."""
-    totals = totals or {}
+    must be total and begin with the key. ``totals`` and ``minima`` add
+    whole-group sums and minima, read from the same cell totals."""
+    totals, minima = totals or {}, minima or {}
     groups = list(groups)
     cells = with_cell(df, key, points, tie)
     per_cell = cells.groupBy(*groups, CELL).agg(
-        *[F.sum(column).alias(f"__t_{name}") for name, column in {**sums, **totals}.items()]
+        *[F.sum(column).alias(f"__t_{name}") for name, column in {**sums, **totals}.items()],
+        *[F.min(column).alias(f"__t_{name}") for name, column in minima.items()],
     )
     before = _group_window(groups).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_cell.select(
         *groups, CELL,
         *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums],
         *[F.sum(f"__t_{n}").over(_group_window(groups)).alias(n) for n in totals],
+        *[F.min(f"__t_{n}").over(_group_window(groups)).alias(n) for n in minima],
     )
     inside = (
         Window.partitionBy(*groups, CELL)

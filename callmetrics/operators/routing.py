@@ -11,7 +11,7 @@ from callmetrics.functions import outcomes as O
 from callmetrics.functions.hashing import HASH_SPAN, uniform_long
 from callmetrics.operators import metrics as M
 from callmetrics.operators.ordered import first_k, uniform_points
-from callmetrics.session import parallelism
+from callmetrics.session import parallelism, side_by_side
 
 
 def share(hit: Column, of: Column) -> Column:
@@ -71,14 +71,13 @@ def transfer_signal(shared: DataFrame) -> DataFrame:
     rows = shared.select(
         F.when(solved("cheap"), 0).otherwise(1).cast("bigint").alias("label"),
         (F.col("cheap_tokens") / F.col("cheap_calls")).alias("tokens"), solved("strong").alias("strong_ok"),
-        F.lit(1).alias("k"),
     )
-    area = M.auc(rows, ["k"], "tokens").select("k", F.round("auc", 6).alias("auc_cheap_tokens"))
-    counts = rows.groupBy("k").agg(
+    area = M.auc(rows, score="tokens").select(F.round("auc", 6).alias("auc_cheap_tokens"))
+    counts = rows.agg(
         F.count(F.lit(1)).alias("n_shared_instances"), F.sum("label").alias("n_escalation_needed"),
         F.count_if((F.col("label") == 1) & F.col("strong_ok")).alias("rescued"),
     )
-    return counts.join(F.broadcast(area), "k").select(  # one row each
+    return side_by_side(counts, area).select(
         "n_shared_instances", "n_escalation_needed", "rescued", "auc_cheap_tokens",
         F.round(F.col("rescued") / F.nullif(F.col("n_escalation_needed"), F.lit(0)), 6).alias("rescue_fraction"),
     )

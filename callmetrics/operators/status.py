@@ -117,11 +117,9 @@ def cohort_audit(calls: DataFrame, instances: DataFrame) -> DataFrame:
 def require_model(audit: DataFrame, model_id: str) -> DataFrame:
     """The audit row of one model; having no calls is an error, not a result."""
     one = audit.where(F.col("model_id") == model_id)
-    checked = one.agg(F.count(F.lit(1)).alias("__n")).select(
-        F.when(F.col("__n") == 0, F.raise_error(F.lit(f"no calls found for {model_id}"))).cast("int").alias("__ok")
-    )
-    # One audit row against one check row.
-    return one.join(F.broadcast(checked), F.col("__ok").isNull()).drop("__ok")
+    if one.isEmpty():
+        raise ValueError(f"no calls found for {model_id}")
+    return one
 
 
 def failure_rates(calls: DataFrame, codes: dict[str, str], keys: Sequence[str] = ("model_id",)) -> DataFrame:

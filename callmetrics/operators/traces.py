@@ -124,15 +124,11 @@ def matched_delay(replayed: DataFrame) -> DataFrame:
     rate = replayed.agg(F.avg(F.col("fired").cast("double"))).first()[0]
     if rate is None:
         return replayed.sparkSession.createDataFrame([], "delay_ms double, launch_rate double, failure_recall double")
-    delay = quantiles(replayed, "latency_ms", {"delay_ms": 1.0 - rate}).select("delay_ms")
-    # A single row beside every call.
-    late = F.col("latency_ms") >= F.col("delay_ms")
+    delay = quantiles(replayed, "latency_ms", {"delay_ms": 1.0 - rate}).first()["delay_ms"]
+    late = F.col("latency_ms") >= delay
     failed = F.col("outcome") != O.PASS
-    marked = replayed.select("latency_ms", "outcome", F.lit(1).alias("k")).join(
-        F.broadcast(delay.withColumn("k", F.lit(1))), "k"
-    )
-    return marked.agg(
-        F.round(F.max("delay_ms"), 3).alias("delay_ms"), F.round(F.avg(late.cast("double")), 6).alias("launch_rate"),
+    return replayed.agg(
+        F.round(F.lit(delay), 3).alias("delay_ms"), F.round(F.avg(late.cast("double")), 6).alias("launch_rate"),
         F.round(F.count_if(failed & late) / F.nullif(F.count_if(failed), F.lit(0)), 6).alias("failure_recall"),
     )
 

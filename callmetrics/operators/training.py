@@ -15,15 +15,15 @@ from callmetrics.functions.hashing import HASH_SPAN, uniform_long
 from callmetrics.functions.scoring import curve_probability
 from callmetrics.operators.curves import fit_curves
 from callmetrics.operators.ordered import ranked, uniform_points
-from callmetrics.session import materialize, parallelism
+from callmetrics.session import materialize, parallelism, side_by_side
 
 
 def best_class(metrics: DataFrame, silent: DataFrame) -> DataFrame:
     """The score class with the highest skill and its retrospective gate."""
     best = metrics.agg(
         F.min_by(F.struct("model", "brier_skill", "auc"), F.struct(-F.col("brier_skill"), F.col("model"))).alias("b")
-    ).select("b.*", F.lit(1).alias("k"))
-    row = best.join(F.broadcast(silent.withColumn("k", F.lit(1))), "k")  # one row each
+    ).select("b.*")
+    row = side_by_side(best, silent)
     conditions = {
         "at_least_20_silent_wrong": F.col("silent") >= 20,
         "auc_at_least_0_75": F.col("auc") >= 0.75,

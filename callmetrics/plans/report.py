@@ -10,7 +10,7 @@ from callmetrics.functions.hashing import id_hash
 from callmetrics.functions.scoring import frozen_prior, frozen_score
 from callmetrics.operators import metrics as M
 from callmetrics.operators import status as S
-from callmetrics.session import materialize
+from callmetrics.session import materialize, side_by_side
 
 
 def prediction_rows(calls: DataFrame, instances: DataFrame, frozen: dict) -> DataFrame:
@@ -49,12 +49,7 @@ def prospective_report(calls: DataFrame, instances: DataFrame, frozen: dict, rep
     area = M.auc(rows).select("auc")
     interval = M.clustered_interval(rows, replicates=replicates, seed=seed).drop("replicates")
     counts = S.study_status(calls, [])
-    one = F.lit(1)
-    # Four one-row results laid side by side on a constant key.
-    row = counts.withColumn("k", one)
-    for part in (base, area, interval):
-        row = row.join(F.broadcast(part.withColumn("k", one)), "k")
-    row = row.where(F.col("guard").isNull())
+    row = side_by_side(counts, base, area, interval).where(F.col("guard").isNull())
     gated = row.select("*", *[F.coalesce(F.expr(c), F.lit(False)).alias(n) for n, c in GATE.items()])
     passed = F.col("brier_skill_at_least_0_10") & F.col("interval_excludes_zero") & F.col("auc_at_least_0_75")
     six = lambda c: F.round(c, 6).alias(c)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int = 8, app: str = "callmetrics") -> SparkSession:
@@ -53,5 +54,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """Columns of several one-row results in one row. Laid over each other and
+    reduced, so that no join without a key is needed."""
+    stacked = rows[0]
+    for other in rows[1:]:
+        stacked = stacked.unionByName(other, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callmetrics.operators.ordered import ranked
+from callmetrics.operators.ordered import prefix_sums, ranked
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -177,11 +177,11 @@ def raw_stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = raw_stream_events(spark, sf_dir)
-    first = raw.groupBy("call_id").agg(F.min("at_us").alias("start_us"))
-    numbered = ranked(
-        raw, "at_us", ["call_id"], order=["at_us", "event_id"], name="seq", tie="event_id"
+    numbered = prefix_sums(
+        raw.withColumn("one", F.lit(1).cast("bigint")), "at_us", {"seq": "one"}, ["call_id"],
+        order=["at_us", "event_id"], tie="event_id", minima={"start_us": "at_us"},
     )
-    return numbered.join(first, "call_id").select(
+    return numbered.select(
         "call_id", "seq", ((F.col("at_us") - F.col("start_us")) / F.lit(1000.0)).alias("elapsed_ms"),
         "channel", "char_count", "event_type",
     )

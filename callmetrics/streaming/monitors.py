@@ -39,8 +39,8 @@ def status_monitor(calls: DataFrame, limits: dict, path: str) -> DataFrame:
 
     run_available(live.writeStream.outputMode("complete").foreachBatch(snapshot), f"{path}/state")
     seen = calls.sparkSession.read.parquet(f"{path}/snapshot")
-    newest = seen.agg(F.max("batch").alias("batch"))
-    return seen.join(F.broadcast(newest), "batch").drop("batch")  # one row
+    newest = seen.agg(F.max("batch")).first()[0]
+    return seen.where(F.col("batch") == newest).drop("batch")
 
 
 def mismatch_alarms(calls: DataFrame, path: str) -> DataFrame:
