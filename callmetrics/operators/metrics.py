@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from callmetrics.functions.hashing import HASH_SPAN, uniform_long
 from callmetrics.functions.scoring import LOSS_CLIP, clip, logit
 from callmetrics.operators.ordered import prefix_sums, quantiles, ranked, uniform_points
-from callmetrics.session import materialize, parallelism
+from callmetrics.session import materialize, parallelism, side_by_side
 
 NAN = float("nan")
 # Cluster sums are three numbers a row; up to this many rows they are sent to
@@ -206,7 +206,8 @@ def unpivot_scores(rows: DataFrame, scores: dict[str, str], keep: Sequence[str])
 def all_metrics(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Brier, skill against the prior, log loss and AUC per key, 6 decimals."""
     left, right = score_metrics(rows, keys), auc(rows, keys).select(*keys, "auc")
-    return left.join(right, list(keys)).select(
+    both = left.join(right, list(keys)) if keys else side_by_side(left, right)
+    return both.select(
         *keys, "n", *[F.round(c, 6).alias(c) for c in ("brier", "brier_skill", "log_loss", "auc")]
     )
 

@@ -58,7 +58,10 @@ def write_json_lines(df: DataFrame, path: str, order: Sequence[str]) -> None:
 def digest(df: DataFrame, name: str) -> DataFrame:
     """Row count, characters, and a content digest that does not depend on how
     rows are spread over files: the sum of a hash of every line."""
-    lines = json_lines(df)
+    return digest_lines(json_lines(df), name)
+
+
+def digest_lines(lines: DataFrame, name: str) -> DataFrame:
     return lines.agg(
         F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.char_length("value")), F.lit(0)).cast("bigint").alias("chars"),
         F.coalesce(F.sum(uniform_long(F.col("value")).cast("decimal(20,0)")), F.lit(0)).cast("string").alias("digest"),
@@ -88,9 +91,13 @@ def export_release(calls: DataFrame, instances: DataFrame, events: DataFrame, pa
     tables = {
         "calls": compact_export(calls, instances), "traces": trace_export(calls), "stream-events": events,
     }
+    out = None
     for name, df in tables.items():
         write_json_lines(df, f"{path}/{name}", ["call_id", "seq"] if name == "stream-events" else ["call_id"])
-    return manifest(tables)
+        # The checksum is taken from what was written, which is computed once.
+        one = digest_lines(calls.sparkSession.read.text(f"{path}/{name}"), name)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def read_release(spark: SparkSession, path: str, name: str, schema) -> DataFrame:

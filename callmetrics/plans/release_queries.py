@@ -10,6 +10,7 @@ from callmetrics.operators import metrics as M
 from callmetrics.operators import release as RL
 from callmetrics.operators import status as S
 from callmetrics.plans.metric_queries import FEATURE_SQL, METRIC_SQL, SCORED_SQL
+from callmetrics.operators.pairing import study_events
 from callmetrics.plans.registry import query
 from callmetrics.plans.report import prediction_rows
 from callmetrics.plans.status_queries import CLASS_SQL, IN_STUDY, STATUS_SQL, study
@@ -73,6 +74,15 @@ def manifest(spark, d):
     return RL.manifest(release_tables(spark, d))
 
 
+@query("sk5_sk9_release_job", ctes=(*BASE, COMPACT_SQL, TRACE_SQL, MANIFEST_SQL, T.STREAM_EVENTS_SQL), sql="""
+SELECT artifact, rows FROM manifest UNION ALL
+SELECT 'stream-events', count(*) FROM stream_events WHERE call_id IN (SELECT call_id FROM calls)""")
+def release_job(spark, d):
+    calls = T.calls(spark, d)
+    events = study_events(T.stream_events(spark, d).drop("event_type"), calls)
+    return RL.export_release(calls, T.instances(spark, d), events, work_path(spark, "release")).select("artifact", "rows")
+
+
 @query("jn11_checksum_verification", ctes=(*BASE, COMPACT_SQL, TRACE_SQL, MANIFEST_SQL), sql="""
 SELECT artifact, true AS present, artifact = 'calls' AS matches FROM manifest UNION ALL SELECT 'snapshot', false, false""")
 def _(spark, d):

@@ -37,8 +37,7 @@ def labelled(spark, d):
 
 
 def metrics_row(rows):
-    joined = M.all_metrics(rows.withColumn("model", F.lit("held_out")), ["model"])
-    return joined.select("model", "n", *[F.round(c, 3).alias(c) for c in ("brier", "brier_skill", "log_loss", "auc")])
+    return M.all_metrics(rows, []).select("n", *[F.round(c, 3).alias(c) for c in ("brier", "brier_skill", "log_loss", "auc")])
 
 
 @query("me14_out_of_fold_metadata")

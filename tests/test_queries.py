@@ -43,6 +43,7 @@ def test_checks_belong_to_queries():
 
 
 def test_scan_reads_only_what_it_needs(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
     plan = QUERIES["ag1_study_status"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     read = plan[plan.index("ReadSchema"):]
     assert "o_custkey" not in read and "o_orderpriority" in read
