@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from callmetrics.functions import outcomes as O
 from callmetrics.functions import texts as X
 from callmetrics.operators import metrics as M
-from callmetrics.operators.ordered import prefix_sums, quantiles
+from callmetrics.operators.ordered import quantiles
 from callmetrics.session import materialize, parallelism
 
 # Fixed value: characters per billed token in the delivered-share estimate.
@@ -158,12 +158,8 @@ def stratified_auc_interval(rows: DataFrame, strata: Sequence[str], score: str,
     weighted = draws.join(indexed, "idx").groupBy(*groups, "score").agg(
         F.sum(F.col("pos") * F.col("times")).alias("pos"), F.sum(F.col("neg") * F.col("times")).alias("neg")
     )
-    running = prefix_sums(materialize(weighted), "score", {"below": "neg"}, groups)
-    per = running.groupBy(*groups).agg(
-        F.sum(F.col("pos") * (2 * F.col("below") + F.col("neg"))).alias("twice"),
-        F.sum("pos").alias("p"), F.sum("neg").alias("n"),
-    )
-    areas = per.groupBy("rep").agg((F.sum("twice") / 2.0 / F.sum(F.col("p") * F.col("n"))).alias("auc"))
+    per = M.histogram_auc(materialize(weighted), groups)
+    areas = per.groupBy("rep").agg((F.sum("wins") / F.nullif(F.sum("pairs"), F.lit(0.0))).alias("auc"))
     # One row per replicate.
     return areas.agg(
         F.count("auc").alias("replicates"), F.round(F.percentile("auc", F.lit(0.025)), 6).alias("ci_low"),
