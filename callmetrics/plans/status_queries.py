@@ -220,7 +220,7 @@ SELECT call_id, CASE WHEN coalesce(error_text, '') <> '' THEN 'error_api' WHEN m
   WHEN parsed_answer = 'A' THEN 'pass' ELSE 'fail_wrong' END AS raw_outcome FROM m""")
 def _(spark, d):
     calls = T.calls(spark, d)
-    mismatch = O.pin_mismatch(F.col("error_text"), F.col("provider_endpoint"), "openrouter/Parasail")
+    mismatch = O.pin_mismatch(F.col("error_text"), F.col("provider_endpoint"), "gateway/Parasail")
     code = O.classify(
         F.col("error_text"), mismatch, F.col("finish_reason"), F.col("parsed_answer"),
         F.col("parsed_answer") == "A",

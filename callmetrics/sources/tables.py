@@ -79,7 +79,7 @@ def calls_from(orders: DataFrame) -> DataFrame:
         "CASE WHEN call_id % 7 <> 0 THEN cast(floor(0.8D * completion_tokens) AS bigint) END AS reasoning_tokens",
         "CASE WHEN call_id % 11 = 0 THEN NULL WHEN call_id % 13 = 0 THEN 0.0D "
         "ELSE cast(10 * completion_tokens + call_id % 1000 AS double) END AS latency_ms",
-        "CASE call_id % 5 WHEN 0 THEN 'openrouter/Parasail' WHEN 1 THEN ' parasail ' "
+        "CASE call_id % 5 WHEN 0 THEN 'gateway/Parasail' WHEN 1 THEN ' parasail ' "
         "WHEN 2 THEN 'Other' WHEN 3 THEN '' END AS provider_endpoint",
         "CASE WHEN call_id % 17 = 0 THEN 0 WHEN call_id % 19 = 0 THEN NULL ELSE 1 END AS provider_pinned",
         "CASE WHEN outcome = 'provider_mismatch' THEN 1 ELSE 0 END AS provider_mismatch",
@@ -113,7 +113,7 @@ calls AS (
     CASE WHEN call_id % 7 <> 0 THEN CAST(floor(CAST(0.8 AS DOUBLE) * completion_tokens) AS BIGINT) END AS reasoning_tokens,
     CASE WHEN call_id % 11 = 0 THEN NULL WHEN call_id % 13 = 0 THEN CAST(0 AS DOUBLE)
          ELSE CAST(10 * completion_tokens + call_id % 1000 AS DOUBLE) END AS latency_ms,
-    CASE call_id % 5 WHEN 0 THEN 'openrouter/Parasail' WHEN 1 THEN ' parasail '
+    CASE call_id % 5 WHEN 0 THEN 'gateway/Parasail' WHEN 1 THEN ' parasail '
          WHEN 2 THEN 'Other' WHEN 3 THEN '' END AS provider_endpoint,
     CASE WHEN call_id % 17 = 0 THEN 0 WHEN call_id % 19 = 0 THEN NULL ELSE 1 END AS provider_pinned,
     CASE WHEN outcome = 'provider_mismatch' THEN 1 ELSE 0 END AS provider_mismatch,

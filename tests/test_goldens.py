@@ -89,7 +89,7 @@ def test_interval_is_deterministic_and_needs_two_clusters(spark):
 
 def test_route_match_and_cost(spark):
     match = lambda seen: one(spark, m=O.provider_matches(F.lit(seen), "Parasail"))["m"]
-    assert match("openrouter/Parasail") and match(" PARASAIL ") and not match("Other") and not match("")
+    assert match("gateway/Parasail") and match(" PARASAIL ") and not match("Other") and not match("")
     assert one(spark, c=O.estimated_microdollars(F.lit(1_000_000), F.lit(0), 0.3, 1.2))["c"] == 330_000
     assert one(spark, c=O.estimated_microdollars(F.lit(8_000), F.lit(65_536), 0.3, 1.2))["c"] == 89_148
 
