@@ -8,12 +8,16 @@ state from one range to the next. The split points are plain numbers on the
 driver (fewer than the partitions), so both passes agree on every cell even
 when tasks are recomputed.
 
-Group columns must not be null: the offsets are joined on them.
+Nulls are values like any other: a null group column makes a group, and rows
+with a null key come first in theirs, in a range of their own. Cells are joined
+on a struct of group columns and range, in which two nulls are equal; the
+windows are over the same struct, so the join's shuffle serves them too.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -23,13 +27,23 @@ from pyspark.sql import functions as F
 from callmetrics.session import materialize, parallelism
 
 CELL = "__cell"
+KEY = "__key_of_cell"
+MERGE_TASKS = 64
 
 
 def _quantile_points(df: DataFrame, key: str, ranges: int) -> list[float]:
     if ranges < 2:
         return []
     probabilities = [i / ranges for i in range(1, ranges)]
-    row = df.agg(F.percentile_approx(F.col(key).cast("double"), probabilities, 10_000)).first()
+    accuracy = max(1000, 10 * ranges)
+    # Summaries are merged in many tasks before one merges those; the points
+    # only place the cuts, no row depends on how exact they are.
+    parts = (
+        df.select(F.col(key).cast("double").alias("k"), F.pmod(F.spark_partition_id(), F.lit(MERGE_TASKS)).alias("t"))
+        .groupBy("t").agg(F.percentile_approx("k", probabilities, accuracy).alias("p"))
+        .select(F.explode("p").alias("k"))
+    )
+    row = parts.agg(F.percentile_approx("k", probabilities, accuracy)).first()
     return sorted(row[0] or [])
 
 
@@ -52,7 +66,7 @@ def _range_number(df: DataFrame, key: str, points: Sequence[float], name: str) -
     numeric = df.withColumn("__key", F.col(key).cast("double"))
     return (
         cutter.transform(numeric)
-        .withColumn(name, F.col("__range").cast("bigint"))
+        .withColumn(name, F.when(F.col("__key").isNull(), -1).otherwise(F.col("__range")).cast("bigint"))
         .drop("__key", "__range")
     )
 
@@ -63,28 +77,36 @@ def with_cell(
     """Add the range number of ``key``. The cast to double keeps the order.
 
     A key value so frequent that it fills more than one range gets a range of
-    its own, which is cut further by the numeric tie column, if there is one.
-    The tie column must then be the second order column."""
+    its own, which is cut further by the numeric tie column, if there is one,
+    and so are the rows without a key. The tie column must then be the second
+    order column."""
     ranges = parallelism(df.sparkSession)
     heavy: list[float] = []
     if points is None:
         found = _quantile_points(df, key, ranges)
         points = sorted(set(found))
         if tie is not None:
-            heavy = [p for p in points if found.count(p) > 1]
+            heavy = [p for p, n in Counter(found).items() if n > 1]
             points = sorted({*points, *[math.nextafter(p, math.inf) for p in heavy]})
     cells = _range_number(df, key, points, CELL)
-    if not heavy:
+    if tie is None:
         return cells
-    crowded = F.col(key).cast("double").isin(heavy)
+    crowded = F.col(key).isNull()
+    if heavy:
+        crowded = crowded | F.coalesce(F.col(key).cast("double").isin(heavy), F.lit(False))
     tie_points = split_points(df.where(crowded), tie, ranges)
+    stride = len(tie_points) + 3
     return (
         _range_number(cells, tie, tie_points, "__sub")
-        .withColumn(CELL, F.col(CELL) * 1_000_000 + F.when(crowded, F.col("__sub")).otherwise(0))
+        .withColumn(CELL, F.col(CELL) * stride + F.when(crowded, F.col("__sub") + 1).otherwise(0))
         .drop("__sub")
     )
 
 
+def _cell_key(groups: Sequence[str]) -> Column:
+    return F.struct(*groups, CELL).alias(KEY)
+
+
 def _group_window(groups: Sequence[str]):
     # Over cell totals only: at most one row per range and group.
     return Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
@@ -114,22 +136,22 @@ def prefix_sums(
     )
     before = _group_window(groups).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_cell.select(
-        *groups, CELL,
+        _cell_key(groups),
         *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums],
         *[F.sum(f"__t_{n}").over(_group_window(groups)).alias(n) for n in totals],
         *[F.min(f"__t_{n}").over(_group_window(groups)).alias(n) for n in minima],
     )
     inside = (
-        Window.partitionBy(*groups, CELL)
+        Window.partitionBy(KEY)
         .orderBy(*(order or [key]))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    joined = cells.join(offsets, [*groups, CELL])
+    joined = cells.withColumn(KEY, _cell_key(groups)).join(offsets, KEY)
     for name, column in sums.items():
         joined = joined.withColumn(
             name, F.col(f"__o_{name}") + F.coalesce(F.sum(column).over(inside), F.lit(0))
         )
-    return joined.drop(CELL, *[f"__o_{n}" for n in sums])
+    return joined.drop(CELL, KEY, *[f"__o_{n}" for n in sums])
 
 
 def ranked(
@@ -161,14 +183,15 @@ def lagged(
     groups, order = list(groups), list(order or [key])
     cells = with_cell(df, key, points, tie)
     last = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
+    # A struct is never null, so rows with a null key count here too.
     ends = cells.groupBy(*groups, CELL).agg(
         F.max_by(F.struct(*[F.col(c).alias(n) for n, c in columns.items()]), last).alias("__end")
     )
     carried = ends.select(
-        *groups, CELL, F.lag("__end").over(_group_window(groups).orderBy(CELL)).alias("__carry")
+        _cell_key(groups), F.lag("__end").over(_group_window(groups).orderBy(CELL)).alias("__carry")
     )
-    inside = Window.partitionBy(*groups, CELL).orderBy(*order)
-    joined = cells.join(carried, [*groups, CELL]).withColumn(
+    inside = Window.partitionBy(KEY).orderBy(*order)
+    joined = cells.withColumn(KEY, _cell_key(groups)).join(carried, KEY).withColumn(
         "__first", F.row_number().over(inside) == 1
     )
     for name, column in columns.items():
@@ -178,7 +201,7 @@ def lagged(
                 F.lag(column).over(inside)
             ),
         )
-    return joined.drop(CELL, "__carry", "__first")
+    return joined.drop(CELL, KEY, "__carry", "__first")
 
 
 def value_counts(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
@@ -239,12 +262,12 @@ def first_k(
     sizes = cells.groupBy(*groups, CELL).agg(F.count(F.lit(1)).alias("__n"), *marks)
     before = _group_window(groups).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        *groups, CELL, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"),
+        _cell_key(groups), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"),
         F.sum("__n").over(_group_window(groups)).alias("size"),
         *([F.sum("__q").over(_group_window(groups)).alias("quota")] if quota else []),
     ).where(F.col("__o") < k)
-    inside = Window.partitionBy(*groups, CELL).orderBy(*(order or [key]))
-    placed = cells.join(offsets, [*groups, CELL]).withColumn(
+    inside = Window.partitionBy(KEY).orderBy(*(order or [key]))
+    placed = cells.withColumn(KEY, _cell_key(groups)).join(offsets, KEY).withColumn(
         "rank", F.col("__o") + F.row_number().over(inside) - 1
     )
-    return placed.where(F.col("rank") < k).drop(CELL, "__o")
+    return placed.where(F.col("rank") < k).drop(CELL, KEY, "__o")
