@@ -27,6 +27,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_bucket(doc_id: Column, buckets: int) -> Column:
     """crc32 of the id's decimal digits, modulo ``buckets``; null without an id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % buckets

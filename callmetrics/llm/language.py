@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, StringType, StructField, StructType
 
-from callmetrics.llm.common import id_bucket, table
+from callmetrics.llm.common import fresh, id_bucket, table
 from callmetrics.llm.kernels import pieces, text_buffer
 
 MAX_GRAM = 4
@@ -41,6 +41,7 @@ RIDGE = 1e-4
 BLOCK = 32
 UNDETERMINED = "und"
 MIN_SCORE = 0.25
+LETTER = r"\p{L}"
 
 _SHIFT = np.uint32(32 - 16)
 
@@ -146,10 +147,8 @@ def scores(model: Model, data: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return out
 
 
-def with_language(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``."""
-    if not model.languages:
-        return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
+def _predicted(docs: DataFrame, model: Model, name: str) -> DataFrame:
+    """``docs`` with the struct column ``name`` of language and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # features x languages, whatever the corpus
 
     @F.arrow_udf(_PREDICTED)
@@ -165,24 +164,30 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
             [pa.array(best, pa.string()), pa.array(value, pa.float64())], fields=list(_ARROW_PREDICTED)
         )
 
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return (
-        docs.withColumn("predicted", predict(F.lower("text")))
-        .withColumns({
-            "lang_pred": F.when(lettered, F.col("predicted.lang_pred")).otherwise(UNDETERMINED),
-            "score": F.when(lettered, F.col("predicted.score")).otherwise(0.0),
-        }).drop("predicted")
-    )
+    return docs.withColumn(name, predict(F.lower("text")))
+
+
+def with_language(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``; columns of these names are replaced."""
+    if not model.languages:
+        return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
+    name = fresh(docs, "predicted")
+    lettered = F.coalesce(F.col("text").rlike(LETTER), F.lit(False))
+    return _predicted(docs, model, name).withColumns({
+        "lang_pred": F.when(lettered, F.col(name)["lang_pred"]).otherwise(UNDETERMINED),
+        "score": F.when(lettered, F.col(name)["score"]).otherwise(0.0),
+    }).drop(name)
 
 
 def in_known_language(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFrame:
     """Documents whose language is recognised; a missing ``lang`` is filled in.
     Where nothing could be learned, every text with a letter stays."""
+    lettered = docs.where(F.col("text").rlike(LETTER))
     if not model.languages:
-        return docs.where(F.col("text").rlike(r"\p{L}"))
-    columns = docs.columns
-    found = with_language(docs, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*columns)
+        return lettered
+    name = fresh(docs, "predicted")
+    found = _predicted(lettered, model, name).where(F.col(name)["score"] >= min_score)
+    return found.withColumn("lang", F.coalesce(F.col("lang"), F.col(name)["lang_pred"])).drop(name)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

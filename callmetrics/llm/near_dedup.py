@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from callmetrics.llm.common import stored, table
+from callmetrics.llm.common import fresh, stored, table
 from callmetrics.llm.graph import connected_components
 
 SHINGLE = 3
@@ -71,9 +71,9 @@ def _fingerprint(text: pa.Array) -> pa.Array:
     return pa.array(found.view(np.int64))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``docs`` with the column ``simhash``: the 64 bits as a signed long."""
-    return docs.withColumn("simhash", _fingerprint(F.col("text")))
+def fingerprints(docs: DataFrame, name: str = "simhash") -> DataFrame:
+    """``docs`` with the column ``name``: the 64 bits as a signed long."""
+    return docs.withColumn(name, _fingerprint(F.col("text")))
 
 
 def _keys(simhash) -> F.Column:
@@ -237,17 +237,21 @@ def components(narrow: DataFrame) -> DataFrame:
 def one_per_group(docs: DataFrame) -> DataFrame:
     """One document of each group: the row with the smallest id. Repeated rows
     of it stay once; a group without any id keeps one of its rows."""
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex("simhash"))
-    marked = stored(fingerprints(docs).withColumn("dedup_key", key), "marked")
-    groups = groups_of(marked.select("doc_id", "simhash"))
+    bits, key, place = fresh(docs, "simhash"), fresh(docs, "dedup_key"), fresh(docs, "dedup_place")
+
+    def named(simhash: str):
+        return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex(simhash)).alias(key)
+
+    marked = stored(fingerprints(docs, bits).select("*", named(bits)), "marked")
+    groups = groups_of(marked.select("doc_id", F.col(bits).alias("simhash")))
     chosen = groups.groupBy("root").agg(
         F.min(F.struct(F.col("least").isNull().alias("no_id"), F.col("least").alias("doc_id"), "simhash")).alias("pick")
-    ).select("pick.*").select(key.alias("dedup_key"))
+    ).select("pick.*").select(named("simhash"))
     # The join has dealt the rows by the key already, so the window only sorts.
-    first = Window.partitionBy("dedup_key").orderBy("text", "source", "lang")
+    order = [c for c in ("text", "source", "lang") if c in docs.columns]
     return (
-        marked.join(chosen, "dedup_key", "left_semi")
-        .withColumn("dedup_row", F.row_number().over(first)).where("dedup_row = 1")
+        marked.join(chosen, key, "left_semi")
+        .withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col(place) == 1)
         .select(*docs.columns)
     )
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from callmetrics.llm.common import table
+from callmetrics.llm.common import fresh, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CACHED_WORDS = 1 << 18
@@ -123,7 +123,8 @@ def with_token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
         return pa.StructArray.from_arrays([pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["n_words", "n_tokens"])
 
     columns = [c for c in docs.columns if c not in ("n_words", "n_tokens")]
-    return docs.withColumn("counted", count(F.col("text"))).select(*columns, "counted.n_words", "counted.n_tokens")
+    name = fresh(docs, "counted")
+    return docs.withColumn(name, count(F.col("text"))).select(*columns, f"{name}.n_words", f"{name}.n_tokens")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
