@@ -346,7 +346,9 @@ class WarcReader(DataSourceReader):
                     raise ValueError(f"payload of {headers.get('warc-record-id')} does not have its digest")
         return tuple(row.get(name) for name in self.columns)
 
-    def read(self, partition: Stretch) -> Iterator[tuple]:
+    def read(self, partition: Stretch | None) -> Iterator[tuple]:
+        if partition is None:  # there are no archives
+            return
         system, _ = _files(self.path)
         with system.open_input_file(partition.path) as file:
             for headers, block in records(file, partition.start, partition.end, self._wanted):

@@ -57,7 +57,7 @@ def archive(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("warc")
     W.register(spark)
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(3)
-    W.with_revisits(pages).write.format("warc").mode("append").option("file_bytes", 2000).option("split_bytes", 300).save(f"{folder}/a")
+    W.with_revisits(pages).write.format("warc").mode("append").option("file_bytes", 700).option("split_bytes", 300).save(f"{folder}/a")
     return f"{folder}/a"
 
 
