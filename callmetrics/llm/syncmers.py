@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -84,20 +85,24 @@ def fingerprint(text: pa.Array) -> pa.Array:
     return pa.array(_all_sketches(text), pa.string())
 
 
-@F.arrow_udf(DoubleType())
-def near(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([likeness(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
+_LIKENESS = [
+    ("fingerprint", StringType(), pa.string()), ("edited_fingerprint", StringType(), pa.string()),
+    ("near_edited", DoubleType(), pa.float64()), ("near_next", DoubleType(), pa.float64()),
+]
 
 
-_PAIR = [("fingerprint", StringType(), pa.string()), ("edited_fingerprint", StringType(), pa.string()), ("near_edited", DoubleType(), pa.float64())]
-
-
-@F.arrow_udf(StructType([StructField(n, t) for n, t, _ in _PAIR]))
-def _both(text: pa.Array, edited: pa.Array) -> pa.Array:
+@F.arrow_udf(StructType([StructField(n, t) for n, t, _ in _LIKENESS]))
+def _compared(text: pa.Array, edited: pa.Array, following: pa.Array) -> pa.Array:
+    """Rows come in order, so a row's successor mostly is the next row."""
     own, other = _all_sketches(text), _all_sketches(edited)
-    close = [likeness(a, b) for a, b in zip(own, other)]
+    size = len(text)
+    known = pc.equal(following.slice(0, max(size - 1, 0)), text.slice(1)).to_pylist() + [False] * min(size, 1)
+    strange = [i for i, same in enumerate(known) if not same]
+    found = dict(zip(strange, _all_sketches(following.take(pa.array(strange, pa.int64())))))
+    after = [own[i + 1] if same else found[i] for i, same in enumerate(known)]
+    columns = (own, other, [likeness(a, b) for a, b in zip(own, other)], [likeness(a, b) for a, b in zip(own, after)])
     return pa.StructArray.from_arrays(
-        [pa.array(v, t) for v, (_, _, t) in zip((own, other, close), _PAIR)], fields=[pa.field(n, t) for n, _, t in _PAIR]
+        [pa.array(v, t) for v, (_, _, t) in zip(columns, _LIKENESS)], fields=[pa.field(n, t) for n, _, t in _LIKENESS]
     )
 
 
@@ -133,13 +138,13 @@ def _cell(doc_id: Column, df: DataFrame, points: list[int]) -> DataFrame:
 
 
 def beside_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, cell, guest, place, next_text) in ascending order of ids;
-    after the last comes the first. Null ids come first, equal ids go by text.
+    """(doc_id, text, next_text) in ascending order of ids; after the last comes
+    the first. Null ids come first, equal ids go by text.
 
     Ids are cut into about as many ranges as there are shuffle partitions. The
     first document of every range is also sent, as a guest, to the end of the
     range before, so every successor is found inside one range and each text
-    moves once. Guests are kept for a later step; drop them where ``guest``."""
+    moves once."""
     spark = docs.sparkSession
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     points = cut_points(ids, "doc_id", parallelism(spark))
@@ -159,7 +164,7 @@ def beside_next(docs: DataFrame) -> DataFrame:
         .select("doc_id", "text", "seat.cell", "seat.guest")
     )
     order = Window.partitionBy("cell").orderBy("guest", F.col("doc_id").asc_nulls_first(), "text")
-    return dealt.withColumns({"next_text": F.lead("text").over(order), "place": F.row_number().over(order)})
+    return dealt.withColumn("next_text", F.lead("text").over(order)).where(~F.col("guest")).select("doc_id", "text", "next_text")
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,20 +173,13 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     length = F.length("text")
     half = F.floor(length / 2).cast("int")
     edited = F.concat(
-        F.substring(F.col("text"), F.lit(1), length - half),
-        F.coalesce(F.substring(F.col("next_text"), F.lit(1), half), F.lit("")),
+        F.substring(F.col("text"), F.lit(1), length - half), F.substring(F.col("next_text"), F.lit(1), half)
     )
-    found = (
+    return (
         docs.withColumn("edited", edited)
         .select(
-            "doc_id", "cell", "guest", "place", length.cast("long").alias("n_chars"),
-            F.sha2("edited", 256).alias("edited_sha256"), _both(F.col("text"), F.col("edited")).alias("b"),
+            "doc_id", length.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+            _compared(F.col("text"), F.col("edited"), F.col("next_text")).alias("b"),
         )
-        .select("doc_id", "cell", "guest", "place", "n_chars", "edited_sha256", "b.*")
-    )
-    following = F.lead("fingerprint").over(Window.partitionBy("cell").orderBy("place"))
-    return (
-        found.withColumn("next_fingerprint", following).where(~F.col("guest"))
-        .withColumn("near_next", near(F.col("fingerprint"), F.col("next_fingerprint")))
-        .select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+        .select("doc_id", "n_chars", "edited_sha256", "b.*")
     )
