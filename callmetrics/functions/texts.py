@@ -1,7 +1,7 @@
-"""Trace words, marker densities, repetition and rolling risk scores.
+"""Trace words and the frozen risk policy.
 
-Everything here stays inside one row: a trace's words are an array, its
-windows are slices, so no text is exploded, shuffled or cut short.
+Whole traces are scored in ``trace_kernels``; the columns here cut them into
+chunks for the live trigger and read the trigger off a trace's scores.
 """
 
 from __future__ import annotations
@@ -39,22 +39,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.replace(spaced, F.lit("?"), F.lit(" ? ")), r"[ \t\n\r\f]+"), lambda w: w != "")
 
 
-def last_share(array: Column, share: float) -> Column:
-    n = F.size(array)
-    start = F.floor(n * F.lit(1.0 - share)).cast("int")
-    return F.slice(array, start + 1, F.greatest(n - start, F.lit(0)))
-
-
-def hits(array: Column, markers: Sequence[str]) -> Column:
-    return F.size(F.filter(array, lambda w: w.isin(*markers)))
-
-
-def density(array: Column, markers: Sequence[str]) -> Column:
-    """Markers per thousand words; zero for an empty window."""
-    n = F.size(array)
-    return F.when(n == 0, F.lit(0.0)).otherwise(hits(array, markers) * 1000.0 / n)
-
-
 def between(array: Column, first: Column, count: Column | int) -> Column:
     """``count`` elements from the one-based ``first`` on, read by position:
     inside a lambda a slice would copy the whole array every time."""
@@ -64,40 +48,6 @@ def between(array: Column, first: Column, count: Column | int) -> Column:
     ).otherwise(F.slice(array, 1, 0))
 
 
-def shingles(array: Column, k: int) -> Column:
-    """Every run of k words, as one text each."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(array) - k + 1, F.lit(1)))
-    run = lambda i: F.concat_ws(" ", *[F.element_at(array, i + j) for j in range(k)])
-    return F.when(F.size(array) >= k, F.transform(starts, run)).otherwise(F.array().cast("array<string>"))
-
-
-def repeats(array: Column, k: int = SHINGLE) -> Column:
-    """Shingles that have occurred before in the array."""
-    return let(shingles(array, k), lambda made: F.size(made) - F.size(F.array_distinct(made)))
-
-
-def repetition(array: Column, k: int) -> Column:
-    total = F.greatest(F.size(array) - (k - 1), F.lit(0))
-    return F.when(total == 0, F.lit(0.0)).otherwise(repeats(array, k) / total)
-
-
-def trace_features(w: Column, tail: Column, answer: Column, lexicon: Mapping[str, Sequence[str]]) -> dict[str, Column]:
-    """Sixteen features over the words, their last 30 percent and the answer."""
-    hedge_region = F.concat(last_share(w, HEDGE_TAIL), answer)
-    n = F.size(w)
-    return {
-        "rep_tail": repetition(tail, LONG_SHINGLE), "bt_tail": density(tail, lexicon["backtrack"]),
-        "hedge_tail": density(hedge_region, lexicon["hedge"]), "rep_full": repetition(w, LONG_SHINGLE),
-        "bt_full": density(w, lexicon["backtrack"]), "wait_tail": density(tail, lexicon["wait"]),
-        "hedge_ans": density(answer, lexicon["hedge"]), "giveup_full": density(w, lexicon["giveup"]),
-        "flip": density(w, lexicon["flip"]), "qmark_tail": density(tail, ("?",)),
-        "rep_tail_k4": repetition(tail, SHINGLE), "wait_full": density(w, lexicon["wait"]),
-        "bt_last10": density(last_share(w, LAST), lexicon["backtrack"]), "neg_tail": density(tail, lexicon["negative"]),
-        "len_ratio": F.when(n == 0, F.lit(0.0)).otherwise(F.size(answer) / n),
-        "trace_visible": F.when(n > 0, 1.0).otherwise(0.0),
-    }
-
-
 # The frozen live-risk policy.
 WINDOW_WORDS, CHUNK_WORDS, MIN_WORDS, THRESHOLD = 320, 40, 80, 4.0
 # Ours: points per marker and per repeated four-word shingle.
@@ -105,46 +55,6 @@ POINTS = {"backtrack": 1, "hedge": 1, "giveup": 2}
 REPEAT_POINTS = 1
 
 
-def rolling_scores(w: Column, lexicon: Mapping[str, Sequence[str]], chunk_words: int = CHUNK_WORDS) -> Column:
-    """Scores of a trace's words, which are bound first: a filter on the result
-    may be moved below the projection that made them."""
-    return let(w, lambda bound: _rolling_scores(bound, lexicon, chunk_words))
-
-
-def _rolling_scores(w: Column, lexicon: Mapping[str, Sequence[str]], chunk_words: int) -> Column:
-    """Score after every full chunk, over the last 320 words: marker points of
-    the window's chunks plus its repeated shingles."""
-    span = WINDOW_WORDS // chunk_words
-    count = F.floor(F.size(w) / F.lit(chunk_words)).cast("int")
-
-    def points(word: Column) -> Column:
-        value = F.lit(0)
-        for family, worth in POINTS.items():
-            value = value + F.when(word.isin(*lexicon[family]), worth).otherwise(0)
-        return value
-
-    def scores(made: Column, marked: Column) -> Column:
-        """``made``: all shingles of the trace, ``marked``: points of its words."""
-        def chunk_sum(j: Column) -> Column:
-            positions = F.sequence(j * chunk_words + 1, (j + 1) * chunk_words)
-            return F.aggregate(positions, F.lit(0), lambda total, i: total + F.element_at(marked, i))
-
-        def score(sums: Column, j: Column) -> Column:
-            first = F.greatest(j - (span - 1), F.lit(0))
-            in_window = F.aggregate(
-                F.sequence(first + 1, j + 1), F.lit(0), lambda total, i: total + F.element_at(sums, i)
-            )
-            held = (j - first + 1) * chunk_words - (SHINGLE - 1)
-            repeated = held - F.size(F.array_distinct(between(made, first * chunk_words + 1, held)))
-            return (in_window + REPEAT_POINTS * repeated).cast("bigint")
-
-        every = F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)))
-        return let(F.transform(every, chunk_sum), lambda sums: F.transform(every, lambda j: score(sums, j)))
-
-    every_score = let(shingles(w, SHINGLE), lambda made: let(F.transform(w, points), lambda marked: scores(made, marked)))
-    return F.when(count > 0, every_score).otherwise(F.array().cast("array<bigint>"))
-
-
 def trigger_chunk(scores: Column, chunk_words: int = CHUNK_WORDS, threshold: float = THRESHOLD) -> Column:
     """First chunk whose score and the one before it both exceed the threshold,
     both taken after the least number of words; NULL when never."""

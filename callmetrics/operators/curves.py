@@ -8,12 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from callmetrics.functions import outcomes as O
 from callmetrics.functions.hashing import uniform_long
-from callmetrics.functions.scoring import curve_probability, x50
+from callmetrics.functions.scoring import CURVE_CLIP, curve_probability, x50
 from callmetrics.operators import metrics as M
 
 # Ours: grid resolution. b runs from one below the lowest to one above the
@@ -21,6 +24,10 @@ from callmetrics.operators import metrics as M
 B_STEPS, A_STEPS, A_LOW, A_RATIO = 24, 12, 0.1, 1.5
 LAPSES = (0.0, 0.02, 0.05, 0.1, 0.2)
 FINE = 5
+# The finer grid also moves the lapse, by so many steps to both sides. A last
+# one halves all steps, so many to both sides.
+LAPSE_FINE, LAPSE_STEP = 3, 0.005
+LAST = 3
 
 
 def level_cells(calls: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -43,8 +50,8 @@ def _best(points: DataFrame, keys: Sequence[str], index: Sequence[str], keep: Se
 
 
 def fit_curves(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Maximum-likelihood (b, a, lapse) per key on a coarse grid, then on a
-    finer one around its best point."""
+    """Maximum-likelihood (b, a, lapse) per key on a coarse grid, then on two
+    finer ones around the best point."""
     keys = list(keys)
     span = cells.groupBy(*keys).agg(
         (F.min("level_value") - 1.0).alias("lo"), (F.max("level_value") + 1.0).alias("hi")
@@ -58,19 +65,83 @@ def fit_curves(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
         .withColumn("a", F.lit(A_LOW) * F.pow(F.lit(A_RATIO), F.col("ia").cast("double")))
     )
     start = _best(coarse, keys, ["ib", "ia", "lapse"], ["lo", "hi"]).select(
-        *keys, "lo", "hi", F.col("b").alias("b0"), F.col("a").alias("a0"), F.col("lapse")
+        *keys, "lo", "hi", F.col("b").alias("b0"), F.col("a").alias("a0"), F.col("lapse").alias("lapse0")
     )
-    step = (F.col("hi") - F.col("lo")) / F.lit(float(B_STEPS))
-    fine = (
-        cells.join(start, keys)
-        .select("*", every(2 * FINE).alias("ib")).select("*", every(2 * FINE).alias("ia"))
-        .withColumn("b", F.greatest(F.least(F.col("b0") + step * ((F.col("ib") - FINE) / F.lit(float(FINE))), F.col("hi")), F.col("lo")))
-        .withColumn("a", F.col("a0") * F.pow(F.lit(A_RATIO), (F.col("ia") - FINE) / F.lit(float(FINE))))
+    step = (F.col("hi") - F.col("lo")) / F.lit(float(B_STEPS * FINE))
+
+    def around(found: DataFrame, moves: int, lapse_moves: int, parts: float, keep: Sequence[str]) -> DataFrame:
+        """Best point of a grid around (b0, a0, lapse0) with steps of 1 / parts."""
+        points = (
+            cells.join(found, keys)
+            .select("*", every(2 * moves).alias("ib")).select("*", every(2 * moves).alias("ia"))
+            .select("*", every(2 * lapse_moves).alias("il"))
+            .withColumn("lapse", F.greatest(F.col("lapse0") + (F.col("il") - lapse_moves) * F.lit(LAPSE_STEP / parts), F.lit(0.0)))
+            .withColumn("b", F.greatest(F.least(F.col("b0") + step * ((F.col("ib") - moves) / F.lit(parts)), F.col("hi")), F.col("lo")))
+            .withColumn("a", F.col("a0") * F.pow(F.lit(A_RATIO), (F.col("ia") - moves) / F.lit(FINE * parts)))
+        )
+        return _best(points, keys, ["ib", "ia", "il"], keep)
+
+    fine = around(start, FINE, LAPSE_FINE, 1.0, ["lo", "hi"]).select(
+        *keys, "lo", "hi", F.col("b").alias("b0"), F.col("a").alias("a0"), F.col("lapse").alias("lapse0")
     )
-    best = _best(fine, keys, ["ib", "ia", "lapse"], [])
+    best = around(fine, LAST, LAST, 2.0, [])
     return best.withColumn("x50", x50(F.col("b"), F.col("a"), F.col("lapse")))
 
 
+def _scores(level, n, k, b, a, lapse):
+    """Log-likelihood of every grid point; points along the last axis."""
+    solve = (1.0 - lapse) / (1.0 + np.exp(-(a * (b - level[:, None]))))
+    p = np.maximum(np.minimum(solve, 1.0 - CURVE_CLIP), CURVE_CLIP)
+    return np.round((k[:, None] * np.log(p) + (n - k)[:, None] * np.log(1.0 - p)).sum(axis=0), 6)
+
+
+def _fit_one(level: np.ndarray, n: np.ndarray, k: np.ndarray) -> tuple[float, float, float]:
+    """The three grids of ``fit_curves`` for the cells of one key."""
+    low, high = level.min() - 1.0, level.max() + 1.0
+
+    def best(b, a, lapse):
+        b, a, lapse = (x.ravel() for x in np.broadcast_arrays(b, a, lapse))
+        score = _scores(level, n, k, b, a, lapse)
+        top = np.flatnonzero(score == score.max())
+        pick = top[np.lexsort((lapse[top], a[top], b[top]))[0]]
+        return b[pick], a[pick], lapse[pick]
+
+    def around(found, moves, lapse_moves, parts):
+        b0, a0, lapse0 = found
+        step, lapse_step = np.arange(-moves, moves + 1), np.arange(-lapse_moves, lapse_moves + 1)
+        return best(
+            np.maximum(np.minimum(b0 + (high - low) / (B_STEPS * FINE) * (step / parts), high), low)[:, None, None],
+            (a0 * np.power(A_RATIO, step / (FINE * parts)))[None, :, None],
+            np.maximum(lapse0 + lapse_step * (LAPSE_STEP / parts), 0.0)[None, None, :],
+        )
+
+    start = best(
+        (low + (high - low) * np.arange(B_STEPS + 1) / B_STEPS)[:, None, None],
+        (A_LOW * np.power(A_RATIO, np.arange(A_STEPS + 1.0)))[None, :, None], np.array(LAPSES)[None, None, :],
+    )
+    return around(around(start, FINE, LAPSE_FINE, 1.0), LAST, LAST, 2.0)
+
+
+_FIT = StructType([StructField(c, DoubleType()) for c in ("b", "a", "lapse")])
+
+
+@F.arrow_udf(_FIT)
+def _fitted(cells: pa.Array) -> pa.Array:
+    rows = []
+    for group in cells:
+        level, n, k = np.array([(c["level_value"], c["n"], c["k"]) for c in group.as_py()], float).T
+        rows.append(dict(zip(("b", "a", "lapse"), _fit_one(level, n, k))))
+    return pa.array(rows, pa.struct([(c, pa.float64()) for c in ("b", "a", "lapse")]))
+
+
+def fit_many_curves(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``fit_curves`` for very many keys, such as replicates: a key's levels
+    (tens of rows) are one row, and the grids are laid over them in place."""
+    grouped = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("level_value", "n", "k"))).alias("cells"))
+    fits = grouped.select(*keys, _fitted(F.col("cells")).alias("fit")).select(*keys, "fit.*")
+    return fits.withColumn("x50", x50(F.col("b"), F.col("a"), F.col("lapse")))
+
+
 def rounded(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
     return fits.select(*keys, *[F.round(c, 6).alias(c) for c in ("b", "a", "lapse", "x50")])
 
@@ -96,32 +167,35 @@ def peaks(levels: DataFrame, keys: Sequence[str], feature: str, x50_by_key: Data
     )
 
 
-def curve_intervals(calls: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """95 percent intervals of the curve, token peak and offset over resampled
-    instances. The resample sums instance counts; no call is copied."""
+def curve_intervals(calls: DataFrame, replicates: int, seed: int, keys: Sequence[str] = ()) -> DataFrame:
+    """95 percent intervals of the curve, token peak and offset per key over
+    resampled instances. The resample sums instance counts; no call is copied."""
+    keys = list(keys)
     done = calls.where(O.is_completed(F.col("outcome")))
-    per_instance = done.groupBy("instance_id").agg(
+    per_instance = done.groupBy(*keys, "instance_id").agg(
         F.first("level_value").alias("level_value"), F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("outcome") == O.PASS).alias("k"),
         F.sum(F.round(F.log(F.col("completion_tokens") + 1) * 1e6, 0).cast("bigint")).alias("log_tokens"),
     )
-    clusters = M.materialize(M.indexed_clusters(per_instance, "instance_id").drop("instance_id"))
-    count = clusters.count()
-    draws = M.bootstrap_draws(clusters.sparkSession, max(count, 1), replicates, seed)
-    side = F.broadcast(clusters) if count <= M.BROADCAST_CLUSTERS else clusters
-    cells = M.materialize(
-        draws.join(side, "idx").groupBy("rep", "level_value").agg(
-            *[F.sum(c).alias(c) for c in ("n", "k", "log_tokens")]
-        )
+    index = M.materialize(M.indexed_clusters(per_instance.select("instance_id").distinct(), "instance_id"))
+    count = index.count()
+    # The same instances are drawn for every key, as often as there are instances.
+    times = M.bootstrap_draws(index.sparkSession, max(count, 1), replicates, seed).groupBy("rep", "idx").agg(
+        F.count(F.lit(1)).alias("times")
     )
-    fits = fit_curves(cells.drop("log_tokens"), ["rep"])
-    means = cells.select("rep", "level_value", F.round(F.col("log_tokens") / F.col("n") / 1e6, 6).alias("m"))
-    top = peaks(means, ["rep"], "m", fits).select("rep", F.col("peak_level").alias("peak"), F.col("offset_from_x50").alias("offset"))
+    weighted = times.join(per_instance.join(index, "instance_id").drop("instance_id"), "idx")
+    cells = M.materialize(weighted.groupBy("rep", *keys, "level_value").agg(
+        *[F.sum(F.col(c) * F.col("times")).alias(c) for c in ("n", "k", "log_tokens")]
+    ))
+    groups = ["rep", *keys]
+    fits = M.materialize(fit_many_curves(cells.drop("log_tokens"), groups))
+    means = cells.select(*groups, "level_value", F.round(F.col("log_tokens") / F.col("n") / 1e6, 6).alias("m"))
+    top = peaks(means, groups, "m", fits).select(*groups, F.col("peak_level").alias("peak"), F.col("offset_from_x50").alias("offset"))
     names = ["x50", "a", "b", "lapse", "peak", "offset"]
     pairs = ", ".join(f"'{n}', {n}" for n in names)
-    long = fits.join(top, "rep").selectExpr(f"stack({len(names)}, {pairs}) AS (parameter, value)")
+    long = fits.join(top, groups).selectExpr(*keys, f"stack({len(names)}, {pairs}) AS (parameter, value)")
     # One row per replicate and parameter.
-    return long.groupBy("parameter").agg(
+    return long.groupBy(*keys, "parameter").agg(
         F.count(F.lit(1)).alias("replicates"), F.round(F.percentile("value", F.lit(0.025)), 6).alias("ci_low"),
         F.round(F.percentile("value", F.lit(0.975)), 6).alias("ci_high"),
     )

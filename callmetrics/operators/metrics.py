@@ -15,9 +15,6 @@ from callmetrics.operators.ordered import prefix_sums, quantiles, ranked, unifor
 from callmetrics.session import materialize, parallelism, side_by_side
 
 NAN = float("nan")
-# Cluster sums are three numbers a row; up to this many rows they are sent to
-# every executor, beyond it the draws are joined by shuffle.
-BROADCAST_CLUSTERS = 500_000
 
 
 def squared_error(label: Column, score: Column) -> Column:
@@ -176,8 +173,7 @@ def replicate_sums(rows: DataFrame, sums: Sequence[str], cluster: str, replicate
     if count < 2:
         return clusters.sparkSession.createDataFrame([], "rep bigint, " + ", ".join(f"{s} double" for s in sums)), count
     draws = bootstrap_draws(clusters.sparkSession, count, replicates, seed)
-    side = F.broadcast(clusters) if count <= BROADCAST_CLUSTERS else clusters
-    return draws.join(side, "idx").groupBy("rep").agg(*[F.sum(s).alias(s) for s in sums]), count
+    return draws.join(clusters, "idx").groupBy("rep").agg(*[F.sum(s).alias(s) for s in sums]), count
 
 
 def clustered_interval(rows: DataFrame, cluster: str = "instance_id", replicates: int = 2000, seed: int = 20260712) -> DataFrame:

@@ -220,8 +220,11 @@ def quantiles(
     groups = list(groups)
     values = df.select(*groups, F.col(value).cast("double").alias("v"))
     # Stored once: the counts are read for the ranges, their totals and the
-    # ranks. Missing values are dropped after it, so no value is computed twice.
-    counts = materialize(value_counts(values, "v", groups)).where(F.col("v").isNotNull())
+    # ranks. Missing values count nothing, but keep a group that has no others:
+    # its size is 0 and its quantiles are null.
+    counts = materialize(value_counts(values, "v", groups)).withColumn(
+        "n", F.when(F.col("v").isNull(), F.lit(0).cast("bigint")).otherwise(F.col("n"))
+    )
     placed = prefix_sums(counts, "v", {"below": "n"}, groups, totals={"total": "n"})
     picks = []
     for name, p in probabilities.items():

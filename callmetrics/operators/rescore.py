@@ -7,34 +7,40 @@ from pyspark.sql import functions as F
 
 from callmetrics.functions import answers as A
 from callmetrics.functions import outcomes as O
-from callmetrics.operators.upsert import update_scores
 
 
-def rescored(rows: DataFrame, variables: int) -> DataFrame:
-    """``rows(call_id, clauses, response_text, finish_reason, provider_mismatch,
-    outcome, parsed_answer)`` to the new score of every finished, matching call."""
-    eligible = rows.where(
-        (F.coalesce(F.col("provider_mismatch"), F.lit(0)) == 0) & O.finished(F.col("finish_reason"))
-    )
-    bits = eligible.select(
-        "call_id", "clauses", F.col("outcome").alias("before"), F.col("parsed_answer").alias("parsed_before"),
-        A.final_bits(F.col("response_text"), variables).alias("bits"),
-    )
+def _scored(rows: DataFrame, variables: int) -> DataFrame:
+    """Adds ``__new`` to every row: the struct of outcome and parsed answer that
+    its stored response now gives; null for calls that are not rescored."""
+    eligible = (F.coalesce(F.col("provider_mismatch"), F.lit(0)) == 0) & O.finished(F.col("finish_reason"))
+    bits = rows.withColumn("__bits", F.when(eligible, A.final_bits(F.col("response_text"), variables)))
     outcome = (
-        F.when(F.col("bits").isNull(), "fail_parse")
-        .when(A.satisfies(F.col("clauses"), F.col("bits")), O.PASS)
+        F.when(F.col("__bits").isNull(), "fail_parse")
+        .when(A.satisfies(F.col("clauses"), F.col("__bits")), O.PASS)
         .otherwise(O.WRONG)
     )
-    return bits.select(
-        "call_id", "before", "parsed_before", outcome.alias("outcome"), A.assignment_json(F.col("bits")).alias("parsed_answer")
-    )
+    new = F.struct(outcome.alias("outcome"), A.assignment_json(F.col("__bits")).alias("parsed_answer"))
+    return bits.withColumn("__new", F.when(eligible, new)).drop("__bits")
 
 
 def changes(rows: DataFrame, variables: int) -> DataFrame:
-    new = rescored(rows, variables)
+    """``rows(call_id, clauses, response_text, finish_reason, provider_mismatch,
+    outcome, parsed_answer)`` to the new score of every finished, matching call
+    whose score differs from the stored one."""
+    new = _scored(rows, variables).where(F.col("__new").isNotNull()).select(
+        "call_id", F.col("outcome").alias("before"), F.col("parsed_answer").alias("parsed_before"), "__new.*"
+    )
     same = new["outcome"].eqNullSafe(new["before"]) & new["parsed_answer"].eqNullSafe(new["parsed_before"])
     return new.where(~same)
 
 
 def apply_rescoring(rows: DataFrame, variables: int) -> DataFrame:
-    return update_scores(rows, changes(rows, variables).select("call_id", "outcome", "parsed_answer"))
+    """The table with its new scores. Every change comes from its own row, so
+    this is one pass without a join."""
+    hit = F.col("__new").isNotNull()
+    outcome = F.when(hit, F.col("__new.outcome")).otherwise(F.col("outcome"))
+    changed = {
+        "outcome": outcome, "parsed_answer": F.when(hit, F.col("__new.parsed_answer")).otherwise(F.col("parsed_answer")),
+        "pass": F.when(outcome == O.PASS, 1).otherwise(0),
+    }
+    return _scored(rows, variables).select(*[changed.get(c, F.col(c)).alias(c) for c in rows.columns])

@@ -86,18 +86,28 @@ MIN_SILENT, MIN_COMPLETED, MIN_MIXED_LEVELS = 20, 30, 3
 
 
 def cohort_audit(calls: DataFrame, instances: DataFrame) -> DataFrame:
-    """One row per model: counts and the five eligibility conditions."""
-    joined = calls.join(instances.select("instance_id"), "instance_id", "left_semi")
-    counts = joined.groupBy("model_id").agg(
-        F.count(F.lit(1)).alias("calls"),
-        *outcome_counts(),
-        F.min(F.coalesce(F.col("provider_pinned"), F.lit(0))).alias("least_pinned"),
-        F.max(F.coalesce(F.col("provider_pinned"), F.lit(0))).alias("most_pinned"),
+    """One row per model: counts and the five eligibility conditions. Calls are
+    reduced once per instance and provider; levels, providers, instances and
+    totals are grouping sets of what is left."""
+    pinned = F.coalesce(F.col("provider_pinned"), F.lit(0))
+    reduced = calls.groupBy("model_id", "instance_id", F.coalesce("provider_endpoint", F.lit("")).alias("provider")).agg(
+        F.count(F.lit(1)).alias("calls"), *outcome_counts(), F.min(pinned).alias("least_pinned"), F.max(pinned).alias("most_pinned")
+    )
+    sums = ("calls", "correct", "silent_wrong", "loud")
+    by_level, by_provider, by_instance, whole = 0b0011, 0b0101, 0b0110, 0b0111
+    sets = reduced.join(instances.select("instance_id", "level_value"), "instance_id").groupingSets(
+        [["model_id", "level_value"], ["model_id", "provider"], ["model_id", "instance_id"], ["model_id"]],
+        "model_id", "level_value", "provider", "instance_id",
+    ).agg(
+        F.grouping_id().alias("grouped"), *[F.sum(c).alias(c) for c in sums],
+        F.min("least_pinned").alias("least_pinned"), F.max("most_pinned").alias("most_pinned"),
+    )
+    of = lambda kind: F.col("grouped") == kind
+    row = sets.groupBy("model_id").agg(
+        *[F.max(F.when(of(whole), F.col(c))).alias(c) for c in (*sums, "least_pinned", "most_pinned")],
+        F.count_if(of(by_instance)).alias("instances"), F.count_if(of(by_provider)).alias("providers"),
+        F.count_if(of(by_level) & (F.col("correct") > 0) & (F.col("silent_wrong") > 0)).alias("mixed_levels"),
     )
-    kinds = distinct_counts(joined)
-    cells = level_outcomes(calls, instances, ["model_id"])
-    mixed = mixed_levels(cells, ["model_id"])
-    row = counts.join(kinds, "model_id").join(mixed, "model_id")
     conditions = {
         "at_least_20_silent_wrong": F.col("silent_wrong") >= MIN_SILENT,
         "at_least_30_completed_calls": F.col("correct") + F.col("silent_wrong") >= MIN_COMPLETED,

@@ -9,31 +9,22 @@ from pyspark.sql import functions as F
 
 from callmetrics.functions import outcomes as O
 from callmetrics.functions import texts as X
+from callmetrics.functions import trace_kernels as K
 from callmetrics.operators import metrics as M
 from callmetrics.operators.ordered import quantiles
-from callmetrics.session import materialize, parallelism
+from callmetrics.session import materialize
 
 # Fixed value: characters per billed token in the delivered-share estimate.
 CHARS_PER_TOKEN = 3.7
 
 
-def spread(traces: DataFrame) -> DataFrame:
-    """Text work is bound by processors: a table stored in fewer pieces than
-    there are shuffle partitions is spread by call id first."""
-    wanted = parallelism(traces.sparkSession)
-    return traces.repartition(wanted, "call_id") if traces.rdd.getNumPartitions() < wanted else traces
-
-
-def worded(traces: DataFrame, keep: Sequence[str]) -> DataFrame:
-    return spread(traces.select(*keep, "reasoning_text")).select(*keep, X.words(F.col("reasoning_text")).alias("w"))
+def trace_features(traces: DataFrame, lexicon: Mapping[str, Sequence[str]], keep: Sequence[str]) -> DataFrame:
+    made = traces.select(*keep, K.trace_features_udf(lexicon)(F.col("reasoning_text"), F.col("response_text")).alias("f"))
+    return made.select(*keep, *[F.round(f"f.{n}", 6).alias(n) for n in K.FEATURES])
 
 
-def trace_features(traces: DataFrame, lexicon: Mapping[str, Sequence[str]], keep: Sequence[str]) -> DataFrame:
-    prepared = spread(traces.select(*keep, "reasoning_text", "response_text")).select(
-        *keep, X.words(F.col("reasoning_text")).alias("w"), X.words(F.col("response_text")).alias("answer")
-    ).select("*", X.last_share(F.col("w"), X.TAIL).alias("tail"))
-    features = X.trace_features(F.col("w"), F.col("tail"), F.col("answer"), lexicon)
-    return prepared.select(*keep, *[F.round(c, 6).alias(n) for n, c in features.items()])
+def trace_repetition(traces: DataFrame, keep: Sequence[str], k: int = X.SHINGLE) -> DataFrame:
+    return traces.select(*keep, F.round(K.repetition_udf(k)(F.col("reasoning_text")), 6).alias("repetition"))
 
 
 def trace_availability(traces: DataFrame, keys: Sequence[str] = ("model_id", "route")) -> DataFrame:
@@ -51,7 +42,8 @@ def texture_levels(features: DataFrame, keys: Sequence[str], names: Sequence[str
 
 
 def risk_scores(traces: DataFrame, lexicon: Mapping[str, Sequence[str]], chunk_words: int = X.CHUNK_WORDS) -> DataFrame:
-    scored = worded(traces, ["call_id"]).select("call_id", X.rolling_scores(F.col("w"), lexicon, chunk_words).alias("scores"))
+    score = K.rolling_scores_udf(lexicon, chunk_words)
+    scored = traces.select("call_id", score(F.col("reasoning_text")).alias("scores"))
     # The outer form infers no filter on the array, which would score twice.
     return scored.select("call_id", F.posexplode_outer("scores").alias("chunk", "score")).where(
         F.col("chunk").isNotNull()
@@ -64,18 +56,18 @@ def risk_scores(traces: DataFrame, lexicon: Mapping[str, Sequence[str]], chunk_w
 def replay(traces: DataFrame, lexicon: Mapping[str, Sequence[str]], chunk_sizes: Sequence[int] = (X.CHUNK_WORDS,)) -> DataFrame:
     """One narrow row per call and chunk size: when the trigger would have
     fired and how much of the trace and of the latency was left."""
-    prepared = worded(traces, ["call_id", "outcome", "latency_ms"]).where(F.size("w") >= X.MIN_WORDS)
-    scored = prepared.select(
-        "call_id", "outcome", "latency_ms", F.size("w").alias("total_words"),
-        *[X.rolling_scores(F.col("w"), lexicon, c).alias(f"s{c}") for c in chunk_sizes],
-    )
+    text = F.col("reasoning_text")
+    scored = traces.select(
+        "call_id", "outcome", "latency_ms", K.size_udf()(text).alias("total_words"),
+        *[K.rolling_scores_udf(lexicon, c)(text).alias(f"s{c}") for c in chunk_sizes],
+    ).where(F.col("total_words") >= X.MIN_WORDS)
     fired = scored.select(
         "call_id", "outcome", "latency_ms", "total_words",
         *[X.trigger_chunk(F.col(f"s{c}"), c).alias(f"t{c}") for c in chunk_sizes],
     )
     pairs = ", ".join(f"{c}L, t{c}" for c in chunk_sizes)
     long = fired.selectExpr(
-        "call_id", "outcome", "latency_ms", "cast(total_words AS bigint) AS total_words",
+        "call_id", "outcome", "latency_ms", "total_words",
         f"stack({len(chunk_sizes)}, {pairs}) AS (chunk_words, trigger_chunk)",
     )
     fraction = (F.col("trigger_chunk") + 1) * F.col("chunk_words") / F.col("total_words")

@@ -40,10 +40,9 @@ def record_calls(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def add_instances(existing: DataFrame, incoming: DataFrame, order: Sequence[str]) -> DataFrame:
     """Insert or ignore: known ids stay as they are, the first new row is taken."""
-    fresh = incoming.join(existing.select("instance_id"), "instance_id", "left_anti")
-    return existing.unionByName(
-        first_wins(fresh, ["instance_id"], order).select(*existing.columns)
-    )
+    first = first_wins(incoming, ["instance_id"], order)
+    fresh = first.join(existing.select("instance_id"), "instance_id", "left_anti")
+    return existing.unionByName(fresh.select(*existing.columns))
 
 
 def record_events(existing: DataFrame, incoming: DataFrame, order: Sequence[str] = ("write_no",)) -> DataFrame:
@@ -103,9 +102,10 @@ def remaining_plan(plan: DataFrame, calls: DataFrame) -> DataFrame:
 WORST_PROMPT_TOKENS = 8_000
 
 
-def plan_summary(plan: DataFrame, price_in: float, price_out: float, max_tokens: int, cap_usd: float | None) -> DataFrame:
+def plan_summary(instances: DataFrame, samples: int, price_in: float, price_out: float, max_tokens: int, cap_usd: float | None) -> DataFrame:
     worst = O.estimated_microdollars(F.lit(WORST_PROMPT_TOKENS), F.lit(max_tokens), price_in, price_out)
-    return plan.agg(F.count(F.lit(1)).alias("planned_calls")).select(
+    # The plan has every instance so often; it need not be laid out to be counted.
+    return instances.agg((F.count(F.lit(1)) * samples).alias("planned_calls")).select(
         "planned_calls", worst.alias("worst_case_microdollars"), O.usd(worst).alias("per_call_worst_case_usd"),
         F.lit("unlimited" if cap_usd is None else str(cap_usd)).alias("hard_cap_usd"),
     )

@@ -27,8 +27,21 @@ P_SQL = "greatest(least((1.0 - lapse) / (1.0 + exp(-(a * (b - level_value)))), 1
 LL_SQL = f"round(sum(k * ln({P_SQL}) + (n - k) * ln(1.0 - {P_SQL})), 6)"
 
 
+def around_sql(tag: str, keys: str, name: str, found: str, moves: int, lapse_moves: int, parts: float) -> str:
+    """The best point of a grid around (b0, a0, lapse), as fx_<name>_<tag>."""
+    return f"""fg_{name}_{tag} AS (SELECT {keys}, lo, hi, ib, ia, il, greatest(lapse + (il - {lapse_moves}) * {C.LAPSE_STEP / parts}::DOUBLE, 0.0::DOUBLE) AS lapse,
+    greatest(least(b0 + (hi - lo) / {float(C.B_STEPS * C.FINE)}::DOUBLE * ((ib - {moves}) / {parts}::DOUBLE), hi), lo) AS b,
+    a0 * pow({C.A_RATIO}::DOUBLE, (ia - {moves}) / {C.FINE * parts}::DOUBLE) AS a
+  FROM {found}, (SELECT unnest(range({2 * moves + 1})) AS ib), (SELECT unnest(range({2 * moves + 1})) AS ia),
+    (SELECT unnest(range({2 * lapse_moves + 1})) AS il)),
+fl_{name}_{tag} AS (SELECT {keys}, ib, ia, il, any_value(lapse) AS lapse, any_value(b) AS b, any_value(a) AS a, any_value(lo) AS lo, any_value(hi) AS hi, {LL_SQL} AS ll
+  FROM fg_{name}_{tag} JOIN fc_{tag} USING ({keys}) GROUP BY {keys}, ib, ia, il),
+fx_{name}_{tag} AS (SELECT {keys}, lo, hi, b AS b0, a AS a0, lapse FROM (
+  SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY ll DESC, b, a, lapse) AS rn FROM fl_{name}_{tag}) WHERE rn = 1)"""
+
+
 def fit_sql(tag: str, cells: str, keys: str) -> str:
-    """The same two grids as common table expressions ending in fit_<tag>."""
+    """The same three grids as common table expressions ending in fit_<tag>."""
     return f"""fc_{tag} AS ({cells}),
 fs_{tag} AS (SELECT {keys}, min(level_value) - 1.0 AS lo, max(level_value) + 1.0 AS hi FROM fc_{tag} GROUP BY {keys}),
 fg_{tag} AS (SELECT *, lo + (hi - lo) * ib / {float(C.B_STEPS)}::DOUBLE AS b, {C.A_LOW}::DOUBLE * pow({C.A_RATIO}::DOUBLE, ia::DOUBLE) AS a
@@ -38,14 +51,9 @@ fl_{tag} AS (SELECT {keys}, ib, ia, lapse, any_value(b) AS b, any_value(a) AS a,
   FROM fg_{tag} JOIN fc_{tag} USING ({keys}) GROUP BY {keys}, ib, ia, lapse),
 f0_{tag} AS (SELECT {keys}, lo, hi, b AS b0, a AS a0, lapse FROM (
   SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY ll DESC, b, a, lapse) AS rn FROM fl_{tag}) WHERE rn = 1),
-fh_{tag} AS (SELECT {keys}, lapse, ib, ia,
-    greatest(least(b0 + (hi - lo) / {float(C.B_STEPS)}::DOUBLE * ((ib - {C.FINE}) / {float(C.FINE)}::DOUBLE), hi), lo) AS b,
-    a0 * pow({C.A_RATIO}::DOUBLE, (ia - {C.FINE}) / {float(C.FINE)}::DOUBLE) AS a
-  FROM f0_{tag}, (SELECT unnest(range({2 * C.FINE + 1})) AS ib), (SELECT unnest(range({2 * C.FINE + 1})) AS ia)),
-fm_{tag} AS (SELECT {keys}, ib, ia, lapse, any_value(b) AS b, any_value(a) AS a, {LL_SQL} AS ll
-  FROM fh_{tag} JOIN fc_{tag} USING ({keys}) GROUP BY {keys}, ib, ia, lapse),
-fit_{tag} AS (SELECT {keys}, b, a, lapse, b - ln((0.5 / (1.0 - lapse)) / (1.0 - 0.5 / (1.0 - lapse))) / a AS x50 FROM (
-  SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY ll DESC, b, a, lapse) AS rn FROM fm_{tag}) WHERE rn = 1)"""
+{around_sql(tag, keys, "h", f"f0_{tag}", C.FINE, C.LAPSE_FINE, 1.0)},
+{around_sql(tag, keys, "k", f"fx_h_{tag}", C.LAST, C.LAST, 2.0)},
+fit_{tag} AS (SELECT {keys}, b0 AS b, a0 AS a, lapse, b0 - ln((0.5 / (1.0 - lapse)) / (1.0 - 0.5 / (1.0 - lapse))) / a0 AS x50 FROM fx_k_{tag})"""
 
 
 MODEL_FIT = fit_sql("m", cells_sql("model_id"), "model_id")
@@ -91,25 +99,30 @@ def _(spark, d):
     return C.peaks(levels, ["model_id"], "mean_log_tokens", model_fits(spark, d))
 
 
-INTERVAL_SQL = f"""pi AS (SELECT instance_id, any_value(level_value) AS level_value, count(*) AS n,
+# The check SQL lays every grid over every replicate, which bounds their number here.
+REPLICATES = 200
+INTERVAL_SQL = f"""pi AS (SELECT model_id, instance_id, any_value(level_value) AS level_value, count(*) AS n,
     count(*) FILTER (WHERE outcome = 'pass') AS k, sum(CAST(round(ln(completion_tokens + 1) * 1e6, 0) AS BIGINT)) AS lt
-  FROM leveled WHERE model_id = '{MODEL}' AND outcome IN ('pass', 'fail_wrong') GROUP BY instance_id),
-px AS (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5(instance_id), 1, 15))::BIGINT, instance_id) - 1 AS idx, count(*) OVER () AS cnt FROM pi),
+  FROM leveled WHERE outcome IN ('pass', 'fail_wrong') GROUP BY model_id, instance_id),
+px AS (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5(instance_id), 1, 15))::BIGINT, instance_id) - 1 AS idx, count(*) OVER () AS cnt
+  FROM (SELECT DISTINCT instance_id FROM pi)),
 pd AS (SELECT rep, ('0x' || substr(md5('7|' || rep || '|' || draw), 1, 8))::BIGINT % (SELECT max(cnt) FROM px) AS idx
-  FROM (SELECT unnest(range(10)) AS rep), LATERAL (SELECT unnest(range((SELECT max(cnt) FROM px))) AS draw)),
-pc AS (SELECT rep, level_value, sum(n) AS n, sum(k) AS k, sum(lt) AS lt FROM pd JOIN px USING (idx) GROUP BY 1, 2)"""
-
-
-@query("me12_curve_intervals", ctes=(*BASE, INTERVAL_SQL, fit_sql("r", "SELECT rep, level_value, n::BIGINT AS n, k::BIGINT AS k FROM pc", "rep")), sql="""
-, pm AS (SELECT rep, level_value, round(lt::DOUBLE / n::DOUBLE / 1e6, 6) AS m FROM pc),
-pp AS (SELECT rep, arg_min(level_value, (-m, level_value)) AS peak FROM pm GROUP BY rep),
-al AS (SELECT *, round(peak - x50, 6) AS off FROM fit_r JOIN pp USING (rep)),
-lg AS (SELECT 'x50' AS parameter, x50 AS value FROM al UNION ALL SELECT 'a', a FROM al UNION ALL SELECT 'b', b FROM al
-  UNION ALL SELECT 'lapse', lapse FROM al UNION ALL SELECT 'peak', peak FROM al UNION ALL SELECT 'offset', off FROM al)
-SELECT parameter, count(*) AS replicates, round(quantile_cont(value, 0.025), 6) AS ci_low, round(quantile_cont(value, 0.975), 6) AS ci_high
-FROM lg GROUP BY parameter""")
+  FROM (SELECT unnest(range({REPLICATES})) AS rep), LATERAL (SELECT unnest(range((SELECT max(cnt) FROM px))) AS draw)),
+pw AS (SELECT rep, idx, count(*) AS times FROM pd GROUP BY 1, 2),
+pc AS (SELECT rep, model_id, level_value, sum(n * times) AS n, sum(k * times) AS k, sum(lt * times) AS lt
+  FROM pw JOIN px USING (idx) JOIN pi USING (instance_id) GROUP BY 1, 2, 3)"""
+
+
+@query("me12_curve_intervals", ctes=(*BASE, INTERVAL_SQL, fit_sql("r", "SELECT rep, model_id, level_value, n::BIGINT AS n, k::BIGINT AS k FROM pc", "rep, model_id")), sql="""
+, pm AS (SELECT rep, model_id, level_value, round(lt::DOUBLE / n::DOUBLE / 1e6, 6) AS m FROM pc),
+pp AS (SELECT rep, model_id, arg_min(level_value, (-m, level_value)) AS peak FROM pm GROUP BY rep, model_id),
+al AS (SELECT *, round(peak - x50, 6) AS off FROM fit_r JOIN pp USING (rep, model_id)),
+lg AS (SELECT model_id, 'x50' AS parameter, x50 AS value FROM al UNION ALL SELECT model_id, 'a', a FROM al UNION ALL SELECT model_id, 'b', b FROM al
+  UNION ALL SELECT model_id, 'lapse', lapse FROM al UNION ALL SELECT model_id, 'peak', peak FROM al UNION ALL SELECT model_id, 'offset', off FROM al)
+SELECT model_id, parameter, count(*) AS replicates, round(quantile_cont(value, 0.025), 6) AS ci_low, round(quantile_cont(value, 0.975), 6) AS ci_high
+FROM lg GROUP BY model_id, parameter""")
 def _(spark, d):
-    return C.curve_intervals(leveled(spark, d).where(F.col("model_id") == MODEL), 10, 7)
+    return C.curve_intervals(leveled(spark, d), REPLICATES, 7, ["model_id"])
 
 
 HALF_FIT = fit_sql("h", cells_sql("ms, half", "halved"), "ms, half")

@@ -19,6 +19,7 @@ from callmetrics.sources.files import load_frozen
 
 CURVE = X.FROZEN["curve"]
 SEED = 20260712
+REPLICATES = 2000
 
 
 def sql_curve(level: str, b: str, a: str, lapse: str) -> str:
@@ -155,15 +156,15 @@ boot AS (SELECT (SELECT max(k) FROM ci) AS clusters, count(*) AS replicates, qua
   quantile_cont(skill, 0.975) AS ci_high FROM sk)"""
 
 
-@query("me7_cluster_bootstrap", ctes=(T.PREDICTIONS_SQL, boot_sql("predictions", 500, SEED)), sql="""
+@query("me7_cluster_bootstrap", ctes=(T.PREDICTIONS_SQL, boot_sql("predictions", REPLICATES, SEED)), sql="""
 SELECT clusters, replicates, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM boot""")
 def _(spark, d):
-    out = M.clustered_interval(T.predictions(spark, d), replicates=500, seed=SEED)
+    out = M.clustered_interval(T.predictions(spark, d), replicates=REPLICATES, seed=SEED)
     return out.select("clusters", "replicates", F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"))
 
 
 @query("me8_prospective_report", ctes=(*CALL_CTES, FEATURE_SQL, SCORED_SQL,
-    f"pred AS (SELECT * FROM scored WHERE {IN_STUDY})", boot_sql("pred", 50, SEED)), sql=f"""
+    f"pred AS (SELECT * FROM scored WHERE {IN_STUDY})", boot_sql("pred", REPLICATES, SEED)), sql=f"""
 , m AS (SELECT {METRIC_SQL}, round(avg((label - curve_prior) * (label - curve_prior)), 6) AS curve_brier FROM pred),
 a AS (SELECT round(auc, 6) AS auc FROM ({auc_sql('pred')})),
 c AS (SELECT count(*) AS calls, {COUNTS_SQL}, round(sum(cost_microdollars)::DOUBLE / 1e6, 6) AS spend_usd FROM calls WHERE {IN_STUDY}),
@@ -175,7 +176,7 @@ SELECT CASE WHEN brier_skill_at_least_0_10 AND interval_excludes_zero AND auc_at
   brier_skill_at_least_0_10, interval_excludes_zero, auc_at_least_0_75,
   brier_skill_at_least_0_10 AND interval_excludes_zero AND auc_at_least_0_75 AS pass FROM g""")
 def report(spark, d):
-    return R.prospective_report(study(T.calls(spark, d)), T.instances(spark, d), X.FROZEN, replicates=50, seed=SEED)
+    return R.prospective_report(study(T.calls(spark, d)), T.instances(spark, d), X.FROZEN, replicates=REPLICATES, seed=SEED)
 
 
 SCORES = {"curve": "curve_prior", "metadata": "prediction", "trace": "trace_score", "combined": "(prediction + trace_score) / 2.0D"}
@@ -293,3 +294,15 @@ def _(spark, d):
     f"SELECT class, '{f}' AS feature, count({f}) AS n, round(quantile_cont({f}::DOUBLE, 0.5), 6) AS median FROM billed GROUP BY class" for f in AUDIT_FEATURES))
 def _(spark, d):
     return M.feature_medians(billed(spark, d), AUDIT_FEATURES, ["class"])
+
+
+# A class whose feature is never known keeps its row.
+BLANKED_SQL = "blanked AS (SELECT class, CASE WHEN class = 'correct_completed' THEN NULL ELSE completion_tokens END AS completion_tokens FROM billed)"
+
+
+@query("ag11_empty_group", ctes=(T.CALLS_SQL, BILLED_SQL, BLANKED_SQL), sql="""
+SELECT class, 'completion_tokens' AS feature, count(completion_tokens) AS n, round(quantile_cont(completion_tokens::DOUBLE, 0.5), 6) AS median
+FROM blanked GROUP BY class""")
+def _(spark, d):
+    blanked = billed(spark, d).withColumn("completion_tokens", F.when(F.col("class") != "correct_completed", F.col("completion_tokens")))
+    return M.feature_medians(blanked, ["completion_tokens"], ["class"])

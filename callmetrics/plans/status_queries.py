@@ -308,6 +308,20 @@ def _(spark, d):
     return S.first_stop(T.calls(spark, d), LIMITS)
 
 
+@query("wn3_first_stop_null_stage", ctes=(T.CALLS_SQL,), sql=f"""
+, blanked AS (SELECT * REPLACE (CASE WHEN stage = '{MAIN}' THEN NULL ELSE stage END AS stage) FROM calls),
+run AS (SELECT stage, model_id, call_id,
+  CAST(sum((outcome = 'pass')::INT) OVER w AS BIGINT) AS correct, CAST(sum((outcome = 'fail_wrong')::INT) OVER w AS BIGINT) AS silent_wrong,
+  CAST(count(*) OVER w AS BIGINT) AS calls, CAST(sum(cost_microdollars) OVER w AS BIGINT) AS spend_microdollars
+  FROM blanked WINDOW w AS (PARTITION BY stage, model_id ORDER BY call_id)),
+flag AS (SELECT *, {STOP_SQL} AS stop_reason FROM run)
+SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY stage, model_id ORDER BY call_id) AS rn
+  FROM flag WHERE stop_reason IS NOT NULL) WHERE rn = 1""")
+def _(spark, d):
+    calls = T.calls(spark, d)
+    return S.first_stop(calls.withColumn("stage", F.when(F.col("stage") != MAIN, F.col("stage"))), LIMITS)
+
+
 @query("wn4_budget_replay", ctes=(T.CALLS_SQL,), sql="""
 , c AS (SELECT stage, model_id, start_us, greatest(end_us, start_us + 1) AS end_us, cost_microdollars FROM calls),
 starts AS (SELECT stage, model_id, start_us, count(*) AS admitted FROM c GROUP BY 1, 2, 3),

@@ -129,7 +129,7 @@ def _(spark, d):
 @query("st1_completed_keys", ctes=(T.SAMPLED_SQL,), sql=f"""
 SELECT DISTINCT instance_id, sample_idx FROM sampled WHERE {IN_STUDY}""")
 def _(spark, d):
-    return U.completed_keys(study(T.sampled_calls(spark, d)))
+    return U.completed_keys(T.sampled_calls(spark, d, study))
 
 
 PLAN_SQL = T.INSTANCES_SQL + """,
@@ -152,14 +152,14 @@ def _(spark, d):
 SELECT instance_id, sample_idx, level_idx FROM plan WHERE NOT EXISTS (SELECT 1 FROM sampled s WHERE {IN_STUDY}
   AND s.instance_id = plan.instance_id AND s.sample_idx = plan.sample_idx)""")
 def _(spark, d):
-    return U.remaining_plan(plan(spark, d), study(T.sampled_calls(spark, d))).select("instance_id", "sample_idx", "level_idx")
+    return U.remaining_plan(plan(spark, d), T.sampled_calls(spark, d, study)).select("instance_id", "sample_idx", "level_idx")
 
 
 @query("jn5_plan_summary", ctes=(PLAN_SQL,), sql="""
 SELECT count(*) AS planned_calls, CAST(89148 AS BIGINT) AS worst_case_microdollars,
   CAST(0.089148 AS DOUBLE) AS per_call_worst_case_usd, '38.0' AS hard_cap_usd FROM plan""")
 def _(spark, d):
-    return U.plan_summary(plan(spark, d), 0.3, 1.2, 65_536, 38.0)
+    return U.plan_summary(T.instances(spark, d), 3, 0.3, 1.2, 65_536, 38.0)
 
 
 @query("jn2_study_events", ctes=(T.STREAM_EVENTS_SQL, T.CALLS_SQL), sql=f"""
@@ -183,7 +183,7 @@ def _(spark, d):
 SELECT a.class AS before, b.class AS after, count(*) AS n FROM k a JOIN k b USING (instance_id, sample_idx)
 WHERE a.stage = '{MAIN}' AND b.stage = '{AFTER}' GROUP BY 1, 2""")
 def _(spark, d):
-    calls = T.sampled_calls(spark, d).where(F.col("model_id") == MODEL)
+    calls = T.sampled_calls(spark, d, lambda calls: calls.where(F.col("model_id") == MODEL))
     return pairing.paired_transitions(
         calls.where(F.col("stage") == MAIN), calls.where(F.col("stage") == AFTER)
     )

@@ -64,9 +64,7 @@ def trace_features(spark, d):
 @query("tr2_repetition", ctes=(T.TRACES_SQL, WORDS_SQL), sql=f"""
 SELECT call_id, {rep('w', 4)} AS repetition FROM worded""")
 def _(spark, d):
-    return TR.worded(T.traces(spark, d), ["call_id"]).select(
-        "call_id", F.round(X.repetition(F.col("w"), X.SHINGLE), 6).alias("repetition")
-    )
+    return TR.trace_repetition(T.traces(spark, d), ["call_id"])
 
 
 @query("ag13_trace_availability", ctes=(T.TRACES_SQL, WORDS_SQL), sql="""
@@ -108,7 +106,7 @@ def _(spark, d):
 RESAMPLED_SQL = """cl AS (SELECT instance_id, row_number() OVER (ORDER BY ('0x' || substr(md5(instance_id), 1, 15))::BIGINT, instance_id) - 1 AS idx, count(*) OVER () AS k
   FROM (SELECT DISTINCT instance_id FROM ranked)),
 dr AS (SELECT rep, ('0x' || substr(md5('20260712|' || rep || '|' || draw), 1, 8))::BIGINT % (SELECT max(k) FROM cl) AS idx
-  FROM (SELECT unnest(range(50)) AS rep), LATERAL (SELECT unnest(range((SELECT max(k) FROM cl))) AS draw)),
+  FROM (SELECT unnest(range(2000)) AS rep), LATERAL (SELECT unnest(range((SELECT max(k) FROM cl))) AS draw)),
 wh AS (SELECT rep, model_id, route, bt_tail AS score, sum(label)::DOUBLE AS pos, sum(1 - label)::DOUBLE AS neg
   FROM dr JOIN cl USING (idx) JOIN ranked USING (instance_id) GROUP BY ALL),
 pr AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY rep, model_id, route ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM wh),
@@ -119,7 +117,7 @@ ar AS (SELECT rep, sum(wins) / nullif(sum(pairs), 0) AS auc FROM pg GROUP BY rep
 @query("tr3_stratified_auc_interval", ctes=(*CTES, RANKED_SQL, RESAMPLED_SQL), sql="""
 SELECT count(auc) AS replicates, round(quantile_cont(auc, 0.025), 6) AS ci_low, round(quantile_cont(auc, 0.975), 6) AS ci_high FROM ar""")
 def _(spark, d):
-    return TR.stratified_auc_interval(ranking_rows(spark, d), ["model_id", "route"], "bt_tail", "instance_id", 50, 20260712)
+    return TR.stratified_auc_interval(ranking_rows(spark, d), ["model_id", "route"], "bt_tail", "instance_id", 2000, 20260712)
 
 
 @query("tr4_within_instance_auc", ctes=(*CTES, RANKED_SQL, strat_sql("model_id", "instance_id", "hedge_tail")), sql=STRAT_RESULT)

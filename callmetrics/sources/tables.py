@@ -7,6 +7,8 @@ as a common table expression, used by the check queries.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,10 +131,11 @@ calls AS (
   FROM calls0)"""
 
 
-def sampled_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls with the sample ordinal inside (instance, model, stage)."""
+def sampled_calls(spark: SparkSession, sf_dir: str, only: Callable[[DataFrame], DataFrame] = lambda calls: calls) -> DataFrame:
+    """Calls with the sample ordinal inside (instance, model, stage). ``only``
+    picks whole groups of these before they are ranked."""
     return ranked(
-        calls(spark, sf_dir), "call_id", ["instance_id", "model_id", "stage"], name="sample_idx"
+        only(calls(spark, sf_dir)), "call_id", ["instance_id", "model_id", "stage"], name="sample_idx"
     )
 
 

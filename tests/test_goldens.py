@@ -2,6 +2,8 @@
 
 import math
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,10 @@ from callmetrics.functions import envelope as E
 from callmetrics.functions import outcomes as O
 from callmetrics.functions import scoring as X
 from callmetrics.functions import texts as TX
+from callmetrics.functions import trace_kernels as TK
+from callmetrics.operators import traces as TR
+from callmetrics.operators import curves as CU
+from callmetrics.operators import status as ST
 from callmetrics.operators import curves as C
 from callmetrics.operators import ledger, release, rescore
 from callmetrics.operators import metrics as M
@@ -208,7 +214,7 @@ def test_curve_fit_finds_its_parameters(spark):
     p = lambda x: 0.98 / (1 + math.exp(-1.3 * (5.0 - x)))
     cells = spark.createDataFrame([("m", x, 4000, round(4000 * p(x))) for x in levels], "model_id string, level_value double, n bigint, k bigint")
     fit = C.fit_curves(cells, ["model_id"]).first()
-    assert fit["b"] == pytest.approx(5.0, abs=0.1) and fit["a"] == pytest.approx(1.3, abs=0.1) and fit["lapse"] == pytest.approx(0.02)
+    assert fit["b"] == pytest.approx(5.0, abs=0.1) and fit["a"] == pytest.approx(1.3, abs=0.1) and fit["lapse"] == pytest.approx(0.02, abs=0.004)
 
 
 def test_calibration_line_against_newton(spark):
@@ -253,12 +259,53 @@ def test_rolling_scores_against_plain_python(spark):
         window = words[max(0, 40 * (j - 7)):40 * (j + 1)]
         runs = [tuple(window[i:i + 4]) for i in range(len(window) - 3)]
         want.append(sum(worth.get(w, 0) for w in window) + len(runs) - len(set(runs)))
-    scores = TX.rolling_scores(TX.words(F.lit(text)), lexicon)
-    row = one(spark, s=scores, t=TX.trigger_chunk(scores))
+    score = TK.rolling_scores_udf(lexicon)
+    scored = spark.createDataFrame([(text,), ("too short",), (None,), ("",), (text + " " + "é? " * 60,)], "text string").coalesce(1).select(
+        score(F.col("text")).alias("s")).select("s", TX.trigger_chunk(F.col("s")).alias("t")).collect()
+    row = scored[0]
     assert row["s"] == want
     fired = [j for j in range(2, len(want)) if want[j] > 4 and want[j - 1] > 4]
     assert row["t"] == (fired[0] if fired else None)
-    assert one(spark, s=TX.rolling_scores(TX.words(F.lit("too short")), lexicon))["s"] == []
+    assert [r["s"] for r in scored[1:4]] == [[], [], []] and scored[4]["s"][:len(want)] == want
+
+
+def test_trace_features_against_plain_python(spark):
+    rng = np.random.default_rng(4)
+    lexicon = {f: (f[:3], f) for f in ("backtrack", "wait", "hedge", "giveup", "flip", "negative")}
+    pool = ["bac", "wait", "hed", "giveup", "fli", "neg", "so", "we?", "(it)", "Ü"]
+    rows = [(i, " ".join(rng.choice(pool, n)) if n else t, a) for i, (n, t, a) in enumerate(
+        [(200, "", "hed so"), (0, None, None), (0, "", "hed"), (1, "", ""), (5, "", "so? hed"), (67, "", "x")])]
+    words = lambda t: re.findall(r"\?|[^?.,;:!()|\" \t\n\r\f]+", (t or "").lower())
+    got = TR.trace_features(spark.createDataFrame(rows, "id long, reasoning_text string, response_text string"), lexicon, ["id"]).collect()
+    for row, (_, text, answer) in zip(sorted(got), rows):
+        w, a = words(text), words(answer)
+        part = lambda share: w[int(np.floor(len(w) * (1.0 - share))):]
+        dense = lambda x, ms: sum(v in ms for v in x) * 1000 / len(x) if x else 0.0
+        runs = lambda x, k: [tuple(x[i:i + k]) for i in range(len(x) - k + 1)]
+        rep = lambda x, k: (len(runs(x, k)) - len(set(runs(x, k)))) / len(runs(x, k)) if len(x) >= k else 0.0
+        want = {
+            "rep_tail": rep(part(0.3), 6), "rep_full": rep(w, 6), "rep_tail_k4": rep(part(0.3), 4),
+            "bt_tail": dense(part(0.3), lexicon["backtrack"]), "hedge_tail": dense(part(0.15) + a, lexicon["hedge"]),
+            "hedge_ans": dense(a, lexicon["hedge"]), "qmark_tail": dense(part(0.3), ("?",)), "flip": dense(w, lexicon["flip"]),
+            "bt_last10": dense(part(0.1), lexicon["backtrack"]), "len_ratio": len(a) / len(w) if w else 0.0, "trace_visible": float(bool(w)),
+        }
+        assert {n: row[n] for n in want} == pytest.approx(want, abs=1e-6)
+
+
+def test_fit_finds_a_small_lapse(spark):
+    level = np.arange(1.0, 9.0, 0.25)
+    solve = 0.985 / (1 + np.exp(-2.0 * (5.0 - level)))
+    cells = spark.createDataFrame([("m", float(x), 4000, int(round(4000 * p))) for x, p in zip(level, solve)], "model string, level_value double, n bigint, k bigint")
+    fit = CU.fit_curves(cells, ["model"]).first()
+    assert fit["lapse"] == pytest.approx(0.015, abs=0.005) and fit["b"] == pytest.approx(5.0, abs=0.1)
+
+
+def test_cohort_audit_reads_calls_once(spark):
+    calls = spark.createDataFrame([(1, "m", "i", "pass", None, 1), (2, "m", "j", "fail_wrong", "p", None), (3, "n", "x", "pass", "p", 1)],
+                                  "call_id bigint, model_id string, instance_id string, outcome string, provider_endpoint string, provider_pinned int")
+    instances = spark.createDataFrame([("i", 1.0), ("j", 1.0)], "instance_id string, level_value double")
+    row = ST.cohort_audit(calls, instances).collect()
+    assert [(r["model_id"], r["calls"], r["instances"], r["providers"], r["mixed_levels"], r["all_calls_provider_pinned"]) for r in row] == [("m", 2, 2, 2, 1, False)]
 
 
 def test_report_needs_both_labels(spark):

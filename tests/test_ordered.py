@@ -70,3 +70,51 @@ def test_empty_input(spark):
     empty = spark.createDataFrame([], "g string, k bigint, v bigint")
     assert R.prefix_sums(empty, "k", {"b": "v"}, ["g"]).count() == 0
     assert R.quantiles(empty, "v", {"m": 0.5}, ["g"]).count() == 0
+
+
+NULLED = [(None, 3, 1, 5), (None, None, 2, 7), ("a", None, 3, 1), ("a", None, 4, None), ("a", 1, 5, 2), ("a", 1, 6, 3), ("b", None, 7, 4), (None, 3, 8, 6)]
+
+
+def nulled(spark):
+    return spark.createDataFrame(NULLED * 1, "g string, k bigint, id bigint, v bigint").repartition(3)
+
+
+def in_order(rows):
+    return sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+
+
+@pytest.mark.parametrize("tie", [None, "id"])
+def test_null_groups_and_keys_are_kept(spark, tie):
+    out = {r["id"]: r for r in R.ranked(nulled(spark), "k", ["g"], ["k", "id"], size="n", tie=tie).collect()}
+    back = {r["id"]: r for r in R.lagged(nulled(spark), "k", {"prev": "id"}, ["g"], ["k", "id"], tie=tie).collect()}
+    first = {r["id"] for r in R.first_k(nulled(spark), "k", F.lit(1), ["g"], ["k", "id"]).collect()}
+    assert len(out) == len(back) == len(NULLED)
+    heads = set()
+    for g in (None, "a", "b"):
+        rows = in_order([r for r in NULLED if r[0] == g])
+        heads.add(rows[0][2])
+        for i, row in enumerate(rows):
+            assert (out[row[2]]["rank"], out[row[2]]["n"]) == (i, len(rows))
+            assert back[row[2]]["prev"] == (rows[i - 1][2] if i else None)
+    assert first == heads
+
+
+def test_null_keys_are_cut_by_the_tie(spark):
+    df = spark.range(400).selectExpr("'g' AS g", "cast(null AS bigint) AS k", "id")
+    assert R.with_cell(df, "k", tie="id").select(R.CELL).distinct().count() > 1
+    ranks = R.ranked(df, "k", ["g"], ["k", "id"], tie="id").collect()
+    assert all(r["rank"] == r["id"] for r in ranks)
+
+
+def test_groups_without_a_value_stay(spark):
+    df = spark.createDataFrame([("a", None), ("a", None), ("b", 2), ("b", None), (None, 4)], "g string, v bigint")
+    got = {r["g"]: (r["n"], r["m"]) for r in R.quantiles(df, "v", {"m": 0.5}, ["g"]).collect()}
+    assert got == {"a": (0, None), "b": (1, 2.0), None: (1, 4.0)}
+
+
+def test_correlated_tie(spark):
+    """A heavy key whose tie values lie in a narrow range of all ties."""
+    df = spark.range(3000).selectExpr("'g' AS g", "CASE WHEN id < 1500 THEN 5 ELSE id END AS k", "id")
+    out = R.ranked(df, "k", ["g"], ["k", "id"], tie="id").collect()
+    assert all(r["rank"] == r["id"] for r in out)
+    assert R.with_cell(df, "k", tie="id").where("k = 5").select(R.CELL).distinct().count() > 2
