@@ -11,6 +11,9 @@ from callmetrics.session import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Rows of whole texts that a Python worker holds at once.
+BATCH_ROWS = 1024
+
 # Words: runs without ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -19,6 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same table, in a session that hands whole texts to Python in batches
+    of at most ``BATCH_ROWS`` rows (a smaller setting stays), so that a worker's
+    memory does not follow Spark's default of 10,000 rows."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return df
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write once below the shared folder and read back: lineage ends there, so
     lost executors cost no recomputation and several readers no second pass."""

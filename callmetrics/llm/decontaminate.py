@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from callmetrics.llm.common import stored, table
+from callmetrics.llm.common import small_batches, stored, table
 from callmetrics.llm.kernels import WORD, mix, pieces, rolling_sums, span_hashes, text_buffer, word_spans
 
 MIN_TILE = 5
@@ -249,7 +249,7 @@ def leaks(
 ) -> DataFrame:
     """(doc_id, item_id, item_tokens, matched_tokens, coverage, n_tiles,
     longest_tile, tiles) per leaked item; tiles are item:document:length."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     whole = None
     queue = blocks(benchmark, block_bytes)
     for block in queue:
@@ -264,7 +264,7 @@ def leaks(
 def without_leaks(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Documents into which no item leaks. Decided per row, so a row without an
     id, or with an id that others have too, stands for itself."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     queue = blocks(benchmark, block_bytes)
     for block in queue:
         find = _leaks_udf(spark, _index(block, min_tile), min_tile, coverage)

@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, StringType, StructField, StructType
 
-from callmetrics.llm.common import fresh, id_bucket, table
+from callmetrics.llm.common import fresh, id_bucket, small_batches, table
 from callmetrics.llm.kernels import pieces, text_buffer
 
 MAX_GRAM = 4
 FEATURES = 1 << 16
-SAMPLE = 4096
-LANDMARKS = 256
+SAMPLE = 2048
+LANDMARKS = 128
 RIDGE = 1e-4
 BLOCK = 32
 UNDETERMINED = "und"
@@ -88,7 +88,7 @@ def _unpacked(rows: list[bytes]) -> np.ndarray:
 def fit(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, folds: tuple[int, int] | None = (3, 1)) -> Model:
     """Learn from (doc_id, text, lang). ``folds`` = (n, k) leaves out the ids
     whose crc32 modulo n is k; None learns from all."""
-    rows = docs.where("lang is not null and doc_id is not null")
+    rows = small_batches(docs).where("lang is not null and doc_id is not null")
     if folds:
         rows = rows.where(id_bucket(F.col("doc_id"), folds[0]) != folds[1])
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # one row per language
@@ -164,7 +164,7 @@ def _predicted(docs: DataFrame, model: Model, name: str) -> DataFrame:
             [pa.array(best, pa.string()), pa.array(value, pa.float64())], fields=list(_ARROW_PREDICTED)
         )
 
-    return docs.withColumn(name, predict(F.lower("text")))
+    return small_batches(docs).withColumn(name, predict(F.lower("text")))
 
 
 def with_language(docs: DataFrame, model: Model) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from callmetrics.llm.common import fresh, stored, table
+from callmetrics.llm.common import fresh, small_batches, stored, table
 from callmetrics.llm.graph import connected_components
 
 SHINGLE = 3
@@ -73,7 +73,7 @@ def _fingerprint(text: pa.Array) -> pa.Array:
 
 def fingerprints(docs: DataFrame, name: str = "simhash") -> DataFrame:
     """``docs`` with the column ``name``: the 64 bits as a signed long."""
-    return docs.withColumn(name, _fingerprint(F.col("text")))
+    return small_batches(docs).withColumn(name, _fingerprint(F.col("text")))
 
 
 def _keys(simhash) -> F.Column:

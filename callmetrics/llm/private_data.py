@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from callmetrics.llm.common import table
+from callmetrics.llm.common import small_batches, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "account")
@@ -269,12 +269,12 @@ def _masked(text: pa.Array) -> pa.Array:
 
 def find_private(docs: DataFrame) -> DataFrame:
     """``docs`` with the struct ``private``: counts, digest and spans."""
-    return docs.withColumn("private", _digest(F.col("text")))
+    return small_batches(docs).withColumn("private", _digest(F.col("text")))
 
 
 def mask_private(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced, ``n_chars`` counted anew."""
-    found = docs.withColumn("text", _masked(F.col("text")))
+    found = small_batches(docs).withColumn("text", _masked(F.col("text")))
     return found.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else found
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
-from callmetrics.llm.common import id_bucket, table
+from callmetrics.llm.common import id_bucket, small_batches, table
 from callmetrics.llm.kernels import SPACE, mix, pieces, span_hashes, text_buffer, word_spans
 
 WORDS = 1 << 13
@@ -87,7 +87,7 @@ def word_vectors(texts: DataFrame) -> Vectors:
     """Context and index vectors from all rows of (text)."""
     columns = ["seen", *[f"d{d}" for d in range(DIMENSIONS)]]
     sums = (
-        texts.select(F.lower("text").alias("text"))
+        small_batches(texts).select(F.lower("text").alias("text"))
         .mapInArrow(_contexts, ", ".join(f"{c} long" for c in ["word", *columns]))
         .groupBy("word").agg(*[F.sum(c).alias(c) for c in columns])
     )
@@ -213,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: Vectors, sample: int = SAMP
     count = known.count()
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(1 << 40)) / float(1 << 40)
     known = known.where(place < min(1.0, sample / max(count, 1))).dropDuplicates()
-    pool = _pooled_udf(docs.sparkSession, vectors)
+    pool = _pooled_udf(small_batches(docs).sparkSession, vectors)
     # About `sample` rows of two numbers, however many labels there are.
     taken = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(
         "doc_id", "quality", pool(F.col("text")).alias("row")
@@ -227,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: Vectors, sample: int = SAMP
 
 def with_quality(docs: DataFrame, vectors: Vectors, network: Network) -> DataFrame:
     """``docs`` with ``score``, the calibrated probability of label 1."""
-    score = _pooled_udf(docs.sparkSession, vectors, network.scores)
+    score = _pooled_udf(small_batches(docs).sparkSession, vectors, network.scores)
     return docs.withColumn("score", score(F.col("text")))
 
 

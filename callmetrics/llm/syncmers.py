@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from callmetrics.llm.common import cut_points, table
+from callmetrics.llm.common import cut_points, small_batches, table
 from callmetrics.llm.kernels import mix, pieces, span_hashes, text_buffer
 from callmetrics.session import parallelism
 
@@ -121,11 +121,11 @@ def _anchors(text: pa.Array) -> pa.Array:
 def anchors(docs: DataFrame) -> DataFrame:
     """(doc_id, start, hash) of every anchor; starts count bytes. Passages that
     two texts share show as equal hashes at equal distances."""
-    return docs.select("doc_id", F.explode(_anchors(F.col("text"))).alias("a")).select("doc_id", "a.*")
+    return small_batches(docs).select("doc_id", F.explode(_anchors(F.col("text"))).alias("a")).select("doc_id", "a.*")
 
 
 def with_fingerprint(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("fingerprint", fingerprint(F.col("text")))
+    return small_batches(docs).withColumn("fingerprint", fingerprint(F.col("text")))
 
 
 def _cell(doc_id: Column, df: DataFrame, points: list[int]) -> DataFrame:
@@ -145,7 +145,7 @@ def beside_next(docs: DataFrame) -> DataFrame:
     first document of every range is also sent, as a guest, to the end of the
     range before, so every successor is found inside one range and each text
     moves once."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     points = cut_points(ids, "doc_id", parallelism(spark))
     firsts = sorted(  # one row per range

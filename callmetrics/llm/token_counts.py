@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from callmetrics.llm.common import fresh, table
+from callmetrics.llm.common import fresh, small_batches, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CACHED_WORDS = 1 << 18
@@ -110,7 +110,7 @@ _COUNTS = StructType([StructField("n_words", LongType()), StructField("n_tokens"
 def with_token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``docs`` with ``n_words`` and ``n_tokens``."""
     # Read on the driver; its size is that of the vocabulary file.
-    shared = docs.sparkSession.sparkContext.broadcast(Automaton(read_vocabulary(vocabulary)))
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(Automaton(read_vocabulary(vocabulary)))
 
     @F.arrow_udf(_COUNTS)
     def count(text: pa.Array) -> pa.Array:

@@ -40,7 +40,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from callmetrics.llm.common import table
+from callmetrics.llm.common import small_batches, table
 from callmetrics.session import work_path
 
 MIN_REVISIT = 0
@@ -385,7 +385,7 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     """(page_id, url, payload, sha1, refers_to) of (page_id, url, html). Leaders
     are found from digests alone and pre-aggregated, however many copies a
     payload has."""
-    rows = pages.select(
+    rows = small_batches(pages).select(
         F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")
     ).withColumn("sha1", F.sha1("payload"))
     leaders = (
