@@ -135,9 +135,13 @@ def stratified_auc(rows: DataFrame, keys: Sequence[str], strata: Sequence[str],
     return sums.select(*keys, "strata", F.col("pairs").cast("bigint").alias("n_pairs"), area.alias("auc"))
 
 
-def stratified_auc_interval(rows: DataFrame, strata: Sequence[str], score: str, cluster: str, replicates: int, seed: int) -> DataFrame:
-    """Resampled instances; each replicate reweights the score histogram."""
-    histogram = rows.groupBy(cluster, *strata, F.col(score).alias("score")).agg(
+def stratified_auc_interval(
+    rows: DataFrame, strata: Sequence[str], score: str, cluster: str, replicates: int, seed: int, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Resampled instances, per key; each replicate reweights the score
+    histogram, from which only the weights of drawn instances are laid out."""
+    keys = list(keys)
+    histogram = rows.groupBy(cluster, *keys, *strata, F.col(score).alias("score")).agg(
         F.sum("label").cast("bigint").alias("pos"), F.sum(1 - F.col("label")).cast("bigint").alias("neg")
     )
     clusters = M.indexed_clusters(histogram.select(cluster).distinct(), cluster)
@@ -146,14 +150,14 @@ def stratified_auc_interval(rows: DataFrame, strata: Sequence[str], score: str,
     draws = M.bootstrap_draws(rows.sparkSession, max(count, 1), replicates, seed).groupBy("rep", "idx").agg(
         F.count(F.lit(1)).alias("times")
     )
-    groups = ["rep", *strata]
+    groups = ["rep", *keys, *strata]
     weighted = draws.join(indexed, "idx").groupBy(*groups, "score").agg(
         F.sum(F.col("pos") * F.col("times")).alias("pos"), F.sum(F.col("neg") * F.col("times")).alias("neg")
     )
     per = M.histogram_auc(materialize(weighted), groups)
-    areas = per.groupBy("rep").agg((F.sum("wins") / F.nullif(F.sum("pairs"), F.lit(0.0))).alias("auc"))
+    areas = per.groupBy("rep", *keys).agg((F.sum("wins") / F.nullif(F.sum("pairs"), F.lit(0.0))).alias("auc"))
     # One row per replicate.
-    return areas.agg(
+    return areas.groupBy(*keys).agg(
         F.count("auc").alias("replicates"), F.round(F.percentile("auc", F.lit(0.025)), 6).alias("ci_low"),
         F.round(F.percentile("auc", F.lit(0.975)), 6).alias("ci_high"),
     )

@@ -6,15 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import Imputer, SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callmetrics.functions.hashing import HASH_SPAN, uniform_long
-from callmetrics.functions.scoring import curve_probability
+from callmetrics.functions.scoring import curve_probability, logit
 from callmetrics.operators.curves import fit_curves
-from callmetrics.operators.ordered import ranked, uniform_points
+from callmetrics.operators.ordered import quantiles, ranked, uniform_points
 from callmetrics.session import materialize, parallelism, side_by_side
 
 
@@ -46,18 +46,31 @@ def grouped_folds(instances: DataFrame, folds: int, seed: int) -> DataFrame:
     return placed.select("instance_id", "level_value", (F.col("place") % folds).alias("fold"))
 
 
-def _pipeline(train: DataFrame, features: Sequence[str], strength: float) -> PipelineModel:
+def fold_medians(rows: DataFrame, features: Sequence[str], folds: int) -> dict[int, dict[str, float]]:
+    """Exact median of every feature over the rows outside each fold: folds
+    times features numbers. A feature without any value has median zero."""
+    pairs = ", ".join(f"'{f}', cast({f} AS double)" for f in features)
+    long = rows.selectExpr(
+        "fold AS own", f"stack({len(features)}, {pairs}) AS (feature, value)"
+    ).select("*", F.explode(F.expr(f"sequence(0L, {folds - 1}L)")).alias("held")).where("held <> own")
+    found: dict[int, dict[str, float]] = {fold: dict.fromkeys(features, 0.0) for fold in range(folds)}
+    for r in quantiles(long, "value", {"median": 0.5}, ["held", "feature"]).collect():
+        if r["median"] is not None:
+            found[r["held"]][r["feature"]] = r["median"]
+    return found
+
+
+def _pipeline(train: DataFrame, features: Sequence[str], medians: dict[str, float], strength: float) -> PipelineModel:
     """Medians, indicators, scales and weights, all learned from ``train``."""
     counts = train.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in features]).first()
     gaps = [f for f in features if counts[f]]
-    filled = [f"{f}_filled" for f in features]
+    filled = [f"coalesce({f}, {medians[f]!r}D) AS {f}_filled" for f in features]
     flags = [f"CASE WHEN {f} IS NULL THEN 1.0D ELSE 0.0D END AS {f}_absent" for f in gaps]
     stages = [
-        SQLTransformer(statement=f"SELECT *{''.join(', ' + x for x in flags)} FROM __THIS__"),
-        Imputer(strategy="median", inputCols=list(features), outputCols=filled),
-        VectorAssembler(inputCols=[*filled, *[f"{f}_absent" for f in gaps]], outputCol="raw"),
+        SQLTransformer(statement=f"SELECT *, {', '.join([*filled, *flags])} FROM __THIS__"),
+        VectorAssembler(inputCols=[*[f"{f}_filled" for f in features], *[f"{f}_absent" for f in gaps]], outputCol="raw"),
         StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
-        LogisticRegression(labelCol="label", regParam=strength, elasticNetParam=0.0, standardization=False, maxIter=20),
+        LogisticRegression(labelCol="label", regParam=strength, elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-10),
     ]
     return Pipeline(stages=stages).fit(train)
 
@@ -70,14 +83,22 @@ def out_of_fold(rows: DataFrame, features: Sequence[str], folds: int, keep: Sequ
     """``rows`` carry label, fold and features. Every row is scored by the model
     that has not seen its fold; the loop is over folds, not over data."""
     rows = materialize(rows)
+    medians = fold_medians(rows, features, folds)
     out = None
     for fold in range(folds):
-        model = _pipeline(rows.where(F.col("fold") != fold), features, strength)
+        model = _pipeline(rows.where(F.col("fold") != fold), features, medians[fold], strength)
         part = _scored(model, rows.where(F.col("fold") == fold), keep)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def with_held_out_curve(rows: DataFrame, folds: int) -> DataFrame:
+    """Adds ``curve_prior`` and ``curve_logit`` of a curve that has not seen the
+    row's fold. There is one prior per fold and level."""
+    prior = held_out_prior(rows, folds)
+    return rows.join(F.broadcast(prior), ["fold", "level_value"]).withColumn("curve_logit", logit(F.col("curve_prior")))
+
+
 def held_out_prior(rows: DataFrame, folds: int) -> DataFrame:
     """Curve prior per fold and level, fitted without the fold's instances:
     level counts of all folds less those of the fold."""
@@ -94,5 +115,12 @@ def held_out_prior(rows: DataFrame, folds: int) -> DataFrame:
 
 
 def forward_holdout(train: DataFrame, test: DataFrame, features: Sequence[str], keep: Sequence[str], strength: float = 0.01) -> DataFrame:
-    """Train on one stage, score a later one."""
-    return _scored(_pipeline(materialize(train), features, strength), test, keep)
+    """Train on one stage, score a later one; the curve is the train stage's."""
+    counts = train.groupBy("level_value").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("k")).withColumn("fit", F.lit(0))
+    curve = fit_curves(materialize(counts), ["fit"]).first()
+    prior = curve_probability(F.col("level_value"), curve["b"], curve["a"], curve["lapse"])
+    placed = [df.withColumn("curve_prior", prior).withColumn("curve_logit", logit(F.col("curve_prior"))) for df in (train, test)]
+    train = materialize(placed[0])
+    # Rows of a fold that is never held out: medians over all of them.
+    medians = fold_medians(train.withColumn("fold", F.lit(-1)), features, 1)[0]
+    return _scored(_pipeline(train, features, medians, strength), placed[1], keep)

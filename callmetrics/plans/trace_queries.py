@@ -98,26 +98,28 @@ STRAT_RESULT = """SELECT model_id, count(*) FILTER (WHERE pairs > 0) AS strata,
 LEVELS_SQL = "ranked AS (SELECT *, CAST(outcome = 'fail_wrong' AS BIGINT) AS label FROM features WHERE outcome IN ('pass', 'fail_wrong'))"
 
 
-@query("tr3_stratified_auc", ctes=(*CTES, RANKED_SQL, strat_sql("model_id", "route", "bt_tail")), sql=STRAT_RESULT)
+@query("tr3_stratified_auc", ctes=(*CTES, RANKED_SQL, strat_sql("model_id", "level_value, route", "bt_tail")), sql=STRAT_RESULT)
 def _(spark, d):
-    return TR.stratified_auc(ranking_rows(spark, d), ["model_id"], ["route"], "bt_tail")
+    return TR.stratified_auc(ranking_rows(spark, d), ["model_id"], ["level_value", "route"], "bt_tail")
 
 
-RESAMPLED_SQL = """cl AS (SELECT instance_id, row_number() OVER (ORDER BY ('0x' || substr(md5(instance_id), 1, 15))::BIGINT, instance_id) - 1 AS idx, count(*) OVER () AS k
+REPLICATES = 500
+RESAMPLED_SQL = f"""cl AS (SELECT instance_id, row_number() OVER (ORDER BY ('0x' || substr(md5(instance_id), 1, 15))::BIGINT, instance_id) - 1 AS idx, count(*) OVER () AS k
   FROM (SELECT DISTINCT instance_id FROM ranked)),
 dr AS (SELECT rep, ('0x' || substr(md5('20260712|' || rep || '|' || draw), 1, 8))::BIGINT % (SELECT max(k) FROM cl) AS idx
-  FROM (SELECT unnest(range(2000)) AS rep), LATERAL (SELECT unnest(range((SELECT max(k) FROM cl))) AS draw)),
-wh AS (SELECT rep, model_id, route, bt_tail AS score, sum(label)::DOUBLE AS pos, sum(1 - label)::DOUBLE AS neg
-  FROM dr JOIN cl USING (idx) JOIN ranked USING (instance_id) GROUP BY ALL),
-pr AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY rep, model_id, route ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM wh),
-pg AS (SELECT rep, model_id, route, sum(pos * (below + neg / 2.0)) AS wins, sum(pos) * sum(neg) AS pairs FROM pr GROUP BY rep, model_id, route),
-ar AS (SELECT rep, sum(wins) / nullif(sum(pairs), 0) AS auc FROM pg GROUP BY rep)"""
+  FROM (SELECT unnest(range({REPLICATES})) AS rep), LATERAL (SELECT unnest(range((SELECT max(k) FROM cl))) AS draw)),
+wt AS (SELECT rep, idx, count(*) AS times FROM dr GROUP BY 1, 2),
+wh AS (SELECT rep, model_id, level_value, route, bt_tail AS score, sum(label * times)::DOUBLE AS pos, sum((1 - label) * times)::DOUBLE AS neg
+  FROM wt JOIN cl USING (idx) JOIN ranked USING (instance_id) GROUP BY ALL),
+pr AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY rep, model_id, level_value, route ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM wh),
+pg AS (SELECT rep, model_id, level_value, route, sum(pos * (below + neg / 2.0)) AS wins, sum(pos) * sum(neg) AS pairs FROM pr GROUP BY rep, model_id, level_value, route),
+ar AS (SELECT rep, model_id, sum(wins) / nullif(sum(pairs), 0) AS auc FROM pg GROUP BY rep, model_id)"""
 
 
 @query("tr3_stratified_auc_interval", ctes=(*CTES, RANKED_SQL, RESAMPLED_SQL), sql="""
-SELECT count(auc) AS replicates, round(quantile_cont(auc, 0.025), 6) AS ci_low, round(quantile_cont(auc, 0.975), 6) AS ci_high FROM ar""")
+SELECT model_id, count(auc) AS replicates, round(quantile_cont(auc, 0.025), 6) AS ci_low, round(quantile_cont(auc, 0.975), 6) AS ci_high FROM ar GROUP BY model_id""")
 def _(spark, d):
-    return TR.stratified_auc_interval(ranking_rows(spark, d), ["model_id", "route"], "bt_tail", "instance_id", 2000, 20260712)
+    return TR.stratified_auc_interval(ranking_rows(spark, d), ["level_value", "route"], "bt_tail", "instance_id", REPLICATES, 20260712, ["model_id"])
 
 
 @query("tr4_within_instance_auc", ctes=(*CTES, RANKED_SQL, strat_sql("model_id", "instance_id", "hedge_tail")), sql=STRAT_RESULT)

@@ -8,12 +8,13 @@ from callmetrics.functions import outcomes as O
 from callmetrics.functions.scoring import FROZEN, metadata_features
 from callmetrics.operators import metrics as M
 from callmetrics.operators import training as TN
+from callmetrics.plans.curve_queries import P_SQL, fit_sql
 from callmetrics.plans.metric_queries import leveled
 from callmetrics.plans.registry import query
 from callmetrics.plans.status_queries import AFTER, MAIN
 from callmetrics.plans.trace_queries import MARKERS
 from callmetrics.operators import traces as TR
-from callmetrics.session import materialize
+from callmetrics.session import materialize, side_by_side
 from callmetrics.sources import tables as T
 
 FOLDS, SEED = 5, 20260712
@@ -40,36 +41,66 @@ def metrics_row(rows):
     return M.all_metrics(rows, []).select("n", *[F.round(c, 3).alias(c) for c in ("brier", "brier_skill", "log_loss", "auc")])
 
 
-@query("me14_out_of_fold_metadata")
-def out_of_fold(spark, d):
-    folds = TN.grouped_folds(T.instances(spark, d), FOLDS, SEED).drop("level_value")
-    rows = materialize(labelled(spark, d).join(folds, "instance_id"))
-    scored = TN.out_of_fold(rows, METADATA, FOLDS, ["call_id", "label", "fold", "level_value"])
-    prior = TN.held_out_prior(rows, FOLDS)
-    return metrics_row(materialize(scored.join(prior, ["fold", "level_value"])))
+TRACE_FEATURES = list(TR.K.FEATURES)
+CLASSES = {
+    "metadata": METADATA, "traces": ["curve_logit", *TRACE_FEATURES], "combined": [*METADATA, *TRACE_FEATURES],
+}
+KEPT = ["call_id", "instance_id", "outcome", "level_value", "completion_tokens", "reasoning_tokens", "latency_ms", "attempt", "finish_reason"]
 
 
-TRACE_FEATURES = ["rep_tail", "bt_tail", "hedge_tail", "bt_full", "wait_full", "len_ratio"]
+def trace_rows(spark, d):
+    """Completed traces with label, fold, all features and the held-out curve."""
+    made = TR.trace_features(T.traces(spark, d), MARKERS, KEPT).where(O.is_completed(F.col("outcome")))
+    metadata = {n: c.cast("double") for n, c in metadata_features(FROZEN).items() if n != "curve_logit"}
+    rows = made.select(
+        "call_id", "instance_id", "level_value", F.when(F.col("outcome") == O.PASS, 1).otherwise(0).cast("bigint").alias("label"),
+        *[c.alias(n) for n, c in metadata.items()], *TRACE_FEATURES,
+    )
+    folds = TN.grouped_folds(T.traces(spark, d), FOLDS, SEED).drop("level_value")
+    return materialize(TN.with_held_out_curve(materialize(rows.join(folds, "instance_id")), FOLDS))
+
+
+def trained(name):
+    def run(spark, d):
+        keep = ["call_id", "label", "curve_prior"]
+        return metrics_row(materialize(TN.out_of_fold(trace_rows(spark, d), CLASSES[name], FOLDS, keep)))
+
+    return run
+
 
+for _name in CLASSES:
+    query(f"me14_out_of_fold_{_name}")(trained(_name))
 
-@query("me14_out_of_fold_traces")
+
+FOLD_SQL = f"""tf AS (SELECT instance_id, (row_number() OVER (PARTITION BY level_value ORDER BY ('0x' || substr(md5('{SEED}|' || instance_id), 1, 15))::BIGINT, instance_id) - 1) % {FOLDS} AS fold
+  FROM (SELECT DISTINCT instance_id, level_value FROM traces)),
+tl AS (SELECT call_id, level_value, fold, CAST(outcome = 'pass' AS BIGINT) AS label FROM traces JOIN tf USING (instance_id) WHERE outcome IN ('pass', 'fail_wrong')),
+oc AS (SELECT held AS fold, level_value, count(*) AS n, CAST(sum(label) AS BIGINT) AS k FROM tl, (SELECT unnest(range({FOLDS})) AS held) WHERE fold <> held GROUP BY 1, 2)"""
+
+
+@query("me14_out_of_fold_curve", ctes=(T.TRACES_SQL, FOLD_SQL, fit_sql("o", "SELECT fold, level_value, n, k FROM oc", "fold")), sql=f"""
+, sc AS (SELECT label, {P_SQL} AS p FROM tl JOIN fit_o USING (fold)),
+hs AS (SELECT p, sum(label)::DOUBLE AS pos, sum(1 - label)::DOUBLE AS neg FROM sc GROUP BY p),
+pr AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM hs),
+au AS (SELECT sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) AS auc FROM pr)
+SELECT count(*) AS n, round(avg((label - p) * (label - p)), 3) AS brier, 0.0::DOUBLE AS brier_skill,
+  round(avg(-(label * ln(p) + (1 - label) * ln(1.0 - p))), 3) AS log_loss, round(max(auc), 3) AS auc FROM sc, au""")
 def _(spark, d):
-    features = TR.trace_features(T.traces(spark, d), MARKERS, ["call_id", "instance_id", "outcome", "level_value"])
-    rows = features.where(F.col("outcome").isin("pass", "fail_wrong")).select(
-        "call_id", "level_value", F.when(F.col("outcome") == "pass", 1).otherwise(0).cast("bigint").alias("label"),
-        (F.crc32(F.col("instance_id")) % FOLDS).alias("fold"), *TRACE_FEATURES,
-    )
-    rows = materialize(rows)
-    scored = TN.out_of_fold(rows, TRACE_FEATURES, FOLDS, ["call_id", "label", "fold", "level_value"])
-    prior = TN.held_out_prior(rows, FOLDS)
-    return metrics_row(materialize(scored.join(prior, ["fold", "level_value"])))
+    folds = TN.grouped_folds(T.traces(spark, d), FOLDS, SEED).drop("level_value")
+    rows = T.traces(spark, d).where(O.is_completed(F.col("outcome"))).select(
+        "call_id", "instance_id", "level_value", F.when(F.col("outcome") == O.PASS, 1).otherwise(0).cast("bigint").alias("label")
+    ).join(folds, "instance_id")
+    scored = TN.with_held_out_curve(materialize(rows), FOLDS).withColumn("prediction", F.col("curve_prior"))
+    return metrics_row(materialize(scored))
 
 
 @query("me15_forward_stage_holdout")
 def _(spark, d):
-    rows = labelled(spark, d)
-    scored = TN.forward_holdout(
-        rows.where(F.col("stage") == MAIN), rows.where(F.col("stage") == AFTER), METADATA, ["call_id", "label", "level_value"]
+    rows = materialize(labelled(spark, d).where(F.col("stage").isin(MAIN, AFTER)).drop("curve_logit"))
+    train, test = (rows.where(F.col("stage") == s) for s in (MAIN, AFTER))
+    scored = materialize(TN.forward_holdout(train, test, METADATA, ["call_id", "label", "curve_prior"]))
+    counts = rows.agg(
+        F.count_if(F.col("stage") == MAIN).alias("n_train"), F.count_if(F.col("stage") == AFTER).alias("n_test"),
+        F.count_if((F.col("stage") == AFTER) & (F.col("label") == 0)).alias("n_test_silent_wrong"),
     )
-    base_rate = rows.where(F.col("stage") == MAIN).agg(F.avg("label")).first()[0]
-    return metrics_row(materialize(scored.withColumn("curve_prior", F.lit(base_rate))))
+    return side_by_side(counts, metrics_row(scored).drop("n"))

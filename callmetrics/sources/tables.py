@@ -251,13 +251,17 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def traces_from(documents: DataFrame) -> DataFrame:
+    """Long texts and high levels are wrong more often, so that there is
+    something to learn; every level and route has both outcomes."""
     return documents.selectExpr(
-        "doc_id AS call_id", "source AS instance_id", "concat('model-', doc_id % 3) AS model_id",
+        "doc_id AS call_id", "concat(source, '-', doc_id % 10) AS instance_id", "concat('model-', doc_id % 3) AS model_id",
         "concat('route-', doc_id % 2) AS route", "lang",
-        "CASE doc_id % 5 WHEN 0 THEN 'fail_wrong' WHEN 1 THEN 'pass' WHEN 2 THEN 'pass' "
-        "WHEN 3 THEN 'fail_truncated' ELSE 'pass' END AS outcome",
+        "CASE WHEN doc_id div 10 % 7 < CASE WHEN n_chars > 2500 THEN 3 ELSE 1 END + CASE WHEN doc_id % 5 >= 3 THEN 1 ELSE 0 END "
+        "THEN 'fail_wrong' WHEN doc_id div 10 % 7 = 6 THEN 'fail_truncated' ELSE 'pass' END AS outcome",
         "cast(100 + n_chars % 977 AS double) * 100.0D AS latency_ms",
         "cast(floor(n_chars / 3.0D) + doc_id % 50 + 1 AS bigint) AS completion_tokens",
+        "CASE WHEN doc_id % 7 <> 0 THEN cast(floor(n_chars / 4.0D) AS bigint) END AS reasoning_tokens",
+        "1 + doc_id % 3 AS attempt", "CASE WHEN doc_id % 11 = 0 THEN 'length' ELSE 'stop' END AS finish_reason",
         "(20 + 2 * (doc_id % 5)) / 10.0D AS level_value",
         "concat(lang, ' the answer is ', source) AS response_text",
         "n_chars", "text AS reasoning_text",
@@ -265,10 +269,10 @@ def traces_from(documents: DataFrame) -> DataFrame:
 
 
 TRACES_SQL = """traces AS (
-  SELECT doc_id AS call_id, source AS instance_id, 'model-' || (doc_id % 3) AS model_id,
+  SELECT doc_id AS call_id, source || '-' || (doc_id % 10) AS instance_id, 'model-' || (doc_id % 3) AS model_id,
     'route-' || (doc_id % 2) AS route, lang,
-    CASE doc_id % 5 WHEN 0 THEN 'fail_wrong' WHEN 1 THEN 'pass' WHEN 2 THEN 'pass'
-      WHEN 3 THEN 'fail_truncated' ELSE 'pass' END AS outcome,
+    CASE WHEN doc_id // 10 % 7 < CASE WHEN n_chars > 2500 THEN 3 ELSE 1 END + CASE WHEN doc_id % 5 >= 3 THEN 1 ELSE 0 END
+      THEN 'fail_wrong' WHEN doc_id // 10 % 7 = 6 THEN 'fail_truncated' ELSE 'pass' END AS outcome,
     CAST(100 + n_chars % 977 AS DOUBLE) * 100.0 AS latency_ms,
     CAST(floor(CAST(n_chars AS DOUBLE) / 3.0) AS BIGINT) + doc_id % 50 + 1 AS completion_tokens,
     CAST(20 + 2 * (doc_id % 5) AS DOUBLE) / 10.0 AS level_value,
