@@ -230,7 +230,19 @@ def _(spark, d):
     return M.reliability_bins(T.predictions(spark, d), 10)
 
 
-@query("me17_calibration_line")
+# Newton steps on the two parameters.
+LINE_SQL = f"""WITH RECURSIVE {T.PREDICTIONS_SQL},
+xy AS (SELECT label::DOUBLE AS y, ln(q / (1.0 - q)) AS x FROM (SELECT label, greatest(least(prediction, 1.0 - 1e-9::DOUBLE), 1e-9::DOUBLE) AS q FROM predictions)),
+steps AS (
+  SELECT 0 AS i, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b
+  UNION ALL
+  SELECT i + 1, a + (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12), b + (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12)
+  FROM (SELECT i, a, b, sum(y - p) AS g1, sum((y - p) * x) AS g2, sum(p * (1 - p)) AS h11, sum(p * (1 - p) * x) AS h12, sum(p * (1 - p) * x * x) AS h22
+    FROM (SELECT i, a, b, x, y, 1.0 / (1.0 + exp(-(a + b * x))) AS p FROM steps, xy WHERE i < 25) GROUP BY i, a, b))
+SELECT round(a, 4) AS intercept, round(b, 4) AS slope FROM steps WHERE i = 25"""
+
+
+@query("me17_calibration_line", sql=LINE_SQL)
 def _(spark, d):
     return M.calibration_line(T.predictions(spark, d))
 
