@@ -23,3 +23,11 @@ def uniform_long(*parts: Column) -> Column:
 def fingerprint(columns: Sequence[str]) -> Column:
     """JSON of the named columns in alphabetical order, NULLs kept."""
     return F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
+
+
+def content_digest(line: Column) -> Column:
+    """Aggregate: a digest of all lines that does not depend on their order.
+    Four 60-bit pieces of each line's SHA-256 are summed exactly."""
+    piece = lambda at: F.conv(F.substring(F.sha2(line, 256), at, 15), 16, 10).cast("decimal(38,0)")
+    sums = [F.coalesce(F.sum(piece(at)), F.lit(0)).cast("decimal(38,0)").cast("string") for at in (1, 16, 31, 46)]
+    return F.concat_ws(":", *sums)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callmetrics.functions import outcomes as O
-from callmetrics.functions.hashing import id_hash, uniform_long
+from callmetrics.functions.hashing import content_digest, id_hash
 
 # Columns of the two call exports; they share only the ids.
 COMPACT = [
@@ -56,16 +56,17 @@ def write_json_lines(df: DataFrame, path: str, order: Sequence[str]) -> None:
 
 
 def digest(df: DataFrame, name: str) -> DataFrame:
-    """Row count, characters, and a content digest that does not depend on how
-    rows are spread over files: the sum of a hash of every line."""
+    """Rows, characters, bytes, and a content digest that does not depend on
+    how rows are spread over files."""
     return digest_lines(json_lines(df), name)
 
 
 def digest_lines(lines: DataFrame, name: str) -> DataFrame:
+    size = lambda measure: F.coalesce(F.sum(measure("value")), F.lit(0)).cast("bigint")
     return lines.agg(
-        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.char_length("value")), F.lit(0)).cast("bigint").alias("chars"),
-        F.coalesce(F.sum(uniform_long(F.col("value")).cast("decimal(20,0)")), F.lit(0)).cast("string").alias("digest"),
-    ).select(F.lit(name).alias("artifact"), "rows", "chars", "digest")
+        F.count(F.lit(1)).alias("rows"), size(F.char_length).alias("chars"), size(F.octet_length).alias("bytes"),
+        content_digest(F.col("value")).alias("digest"),
+    ).select(F.lit(name).alias("artifact"), "rows", "chars", "bytes", "digest")
 
 
 def manifest(tables: dict[str, DataFrame]) -> DataFrame:

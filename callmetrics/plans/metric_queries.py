@@ -174,7 +174,9 @@ SELECT CASE WHEN brier_skill_at_least_0_10 AND interval_excludes_zero AND auc_at
   calls, correct, silent_wrong, loud, spend_usd, n AS completed_for_confidence, brier, curve_brier, brier_skill,
   round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, log_loss, auc,
   brier_skill_at_least_0_10, interval_excludes_zero, auc_at_least_0_75,
-  brier_skill_at_least_0_10 AND interval_excludes_zero AND auc_at_least_0_75 AS pass FROM g""")
+  brier_skill_at_least_0_10 AND interval_excludes_zero AND auc_at_least_0_75 AS pass, CAST({REPLICATES} AS BIGINT) AS bootstrap_replicates,
+  '{R.model_sha256(X.FROZEN)}' AS frozen_model_sha256, input_digest FROM g,
+  (SELECT {" || ':' || ".join(f"sum(('0x' || substr(sha256(call_id || '|' || label), {at}, 15))::BIGINT)::VARCHAR" for at in (1, 16, 31, 46))} AS input_digest FROM pred)""")
 def report(spark, d):
     return R.prospective_report(study(T.calls(spark, d)), T.instances(spark, d), X.FROZEN, replicates=REPLICATES, seed=SEED)
 

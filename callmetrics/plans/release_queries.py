@@ -60,34 +60,43 @@ LINE_SQL = "'{' || " + " || ',' || ".join(
 ) + " || '}'"
 TRACE_LINE_SQL = "'{' || " + " || ',' || ".join(
     f"'\"{c}\":' || " + (NUM if c == "call_id" else TXT).format(c) for c in sorted(RL.TRACE)) + " || '}'"
-MANIFEST_SQL = f"""lines AS (SELECT 'calls' AS artifact, {LINE_SQL} AS value FROM compact UNION ALL SELECT 'traces', {TRACE_LINE_SQL} FROM texts),
-manifest AS (SELECT artifact, count(*) AS rows, CAST(sum(length(value)) AS BIGINT) AS chars,
-  sum(('0x' || substr(md5(value), 1, 15))::BIGINT)::VARCHAR AS digest FROM lines GROUP BY artifact)"""
+EVENT_LINE_SQL = "'{' || " + " || ',' || ".join(
+    f"'\"{c}\":' || " + (TXT if c == "channel" else NUM).format("elapsed_ms::DECIMAL(20,3)" if c == "elapsed_ms" else c)
+    for c in ("call_id", "channel", "char_count", "elapsed_ms", "seq")) + " || '}'"
+DIGEST_SQL = " || ':' || ".join(f"sum(('0x' || substr(sha256(value), {at}, 15))::BIGINT)::VARCHAR" for at in (1, 16, 31, 46))
+MANIFEST_SQL = f"""lines AS (SELECT 'calls' AS artifact, {LINE_SQL} AS value FROM compact UNION ALL SELECT 'traces', {TRACE_LINE_SQL} FROM texts
+  UNION ALL SELECT 'stream-events', {EVENT_LINE_SQL} FROM stream_events WHERE call_id IN (SELECT call_id FROM calls)),
+manifest AS (SELECT artifact, count(*) AS rows, CAST(sum(length(value)) AS BIGINT) AS chars, CAST(sum(strlen(value)) AS BIGINT) AS bytes,
+  {DIGEST_SQL} AS digest FROM lines GROUP BY artifact)"""
+MANIFEST = (*BASE, COMPACT_SQL, TRACE_SQL, T.STREAM_EVENTS_SQL, MANIFEST_SQL)
+
+
+def released_events(spark, d):
+    """Times as decimals, which every engine writes alike."""
+    events = study_events(T.stream_events(spark, d).drop("event_type"), T.calls(spark, d))
+    return events.withColumn("elapsed_ms", F.col("elapsed_ms").cast("decimal(20,3)"))
 
 
 def release_tables(spark, d):
-    return {"calls": compact(spark, d), "traces": RL.trace_export(T.calls(spark, d))}
+    return {"calls": compact(spark, d), "traces": RL.trace_export(T.calls(spark, d)), "stream-events": released_events(spark, d)}
 
 
-@query("sk9_export_manifest", ctes=(*BASE, COMPACT_SQL, TRACE_SQL, MANIFEST_SQL), sql="SELECT * FROM manifest")
+@query("sk9_export_manifest", ctes=MANIFEST, sql="SELECT * FROM manifest")
 def manifest(spark, d):
     return RL.manifest(release_tables(spark, d))
 
 
-@query("sk5_sk9_release_job", ctes=(*BASE, COMPACT_SQL, TRACE_SQL, MANIFEST_SQL, T.STREAM_EVENTS_SQL), sql="""
-SELECT artifact, rows FROM manifest UNION ALL
-SELECT 'stream-events', count(*) FROM stream_events WHERE call_id IN (SELECT call_id FROM calls)""")
+# The digests are taken from the files as written.
+@query("sk5_sk9_release_job", ctes=MANIFEST, sql="SELECT * FROM manifest")
 def release_job(spark, d):
-    calls = T.calls(spark, d)
-    events = study_events(T.stream_events(spark, d).drop("event_type"), calls)
-    return RL.export_release(calls, T.instances(spark, d), events, work_path(spark, "release")).select("artifact", "rows")
+    return RL.export_release(T.calls(spark, d), T.instances(spark, d), released_events(spark, d), work_path(spark, "release"))
 
 
-@query("jn11_checksum_verification", ctes=(*BASE, COMPACT_SQL, TRACE_SQL, MANIFEST_SQL), sql="""
-SELECT artifact, true AS present, artifact = 'calls' AS matches FROM manifest UNION ALL SELECT 'snapshot', false, false""")
+@query("jn11_checksum_verification", ctes=MANIFEST, sql="""
+SELECT artifact, true AS present, artifact <> 'traces' AS matches FROM manifest UNION ALL SELECT 'snapshot', false, false""")
 def _(spark, d):
     published = RL.manifest(release_tables(spark, d))
-    absent = published.limit(1).withColumn("artifact", F.lit("snapshot"))
+    absent = spark.createDataFrame([("snapshot", 0, 0, 0, "")], published.schema)
     tables = release_tables(spark, d)
     tables["traces"] = tables["traces"].withColumn(
         "response_text", F.when(F.col("call_id") % 1000 == 1, "edited").otherwise(F.col("response_text"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callmetrics.functions import outcomes as O
-from callmetrics.functions.hashing import id_hash
+from callmetrics.functions.hashing import content_digest, id_hash
 from callmetrics.functions.scoring import frozen_prior, frozen_score
 from callmetrics.operators import metrics as M
 from callmetrics.operators import status as S
@@ -36,8 +39,29 @@ GATE = {
 }
 
 
-def prospective_report(calls: DataFrame, instances: DataFrame, frozen: dict, replicates: int = 2000, seed: int = 20260712) -> DataFrame:
-    """One row. Fails when only one label occurs, as there is nothing to rank."""
+def require_final(study: DataFrame) -> None:
+    """``study``: one row with ``stop_reason`` and ``ready``. A report is looked
+    at once, so a study that has not stopped or is not ready is refused."""
+    row = study.first()
+    if row is None or row["stop_reason"] is None:
+        raise ValueError("prospective stopping condition has not been reached")
+    if not row["ready"]:
+        raise ValueError("provider continuity or post-sentinel requirement is not satisfied")
+
+
+def model_sha256(frozen: dict) -> str:
+    return hashlib.sha256(json.dumps(frozen, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def prospective_report(
+    calls: DataFrame, instances: DataFrame, frozen: dict, replicates: int = 2000, seed: int = 20260712,
+    final: DataFrame | None = None,
+) -> DataFrame:
+    """One row. Fails when only one label occurs, as there is nothing to rank,
+    and, given the study's state in ``final``, unless it is stopped and ready.
+    Digests of the model and of the scored calls tell what was reported on."""
+    if final is not None:
+        require_final(final)
     rows = materialize(prediction_rows(calls, instances, frozen))
     base = M.score_metrics(rows).select(
         "*",
@@ -49,7 +73,8 @@ def prospective_report(calls: DataFrame, instances: DataFrame, frozen: dict, rep
     area = M.auc(rows).select("auc")
     interval = M.clustered_interval(rows, replicates=replicates, seed=seed).drop("replicates")
     counts = S.study_status(calls, [])
-    row = side_by_side(counts, base, area, interval).where(F.col("guard").isNull())
+    scored = rows.agg(content_digest(F.concat_ws("|", "call_id", "label")).alias("input_digest"))
+    row = side_by_side(counts, base, area, interval, scored).where(F.col("guard").isNull())
     gated = row.select("*", *[F.coalesce(F.expr(c), F.lit(False)).alias(n) for n, c in GATE.items()])
     passed = F.col("brier_skill_at_least_0_10") & F.col("interval_excludes_zero") & F.col("auc_at_least_0_75")
     six = lambda c: F.round(c, 6).alias(c)
@@ -58,4 +83,5 @@ def prospective_report(calls: DataFrame, instances: DataFrame, frozen: dict, rep
         "calls", "correct", "silent_wrong", "loud", "spend_usd", F.col("n").alias("completed_for_confidence"),
         six("brier"), F.round("prior_brier", 6).alias("curve_brier"), six("brier_skill"),
         six("ci_low"), six("ci_high"), six("log_loss"), six("auc"), *GATE, passed.alias("pass"),
+        F.lit(replicates).cast("bigint").alias("bootstrap_replicates"), F.lit(model_sha256(frozen)).alias("frozen_model_sha256"), "input_digest",
     )

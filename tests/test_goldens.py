@@ -313,3 +313,12 @@ def test_report_needs_both_labels(spark):
     instances = spark.createDataFrame([("i", 3.0)], "instance_id string, level_value double")
     with pytest.raises(Exception, match="requires correct and silently wrong"):
         prospective_report(calls, instances, X.FROZEN, replicates=5).collect()
+
+
+def test_report_refuses_an_open_study(spark):
+    calls = spark.createDataFrame([], "call_id bigint, instance_id string, outcome string, completion_tokens bigint, reasoning_tokens bigint, latency_ms double, attempt bigint, finish_reason string, cost_microdollars bigint")
+    instances = spark.createDataFrame([("i", 3.0)], "instance_id string, level_value double")
+    for state, message in (((None, True), "stopping condition"), (("call cap reached", False), "continuity")):
+        final = spark.createDataFrame([state], "stop_reason string, ready boolean")
+        with pytest.raises(ValueError, match=message):
+            prospective_report(calls, instances, X.FROZEN, replicates=5, final=final)
