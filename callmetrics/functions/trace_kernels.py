@@ -73,8 +73,9 @@ def previous(words: Words, k: int) -> np.ndarray:
     return found
 
 
-def rolling_scores(words: Words, points: np.ndarray, chunk_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Score after every full chunk over the last words, and the rows' offsets."""
+def rolling_scores(words: Words, points: np.ndarray, before: np.ndarray, chunk_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Score after every full chunk over the last words, and the rows' offsets;
+    ``before`` is where every shingle occurred last."""
     span = X.WINDOW_WORDS // chunk_words
     counts = words.sizes // chunk_words
     offsets = sums_before(counts)
@@ -84,7 +85,6 @@ def rolling_scores(words: Words, points: np.ndarray, chunk_words: int) -> tuple[
     end = base + (chunk + 1) * chunk_words
     marked = sums_before(points)
     scores = marked[end] - marked[begin]
-    before = previous(words, X.SHINGLE)
     # Windows side by side: the shingle starts of each, and whose they are.
     held = end - begin - (X.SHINGLE - 1)
     place = sums_before(held)
@@ -102,32 +102,34 @@ def _hashed(lexicon: Mapping[str, Sequence[str]]) -> dict[str, np.ndarray]:
     return {family: marker_hashes(markers) for family, markers in lexicon.items()}
 
 
-def rolling_scores_udf(lexicon: Mapping[str, Sequence[str]], chunk_words: int = X.CHUNK_WORDS):
-    """Column function: lower-case text to the array of its chunks' scores."""
+def rolling_scores_udf(lexicon: Mapping[str, Sequence[str]], chunk_sizes: Sequence[int] = (X.CHUNK_WORDS,)):
+    """Column function: text to the struct of ``total_words`` and, per chunk
+    size c, ``s<c>``, the array of its chunks' scores."""
     families = _hashed(lexicon)
+    names = [f"s{c}" for c in chunk_sizes]
 
-    @F.arrow_udf(ArrayType(LongType()))
+    @F.arrow_udf(StructType([StructField("total_words", LongType()), *[StructField(n, ArrayType(LongType())) for n in names]]))
     def scored(text: pa.Array) -> pa.Array:
-        values, ends = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+        sizes = [np.zeros(0, np.int64)]
+        values, ends = {n: [np.zeros(0, np.int64)] for n in names}, {n: [np.zeros(1, np.int64)] for n in names}
         for _, _, part, bounds in pieces(*text_buffer(text)):
             words = Words.of(part, bounds)
-            scores, offsets = rolling_scores(words, _points(words, families), chunk_words)
-            values.append(scores)
-            ends.append(offsets[1:] + ends[-1][-1])
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(values), pa.int64()))
-
-    return lambda text: scored(F.lower(text))
-
-
-def size_udf():
-    """Column function: number of words of a lower-case text."""
-
-    @F.arrow_udf(LongType())
-    def size(text: pa.Array) -> pa.Array:
-        found = [Words.of(part, bounds).sizes for _, _, part, bounds in pieces(*text_buffer(text))]
-        return pa.array(np.concatenate([np.zeros(0, np.int64), *found]), pa.int64())
-
-    return lambda text: size(F.lower(text))
+            points, before = _points(words, families), previous(words, X.SHINGLE)
+            sizes.append(words.sizes)
+            for name, chunk_words in zip(names, chunk_sizes):
+                scores, offsets = rolling_scores(words, points, before, chunk_words)
+                values[name].append(scores)
+                ends[name].append(offsets[1:] + ends[name][-1][-1])
+        lists = [
+            pa.ListArray.from_arrays(pa.array(np.concatenate(ends[n]), pa.int32()), pa.array(np.concatenate(values[n]), pa.int64()))
+            for n in names
+        ]
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(sizes), pa.int64()), *lists], names=["total_words", *names])
+
+    # Marked so that a filter on the result is not moved below it, which would
+    # score every text twice.
+    once = scored.asNondeterministic()
+    return lambda text: once(F.lower(text))
 
 
 def repetition(words: Words, first: np.ndarray, k: int) -> np.ndarray:

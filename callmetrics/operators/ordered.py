@@ -10,8 +10,8 @@ when tasks are recomputed.
 
 Nulls are values like any other: a null group column makes a group, and rows
 with a null key come first in theirs, in a range of their own. Cells are joined
-on a struct of group columns and range, in which two nulls are equal; the
-windows are over the same struct, so the join's shuffle serves them too.
+on the group columns with nulls filled, a bit mask of the nulls, and the range;
+the windows are over the same columns, so the join's shuffle serves them too.
 """
 
 from __future__ import annotations
@@ -27,29 +27,29 @@ from pyspark.sql import functions as F
 from callmetrics.session import materialize, parallelism
 
 CELL = "__cell"
-KEY = "__key_of_cell"
+NULLS = "__nulls"
 MERGE_TASKS = 64
 
 
-def _quantile_points(df: DataFrame, key: str, ranges: int) -> list[float]:
-    if ranges < 2:
-        return []
-    probabilities = [i / ranges for i in range(1, ranges)]
+def _quantile_points(df: DataFrame, key: str, ranges: int) -> tuple[list[float], bool]:
+    """Approximate quantiles, repeated for frequent values, and whether any
+    row has no key."""
+    probabilities = [i / ranges for i in range(1, ranges)] or [0.5]
     accuracy = max(1000, 10 * ranges)
     # Summaries are merged in many tasks before one merges those; the points
     # only place the cuts, no row depends on how exact they are.
     parts = (
         df.select(F.col(key).cast("double").alias("k"), F.pmod(F.spark_partition_id(), F.lit(MERGE_TASKS)).alias("t"))
-        .groupBy("t").agg(F.percentile_approx("k", probabilities, accuracy).alias("p"))
-        .select(F.explode("p").alias("k"))
+        .groupBy("t").agg(F.percentile_approx("k", probabilities, accuracy).alias("p"), F.max(F.col("k").isNull()).alias("gaps"))
+        .select(F.explode_outer("p").alias("k"), "gaps")
     )
-    row = parts.agg(F.percentile_approx("k", probabilities, accuracy)).first()
-    return sorted(row[0] or [])
+    row = parts.agg(F.percentile_approx("k", probabilities, accuracy), F.max("gaps")).first()
+    return (sorted(row[0] or []) if ranges > 1 else []), bool(row[1])
 
 
 def split_points(df: DataFrame, key: str, ranges: int) -> list[float]:
     """Approximate quantiles of a numeric key; fewer than ``ranges`` numbers."""
-    return sorted(set(_quantile_points(df, key, ranges)))
+    return sorted(set(_quantile_points(df, key, ranges)[0]))
 
 
 def uniform_points(low: float, high: float, ranges: int) -> list[float]:
@@ -82,14 +82,15 @@ def with_cell(
     order column."""
     ranges = parallelism(df.sparkSession)
     heavy: list[float] = []
+    gaps = points is not None  # not known: looked for by the tie's own quantiles
     if points is None:
-        found = _quantile_points(df, key, ranges)
+        found, gaps = _quantile_points(df, key, ranges)
         points = sorted(set(found))
         if tie is not None:
             heavy = [p for p, n in Counter(found).items() if n > 1]
             points = sorted({*points, *[math.nextafter(p, math.inf) for p in heavy]})
     cells = _range_number(df, key, points, CELL)
-    if tie is None:
+    if tie is None or not (heavy or gaps):
         return cells
     crowded = F.col(key).isNull()
     if heavy:
@@ -103,8 +104,27 @@ def with_cell(
     )
 
 
-def _cell_key(groups: Sequence[str]) -> Column:
-    return F.struct(*groups, CELL).alias(KEY)
+def _keyed(df: DataFrame, groups: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Adds the columns that name a cell, none of which is ever null."""
+    kinds = dict(df.dtypes)
+    filled, mask = {}, F.lit(0).cast("bigint")
+    for i, group in enumerate(groups):
+        column = F.col(group)
+        if kinds[group] == "string":
+            filled[f"__g{i}"] = F.coalesce(column, F.lit(""))
+        elif kinds[group] in ("bigint", "int", "double"):
+            filled[f"__g{i}"] = F.coalesce(column, F.lit(0).cast(kinds[group]))
+        else:
+            filled[f"__g{i}"] = F.coalesce(column.cast("string"), F.lit(""))
+        mask = mask + F.when(column.isNull(), F.lit(1 << i)).otherwise(F.lit(0))
+    return df.withColumns({**filled, NULLS: mask}), [*filled, NULLS, CELL]
+
+
+def _join_cells(cells: DataFrame, totals: DataFrame, groups: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Rows with the values of their cell, and the columns that name it."""
+    left, keys = _keyed(cells, groups)
+    right, _ = _keyed(totals, groups)
+    return left.join(right.drop(*groups), keys), keys
 
 
 def _group_window(groups: Sequence[str]):
@@ -136,22 +156,22 @@ def prefix_sums(
     )
     before = _group_window(groups).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_cell.select(
-        _cell_key(groups),
+        *groups, CELL,
         *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums],
         *[F.sum(f"__t_{n}").over(_group_window(groups)).alias(n) for n in totals],
         *[F.min(f"__t_{n}").over(_group_window(groups)).alias(n) for n in minima],
     )
+    joined, keys = _join_cells(cells, offsets, groups)
     inside = (
-        Window.partitionBy(KEY)
+        Window.partitionBy(*keys)
         .orderBy(*(order or [key]))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    joined = cells.withColumn(KEY, _cell_key(groups)).join(offsets, KEY)
     for name, column in sums.items():
         joined = joined.withColumn(
             name, F.col(f"__o_{name}") + F.coalesce(F.sum(column).over(inside), F.lit(0))
         )
-    return joined.drop(CELL, KEY, *[f"__o_{n}" for n in sums])
+    return joined.drop(*keys, *[f"__o_{n}" for n in sums])
 
 
 def ranked(
@@ -188,12 +208,11 @@ def lagged(
         F.max_by(F.struct(*[F.col(c).alias(n) for n, c in columns.items()]), last).alias("__end")
     )
     carried = ends.select(
-        _cell_key(groups), F.lag("__end").over(_group_window(groups).orderBy(CELL)).alias("__carry")
-    )
-    inside = Window.partitionBy(KEY).orderBy(*order)
-    joined = cells.withColumn(KEY, _cell_key(groups)).join(carried, KEY).withColumn(
-        "__first", F.row_number().over(inside) == 1
+        *groups, CELL, F.lag("__end").over(_group_window(groups).orderBy(CELL)).alias("__carry")
     )
+    joined, keys = _join_cells(cells, carried, groups)
+    inside = Window.partitionBy(*keys).orderBy(*order)
+    joined = joined.withColumn("__first", F.row_number().over(inside) == 1)
     for name, column in columns.items():
         joined = joined.withColumn(
             name,
@@ -201,7 +220,7 @@ def lagged(
                 F.lag(column).over(inside)
             ),
         )
-    return joined.drop(CELL, KEY, "__carry", "__first")
+    return joined.drop(*keys, "__carry", "__first")
 
 
 def value_counts(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
@@ -265,12 +284,11 @@ def first_k(
     sizes = cells.groupBy(*groups, CELL).agg(F.count(F.lit(1)).alias("__n"), *marks)
     before = _group_window(groups).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        _cell_key(groups), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"),
+        *groups, CELL, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"),
         F.sum("__n").over(_group_window(groups)).alias("size"),
         *([F.sum("__q").over(_group_window(groups)).alias("quota")] if quota else []),
     ).where(F.col("__o") < k)
-    inside = Window.partitionBy(KEY).orderBy(*(order or [key]))
-    placed = cells.withColumn(KEY, _cell_key(groups)).join(offsets, KEY).withColumn(
-        "rank", F.col("__o") + F.row_number().over(inside) - 1
-    )
-    return placed.where(F.col("rank") < k).drop(CELL, KEY, "__o")
+    joined, keys = _join_cells(cells, offsets, groups)
+    inside = Window.partitionBy(*keys).orderBy(*(order or [key]))
+    placed = joined.withColumn("rank", F.col("__o") + F.row_number().over(inside) - 1)
+    return placed.where(F.col("rank") < k).drop(*keys, "__o")

@@ -42,8 +42,8 @@ def texture_levels(features: DataFrame, keys: Sequence[str], names: Sequence[str
 
 
 def risk_scores(traces: DataFrame, lexicon: Mapping[str, Sequence[str]], chunk_words: int = X.CHUNK_WORDS) -> DataFrame:
-    score = K.rolling_scores_udf(lexicon, chunk_words)
-    scored = traces.select("call_id", score(F.col("reasoning_text")).alias("scores"))
+    score = K.rolling_scores_udf(lexicon, [chunk_words])
+    scored = traces.select("call_id", score(F.col("reasoning_text")).alias("r")).select("call_id", F.col(f"r.s{chunk_words}").alias("scores"))
     # The outer form infers no filter on the array, which would score twice.
     return scored.select("call_id", F.posexplode_outer("scores").alias("chunk", "score")).where(
         F.col("chunk").isNotNull()
@@ -56,10 +56,9 @@ def risk_scores(traces: DataFrame, lexicon: Mapping[str, Sequence[str]], chunk_w
 def replay(traces: DataFrame, lexicon: Mapping[str, Sequence[str]], chunk_sizes: Sequence[int] = (X.CHUNK_WORDS,)) -> DataFrame:
     """One narrow row per call and chunk size: when the trigger would have
     fired and how much of the trace and of the latency was left."""
-    text = F.col("reasoning_text")
-    scored = traces.select(
-        "call_id", "outcome", "latency_ms", K.size_udf()(text).alias("total_words"),
-        *[K.rolling_scores_udf(lexicon, c)(text).alias(f"s{c}") for c in chunk_sizes],
+    score = K.rolling_scores_udf(lexicon, chunk_sizes)
+    scored = traces.select("call_id", "outcome", "latency_ms", score(F.col("reasoning_text")).alias("r")).select(
+        "call_id", "outcome", "latency_ms", "r.*"
     ).where(F.col("total_words") >= X.MIN_WORDS)
     fired = scored.select(
         "call_id", "outcome", "latency_ms", "total_words",
