@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,7 +110,3 @@ def frozen_score(frozen: dict) -> Column:
 def frozen_prior(frozen: dict) -> Column:
     curve = frozen["curve"]
     return curve_probability(F.col("level_value"), curve["b"], curve["a"], curve["lapse"])
-
-
-def logit_value(p: float) -> float:
-    return math.log(p / (1.0 - p))
