@@ -20,6 +20,17 @@ cut into blocks, and each pair of blocks goes to a task of its own.
 Nulls and empty texts have the fingerprint zero and are linked like any other.
 Repeated rows (equal ids too) come back as often as they came in. A null id
 counts last: its group's component is null only if no member has an id.
+
+The stage of the pipeline, ``one_per_group``, asks more than three bits: texts
+are near copies if their sets of 5-word shingles have a Jaccard likeness of at
+least 0.8, and groups are the components of that relation. Texts with equal sets
+are one node. ``BANDS`` keys of ``BAND_ROWS`` minima each choose the candidates;
+a pair at 0.8 shares no key, or too few minima to be compared, with a chance of
+about 1e-9, and a pair above less often. Every candidate is decided by its exact
+sets. First each key proposes a spanning set of likely links; once those that
+hold are joined to groups, every pair of a key that lies across two groups is
+tried, so none is left out. A common key whose members are all half alike and no
+copies costs as many tries as it has pairs.
 """
 
 from __future__ import annotations
@@ -31,33 +42,48 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from callmetrics.llm.common import fresh, small_batches, stored, table
 from callmetrics.llm.graph import connected_components
+from callmetrics.llm.kernels import mix
 
 SHINGLE = 3
 DISTANCE = 3
 SEGMENTS = 4
 BLOCK_ROWS = 4096
 
+SET_SHINGLE = 5
+LIKE = (4, 5)  # least Jaccard likeness of near copies, as a fraction
+BANDS, BAND_ROWS = 32, 3
+MINIMA = BANDS * BAND_ROWS
+LIKELY, POSSIBLE = 74, 50  # common minima of a likely link, and the least of a link at all
+HASHES_AT_ONCE = 1 << 15
+
 _POWERS = 1 << np.arange(64, dtype=np.uint64)
 _SIGN = np.uint64(1 << 63)
 
 
-def fingerprint_of(text: str | None) -> int:
-    """SimHash of one text, unsigned."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """A hash of every run of ``shingle`` words; a shorter text is one run."""
     words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    width = min(SHINGLE, len(words))
+    width = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
     begins = [0, *(ends[:len(words) - width] + 1).tolist()]
-    hashes = np.fromiter(
+    return np.fromiter(
         (digest(joined[a:b], 42) for a, b in zip(begins, ends[width - 1:].tolist())), np.uint64, len(begins)
     )
+
+
+def fingerprint_of(text: str | None) -> int:
+    """SimHash of one text, unsigned."""
+    hashes = shingle_hashes(text, SHINGLE)
+    if not len(hashes):
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[at:at + (1 << 16)].astype("<u8").view(np.uint8), bitorder="little")
@@ -158,20 +184,10 @@ def _links_of(cell: np.ndarray, prints: np.ndarray, side: np.ndarray, start: np.
     return np.concatenate(lefts), np.concatenate(rights)
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Rows come sorted by cell; a cell is short, so one that a batch cuts is
     carried over to the next."""
     carried: pa.Table | None = None
-
-    def work(rows: pa.Table) -> pa.RecordBatch:
-        cell = rows["cell"].to_numpy()
-        left, right = _links_of(
-            cell, rows["simhash"].to_numpy().view(np.uint64), rows["side"].to_numpy(), rows["start"].to_numpy()
-        )
-        return pa.RecordBatch.from_arrays(
-            [pa.array(left.view(np.int64)), pa.array(right.view(np.int64))], names=["a", "b"]
-        )
-
     for batch in batches:
         rows = pa.Table.from_batches([batch])
         if carried is not None:
@@ -182,32 +198,46 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = int(np.searchsorted(cell, cell[-1], "left")) if np.all(cell[:-1] <= cell[1:]) else 0
         carried = rows.slice(cut)
         if cut:
-            yield work(rows.slice(0, cut))
+            yield rows.slice(0, cut)
     if carried is not None and len(carried):
-        yield work(carried)
+        yield carried
 
 
-def links(prints: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Links (a, b) that connect all distinct fingerprints within the distance;
-    links inside one key that close a circle are left out.
+def _pairs(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(left.view(np.int64)), pa.array(right.view(np.int64))], names=["a", "b"])
 
-    ``prints``: distinct values in ``simhash``."""
-    keyed = prints.select("simhash", F.explode(_keys(F.col("simhash"))).alias("key"))
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _whole_cells(batches):
+        yield _pairs(*_links_of(
+            rows["cell"].to_numpy(), rows["simhash"].to_numpy().view(np.uint64), rows["side"].to_numpy(), rows["start"].to_numpy()
+        ))
+
+
+def _cells(keyed: DataFrame, node: str, block_rows: int) -> DataFrame:
+    """``keyed`` with the columns cell and side: the cells of every key that has
+    more than one row. Block i of a key meets blocks i..last, so cells are (low
+    block, high block)."""
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / block_rows).cast("int")
-    # Block i of a key meets blocks i..last: cells are (low block, high block).
-    block = F.pmod(F.xxhash64("simhash"), F.col("blocks")).cast("int")
-    cells = (
+    block = F.pmod(F.xxhash64(node), F.col("blocks")).cast("int")
+    return (
         keyed.join(sizes.select("key", blocks.alias("blocks")), "key")
         .withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "simhash",
-            (F.shiftright("key", 25)).cast("int").alias("start"),
-            F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell"),
-            F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side"),
-        )
+        .withColumn("cell", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
+        .withColumn("side", F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") > F.col("other")).cast("int")))
+        .drop("blocks", "block", "other")
     )
+
+
+def links(prints: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Links (a, b) that connect all distinct fingerprints within the distance;
+    links inside one key that close a circle are left out.
+
+    ``prints``: distinct values in ``simhash``."""
+    keyed = prints.select("simhash", F.explode(_keys(F.col("simhash"))).alias("key"))
+    cells = _cells(keyed, "simhash", block_rows).select("simhash", F.shiftright("key", 25).cast("int").alias("start"), "cell", "side")
     return (
         cells.repartition("cell").sortWithinPartitions("cell", "simhash")
         .mapInArrow(_links, "a long, b long")
@@ -234,19 +264,165 @@ def components(narrow: DataFrame) -> DataFrame:
     return narrow.join(named, "simhash").select("doc_id", "simhash", "component_id")
 
 
+_FACTORS = np.random.default_rng(20260712).integers(0, 2**64, (MINIMA, 2), dtype=np.uint64) | np.uint64(1)
+
+
+def set_of(text: str | None) -> np.ndarray:
+    """The distinct hashes of the 5-word shingles, in order."""
+    return np.unique(shingle_hashes(text, SET_SHINGLE))
+
+
+def minima_of(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of minima per set; an empty set has zeros."""
+    found = np.zeros((len(sets), MINIMA), np.uint32)
+    filled = [i for i, values in enumerate(sets) if len(values)]
+    while filled:
+        ends = np.cumsum([len(sets[i]) for i in filled])
+        count = max(1, int(np.searchsorted(ends, HASHES_AT_ONCE, "right")))
+        own, filled = filled[:count], filled[count:]
+        values, begins = np.concatenate([sets[i] for i in own]), np.concatenate([[0], ends[:count - 1]])
+        for at, (factor, shift) in enumerate(_FACTORS):
+            found[own, at] = np.minimum.reduceat((values * factor + shift) >> np.uint64(32), begins)
+    return found
+
+
+_NODE = [("node", LongType(), pa.int64()), ("size", LongType(), pa.int64()), ("minima", BinaryType(), pa.binary())]
+
+
+@F.arrow_udf(StructType([StructField(n, t) for n, t, _ in _NODE]))
+def _node(text: pa.Array) -> pa.Array:
+    """The hash of the whole set (0 if empty), its size and its minima."""
+    nodes, sizes, minima = [], [], []
+    for at in range(0, len(text), 64):  # texts whose sets are held at once
+        sets = [set_of(t.as_py()) for t in text[at:at + 64]]
+        nodes += [xxhash.xxh64_intdigest(s.tobytes(), 42) if len(s) else 0 for s in sets]
+        sizes += [len(s) for s in sets]
+        minima += [m.tobytes() for m in minima_of(sets)]
+    columns = (np.array(nodes, np.uint64).view(np.int64), sizes, minima)
+    return pa.StructArray.from_arrays(
+        [pa.array(c, t) for c, (_, _, t) in zip(columns, _NODE)], fields=[pa.field(n, t) for n, _, t in _NODE]
+    )
+
+
+def _matrix(minima) -> np.ndarray:
+    return np.frombuffer(b"".join(minima.to_pylist()), np.uint32).reshape(-1, MINIMA)
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def _band_keys(minima: pa.Array) -> pa.Array:
+    bands = _matrix(minima).reshape(-1, BANDS, BAND_ROWS).astype(np.uint64)
+    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), bands.shape[:2])
+    for at in range(BAND_ROWS):
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, at])
+    edges = np.arange(0, keys.size + 1, BANDS, dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(keys.reshape(-1).view(np.int64)))
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def _set(text: pa.Array) -> pa.Array:
+    return pa.array([set_of(t.as_py()).view(np.int64) for t in text], pa.list_(pa.int64()))
+
+
+def _proposals(across: bool):
+    """Per cell: a spanning set of the likely links, or all possible links
+    across two groups."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_cells(batches):
+            cell, group = rows["cell"].to_numpy(), rows["group"].to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            mixed = np.minimum.reduceat(group, first) != np.maximum.reduceat(group, first)
+            keep = np.repeat(mixed, np.diff(np.append(first, len(cell))))
+            rows = rows.filter(pa.array(keep))
+            if not len(rows):
+                continue
+            cell, group, node, side, size = (rows[c].to_numpy() for c in ("cell", "group", "node", "side", "size"))
+            minima, forest = _matrix(rows["minima"]), _Forest(len(cell))
+            apart, alive = 1, np.flatnonzero(cell[:-1] == cell[1:])
+            while len(alive):
+                a, b = alive, alive + apart
+                near = ((side[a] != side[b]) | (side[a] == 2)) & (group[a] != group[b]) & (forest.parent[a] != forest.parent[b])
+                near &= LIKE[1] * np.minimum(size[a], size[b]) >= LIKE[0] * np.maximum(size[a], size[b])
+                a, b = a[near], b[near]
+                near = (minima[a] == minima[b]).sum(axis=1) >= (POSSIBLE if across else LIKELY)
+                a, b = a[near], b[near]
+                if len(a) and not across:
+                    kept = forest.join(a, b)
+                    forest.flatten()
+                    a, b = a[kept], b[kept]
+                if len(a):
+                    yield _pairs(np.minimum(node[a], node[b]), np.maximum(node[a], node[b]))
+                apart += 1
+                alive = alive[alive + apart < len(cell)]
+                alive = alive[cell[alive] == cell[alive + apart]]
+
+    return work
+
+
+def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose sets have the likeness; ``texts``: (node, text)."""
+    pairs = stored(pairs.distinct(), "proposed")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = stored(
+        texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+        .select("node", _set(F.col("text")).alias("set")), "sets",
+    )
+    common = F.size(F.array_intersect("left", "right"))
+    both = F.size("left") + F.size("right")
+    return stored(
+        pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("left")), "a")
+        .join(sets.select(F.col("node").alias("b"), F.col("set").alias("right")), "b")
+        .where(common * (LIKE[0] + LIKE[1]) >= both * LIKE[0]).select("a", "b"), "alike",
+    )
+
+
+def near_copy_groups(marked: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(node, least, root) per node of (doc_id, text, node, size, minima): its
+    smallest document and the node that stands for its group."""
+    nodes = stored(
+        marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("minima").alias("minima")),
+        "nodes",
+    )
+    keyed = nodes.where("size > 0").select("node", F.explode(_band_keys(F.col("minima"))).alias("key"))
+    cells = stored(_cells(keyed, "node", block_rows).select("node", "cell", "side"), "cells")
+    texts = marked.select("node", "text")
+
+    def proposed(grouped: DataFrame, across: bool) -> DataFrame:
+        return (
+            cells.join(grouped.select("node", "size", "minima", "group"), "node")
+            .repartition("cell").sortWithinPartitions("cell", "node")
+            .mapInArrow(_proposals(across), "a long, b long")
+        )
+
+    def rooted(links: DataFrame) -> DataFrame:
+        return (
+            nodes.join(connected_components(links).withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
+            .withColumn("group", F.coalesce("root", "node"))
+        )
+
+    likely = _alike(proposed(nodes.withColumn("group", F.col("node")), False), texts)
+    grouped = rooted(likely)
+    rest = _alike(proposed(grouped, True), texts)
+    if not rest.isEmpty():
+        grouped = rooted(likely.union(rest))
+    return stored(grouped.select("node", "least", F.col("group").alias("root")), "groups")
+
+
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """One document of each group: the row with the smallest id. Repeated rows
-    of it stay once; a group without any id keeps one of its rows."""
-    bits, key, place = fresh(docs, "simhash"), fresh(docs, "dedup_key"), fresh(docs, "dedup_place")
+    """One document of each group of near copies: the row with the smallest id.
+    Repeated rows of it stay once; a group without any id keeps one of its rows."""
+    found, key, place = fresh(docs, "near_set"), fresh(docs, "dedup_key"), fresh(docs, "dedup_place")
 
-    def named(simhash: str):
-        return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex(simhash)).alias(key)
+    def named(node: str):
+        return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex(node)).alias(key)
 
-    marked = stored(fingerprints(docs, bits).select("*", named(bits)), "marked")
-    groups = groups_of(marked.select("doc_id", F.col(bits).alias("simhash")))
+    marked = stored(
+        small_batches(docs).withColumn(found, _node(F.col("text"))).select("*", named(f"{found}.node")), "marked"
+    )
+    groups = near_copy_groups(marked.select("doc_id", "text", f"{found}.*"))
     chosen = groups.groupBy("root").agg(
-        F.min(F.struct(F.col("least").isNull().alias("no_id"), F.col("least").alias("doc_id"), "simhash")).alias("pick")
-    ).select("pick.*").select(named("simhash"))
+        F.min(F.struct(F.col("least").isNull().alias("no_id"), F.col("least").alias("doc_id"), "node")).alias("pick")
+    ).select("pick.*").select(named("node"))
     # The join has dealt the rows by the key already, so the window only sorts.
     order = [c for c in ("text", "source", "lang") if c in docs.columns]
     return (
