@@ -1,7 +1,8 @@
 """Benchmark decontamination by greedy string tiling (operator 1).
 
 Tokens are runs of letters and digits in lower case, so case, punctuation and
-spacing do not matter. A document leaks an item if tiles -- matching runs of at
+spacing do not matter. In scripts that are written without spaces (Chinese,
+Japanese, Thai, Lao, Burmese, Khmer) every code point is a token. A document leaks an item if tiles -- matching runs of at
 least ``MIN_TILE`` tokens, none of which overlap in either text -- cover at
 least ``COVERAGE`` of the item's tokens. Tiles may stand in any order, which
 catches reordered passages.
@@ -17,8 +18,9 @@ The benchmark is the query set. It is read in blocks of at most
 ``BLOCK_BYTES`` of text, each a broadcast index of bounded size, and all
 documents pass every block; their texts are never shuffled.
 
-An item with fewer tokens than a tile leaks only into a document with exactly
-its tokens; an item without a token never leaks. Null texts count as empty. A
+An item with fewer tokens than a tile has to be found whole: anywhere in the
+document if it has a token of a script without spaces, or else as the document's
+only tokens. An item without a token never leaks. Null texts count as empty. A
 repeated item or document row gives repeated result rows. A single item longer
 than a block is a block of its own.
 """
@@ -46,15 +48,58 @@ Tile = tuple[int, int, int]  # item position, document position, length
 
 def tokens_of(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of lower-case texts, and the row of each."""
+    starts, ends, rows, _ = _token_spans(data, edges)
+    return span_hashes(data, starts, ends), rows
+
+
+# Code points of three bytes, first and last. Letters of scripts without spaces,
+# and the ideographic and full-width punctuation.
+SPACELESS = [
+    (0x0E01, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17D3), (0x17D7, 0x17FF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x3035),
+    (0x303B, 0x303C), (0x3041, 0x309F), (0x30A1, 0x30FA), (0x30FC, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF),
+    (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F),
+]
+SIGNS = [
+    (0x3000, 0x3004), (0x3008, 0x3020), (0x302A, 0x3030), (0x3036, 0x303A), (0x303D, 0x303F), (0x30A0, 0x30A0), (0x30FB, 0x30FB),
+    (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65), (0xFFE0, 0xFFEE),
+]
+
+
+def _in_ranges(values: np.ndarray, ranges: list[tuple[int, int]]) -> np.ndarray:
+    low, high = np.array(ranges).T
+    at = np.searchsorted(low, values, "right") - 1
+    return (at >= 0) & (values <= high[at])
+
+
+def _token_spans(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every token, and whether it is a code point of a
+    script without spaces."""
     inside = WORD[data]
+    alone = ends_alone = np.zeros(0, np.int64)
     if len(data) > 2:
         # Punctuation of two and three bytes: Latin-1 signs and the general block.
         two = np.flatnonzero((data[:-1] == 0xC2) & (data[1:] < 0xC0))
         inside[two] = inside[two + 1] = False
         three = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] <= 0x81))
         inside[three] = inside[three + 1] = inside[three + 2] = False
+        long = np.flatnonzero((data[:-2] >= 0xE0) & (data[:-2] < 0xF0))
+        a, b, c = (data[long + i].astype(np.int64) for i in range(3))
+        points = (a & 0x0F) << 12 | (b & 0x3F) << 6 | c & 0x3F
+        signs = long[_in_ranges(points, SIGNS)]
+        inside[signs] = inside[signs + 1] = inside[signs + 2] = False
+        alone = long[_in_ranges(points, SPACELESS)]
+        # Ideographs of four bytes: planes 2 and 3.
+        four = np.flatnonzero((data[:-1] == 0xF0) & (data[1:] >= 0xA0))
+        ends_alone = np.concatenate([alone + 3, four + 4])
+        alone = np.concatenate([alone, four])
     starts, ends, rows = word_spans(data, edges, inside)
-    return span_hashes(data, starts, ends), rows
+    if len(alone):  # cut the runs before and after
+        starts, ends = (
+            np.unique(np.concatenate([starts, alone, np.setdiff1d(ends_alone, ends)])),
+            np.unique(np.concatenate([ends, ends_alone, np.setdiff1d(alone, starts)])),
+        )
+        rows = np.searchsorted(edges, starts, "right") - 1
+    return starts, ends, rows, np.isin(starts, alone)
 
 
 def _windows(free: np.ndarray, length: int) -> np.ndarray:
@@ -138,11 +183,13 @@ class BlockIndex:
     tokens: list[np.ndarray]
     vocabulary: np.ndarray
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # length: hashes, items, positions
+    spaceless: np.ndarray  # per item: it has a token of a script without spaces
 
     @classmethod
     def build(cls, rows: list[tuple], min_tile: int) -> BlockIndex:
         data, edges = text_buffer(pa.array([text for _, text in rows], pa.string()))
-        hashes, owner = tokens_of(data, edges)
+        starts, ends, owner, alone = _token_spans(data, edges)
+        hashes, spaceless = span_hashes(data, starts, ends), np.bincount(owner[alone], minlength=len(rows)) > 0
         tokens = np.split(hashes, np.searchsorted(owner, np.arange(1, len(rows))))
         seeds: dict[int, list] = {}
         for number, values in enumerate(tokens):
@@ -157,7 +204,7 @@ class BlockIndex:
             joined = [np.concatenate(column) for column in zip(*parts)]
             order = np.argsort(joined[0], kind="stable")
             ready[length] = tuple(column[order] for column in joined)
-        return cls([item_id for item_id, _ in rows], tokens, np.unique(hashes), ready)
+        return cls([item_id for item_id, _ in rows], tokens, np.unique(hashes), ready, spaceless)
 
     def leaks(self, hashes: np.ndarray, owner: np.ndarray, rows: int, min_tile: int, coverage: float) -> dict[int, list[dict]]:
         """Per row of a piece: the items that leak into it, with their tiles."""
@@ -170,8 +217,6 @@ class BlockIndex:
         for length, (seeds, items, positions) in self.seeds.items():
             at = _windows(known, length)
             at = at[owner[at] == owner[at + length - 1]]
-            if length < min_tile:  # short items: the whole document or nothing
-                at = at[(at == edges[owner[at]]) & (edges[owner[at] + 1] == at + length)]
             code = mix((sums[at + length] - sums[at]) * factors[at])
             low, high = np.searchsorted(seeds, code, "left"), np.searchsorted(seeds, code, "right")
             hit = np.flatnonzero(high > low)
@@ -179,8 +224,15 @@ class BlockIndex:
                 continue
             repeat = high[hit] - low[hit]
             which = np.repeat(low[hit] - np.concatenate([[0], np.cumsum(repeat)[:-1]]), repeat) + np.arange(repeat.sum())
+            begins = np.repeat(at[hit], repeat)
+            if length < min_tile:  # short items of spaced words: the whole document or nothing
+                row = owner[begins]
+                fits = self.spaceless[items[which]] | (begins == edges[row]) & (edges[row + 1] == begins + length)
+                which, begins = which[fits], begins[fits]
+                if not len(which):
+                    continue
             # One entry per row, item and position in the item.
-            triple = np.unique(np.stack([np.repeat(owner[at[hit]], repeat), items[which], positions[which]]), axis=1)
+            triple = np.unique(np.stack([owner[begins], items[which], positions[which]]), axis=1)
             pair_of = np.concatenate([[True], np.any(triple[:2, 1:] != triple[:2, :-1], axis=0)])
             step = np.minimum(np.diff(triple[2], append=0), length)
             step[np.append(pair_of[1:], True)] = length
