@@ -99,8 +99,8 @@ def _(spark, d):
     return C.peaks(levels, ["model_id"], "mean_log_tokens", model_fits(spark, d))
 
 
-# The check SQL lays every grid over every replicate, which bounds their number here.
-REPLICATES = 200
+# As many as the reference draws by default.
+REPLICATES = 2000
 INTERVAL_SQL = f"""pi AS (SELECT model_id, instance_id, any_value(level_value) AS level_value, count(*) AS n,
     count(*) FILTER (WHERE outcome = 'pass') AS k, sum(CAST(round(ln(completion_tokens + 1) * 1e6, 0) AS BIGINT)) AS lt
   FROM leveled WHERE outcome IN ('pass', 'fail_wrong') GROUP BY model_id, instance_id),

@@ -103,7 +103,7 @@ def _(spark, d):
     return TR.stratified_auc(ranking_rows(spark, d), ["model_id"], ["level_value", "route"], "bt_tail")
 
 
-REPLICATES = 500
+REPLICATES = 2000
 RESAMPLED_SQL = f"""cl AS (SELECT instance_id, row_number() OVER (ORDER BY ('0x' || substr(md5(instance_id), 1, 15))::BIGINT, instance_id) - 1 AS idx, count(*) OVER () AS k
   FROM (SELECT DISTINCT instance_id FROM ranked)),
 dr AS (SELECT rep, ('0x' || substr(md5('20260712|' || rep || '|' || draw), 1, 8))::BIGINT % (SELECT max(k) FROM cl) AS idx
