@@ -6,6 +6,7 @@ import corpus_pipeline
 from callmetrics.llm.chat_format import op10_chat_perspectives
 from callmetrics.llm.common import Query
 from callmetrics.llm.decontaminate import op1_benchmark_decontamination
+from callmetrics.llm.importance import op11_importance_resampling
 from callmetrics.llm.language import op5_language_id
 from callmetrics.llm.mixing import op6_source_mixing
 from callmetrics.llm.near_dedup import op8_simhash_near_dedup
@@ -26,6 +27,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_private_data": op9_private_data,
     "op10_chat_perspectives": op10_chat_perspectives,
+    "op11_importance_resampling": op11_importance_resampling,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -68,6 +70,60 @@ SELECT conv_id, part, speaker, count(*) AS n_turns, count(*) FILTER (WHERE own)
 FROM placed GROUP BY conv_id, part, speaker
 """
 
-CHECKS: dict[str, str] = {"op4_warc_round_trip": _OP4, "op10_chat_perspectives": _OP10}
+# CRC-32 of a text, byte by byte through the polynomial's table (``steps``, a column of crc_table).
+_CRC_TABLE = """crc_table AS (
+    SELECT list(v ORDER BY n) AS steps FROM (
+        SELECT n, list_reduce([n] || [0, 0, 0, 0, 0, 0, 0, 0],
+            lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v
+        FROM (SELECT range::bigint AS n FROM range(256))
+    )
+)"""
+
+
+def _crc(text: str) -> str:
+    digits = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), (2 * i + 1)::int, 2))::bigint)"
+    step = "lambda c, b: xor(steps[(xor(c, b) & 255) + 1], c >> 8)"
+    return f"xor(4294967295, list_reduce([4294967295::bigint] || {digits}, {step}))"
+
+
+_OP11 = f"""
+WITH {_CRC_TABLE}, texts AS (
+    SELECT 'd' AS side, doc_id, row_number() OVER () AS row_id, text FROM documents
+    UNION ALL SELECT 't', NULL, -row_number() OVER (), text FROM benchmark
+), words AS (
+    SELECT side, doc_id, row_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM texts
+), features AS (
+    SELECT side, row_id, unnest(w || list_transform(range(len(w) - 1), lambda i: w[i + 1] || ' ' || w[i + 2])) AS f FROM words
+), counted AS (
+    SELECT side, row_id, f, count(*) AS n FROM features GROUP BY ALL
+), hashed AS (
+    SELECT f, {_crc('f')} % 10000 AS bucket FROM (SELECT DISTINCT f FROM counted), crc_table
+), buckets AS (
+    SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 'd'), 0)::double AS s, coalesce(sum(n) FILTER (WHERE side = 't'), 0)::double AS t
+    FROM counted JOIN hashed USING (f) GROUP BY bucket
+), gains AS (
+    SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM buckets) + 10000)
+        / ((s + 1) * ((SELECT sum(t) FROM buckets) + 10000))))::bigint AS gain FROM buckets
+), sums AS (
+    SELECT row_id, sum(n)::bigint AS n_features, sum(n * gain)::bigint AS total
+    FROM counted JOIN hashed USING (f) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY row_id
+), weighed AS (
+    SELECT doc_id, row_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features,
+        coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS weight,
+        ('0x' || substr(sha256('7:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint AS h
+    FROM words LEFT JOIN sums USING (row_id) WHERE side = 'd'
+), scored AS (
+    SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint AS score FROM weighed
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scored
+)
+SELECT doc_id, n_features::bigint AS n_features, weight::bigint AS weight, score::bigint AS score,
+    CASE WHEN n_words >= 20 AND place <= 25 * (SELECT count(*) FROM scored WHERE n_words >= 20) // 100 THEN place END AS rank
+FROM placed
+"""
+
+CHECKS: dict[str, str] = {"op11_importance_resampling": _OP11, "op4_warc_round_trip": _OP4, "op10_chat_perspectives": _OP10}
 if corpus_pipeline.ORACLE_SQL is not None:
     CHECKS["pipeline"] = corpus_pipeline.ORACLE_SQL
