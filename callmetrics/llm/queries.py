@@ -10,6 +10,7 @@ from callmetrics.llm.importance import op11_importance_resampling
 from callmetrics.llm.language import op5_language_id
 from callmetrics.llm.mixing import op6_source_mixing
 from callmetrics.llm.near_dedup import op8_simhash_near_dedup
+from callmetrics.llm.prefix_trie import op13_prefix_trie
 from callmetrics.llm.private_data import op9_private_data
 from callmetrics.llm.quality import op3_quality
 from callmetrics.llm.syncmers import op2_fingerprints
@@ -28,6 +29,7 @@ QUERIES: dict[str, Query] = {
     "op9_private_data": op9_private_data,
     "op10_chat_perspectives": op10_chat_perspectives,
     "op11_importance_resampling": op11_importance_resampling,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -124,6 +126,39 @@ SELECT doc_id, n_features::bigint AS n_features, weight::bigint AS weight, score
 FROM placed
 """
 
-CHECKS: dict[str, str] = {"op11_importance_resampling": _OP11, "op4_warc_round_trip": _OP4, "op10_chat_perspectives": _OP10}
+_OP13 = f"""
+WITH {_CRC_TABLE}, turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL
+), lists AS (
+    SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) AS own FROM turns GROUP BY conv_id
+), shared AS (
+    SELECT conv_id, own, conv_id - conv_id % 100 AS base, {_crc('conv_id::varchar')} % 6 AS h FROM lists, crc_table
+), rebuilt AS (
+    SELECT s.conv_id, coalesce(b.own[1:s.h], []) || s.own[s.h + 1:] AS t FROM shared s LEFT JOIN lists b ON b.conv_id = s.base
+), paths AS (
+    SELECT conv_id, t, unnest(range(len(t) + 1)) AS depth FROM rebuilt
+), member AS (
+    SELECT conv_id, depth, len(t) = depth AS last, coalesce(length(t[depth].text), 0) AS size,
+        min(conv_id) OVER (PARTITION BY depth, t[1:depth]) AS node FROM paths
+), nodes AS (
+    SELECT node AS conv_id, depth, count(*) AS n_convs, any_value(size) AS size,
+        sha256(coalesce(string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256
+    FROM member GROUP BY node, depth
+), parents AS (
+    SELECT n.*, m.node AS parent_conv_id FROM nodes n LEFT JOIN member m ON m.conv_id = n.conv_id AND m.depth = n.depth - 1
+), children AS (
+    SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM parents WHERE depth > 0 GROUP BY ALL
+), counted AS (
+    SELECT p.*, coalesce(n_children, 0) AS n_children FROM parents p LEFT JOIN children USING (conv_id, depth)
+), sums AS (
+    SELECT m.node AS conv_id, m.depth, count(*) FILTER (WHERE c.n_children = 0) AS n_leaves, sum((c.n_convs - 1) * c.size) AS saved_tokens
+    FROM counted c JOIN member m ON m.conv_id = c.conv_id AND m.depth <= c.depth GROUP BY ALL
+)
+SELECT conv_id, depth::bigint AS depth, parent_conv_id, n_convs::bigint AS n_convs, n_children::bigint AS n_children,
+    n_leaves::bigint AS n_leaves, saved_tokens::bigint AS saved_tokens, ends_sha256
+FROM counted JOIN sums USING (conv_id, depth)
+"""
+
+CHECKS: dict[str, str] = {"op13_prefix_trie": _OP13, "op11_importance_resampling": _OP11, "op4_warc_round_trip": _OP4, "op10_chat_perspectives": _OP10}
 if corpus_pipeline.ORACLE_SQL is not None:
     CHECKS["pipeline"] = corpus_pipeline.ORACLE_SQL
