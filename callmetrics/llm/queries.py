@@ -10,6 +10,7 @@ from callmetrics.llm.importance import op11_importance_resampling
 from callmetrics.llm.language import op5_language_id
 from callmetrics.llm.mixing import op6_source_mixing
 from callmetrics.llm.near_dedup import op8_simhash_near_dedup
+from callmetrics.llm.neighbours import op12_nearest_neighbours
 from callmetrics.llm.prefix_trie import op13_prefix_trie
 from callmetrics.llm.private_data import op9_private_data
 from callmetrics.llm.quality import op3_quality
@@ -29,6 +30,7 @@ QUERIES: dict[str, Query] = {
     "op9_private_data": op9_private_data,
     "op10_chat_perspectives": op10_chat_perspectives,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
     "op13_prefix_trie": op13_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
