@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,39 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Keep:
+    """Writes tables like ``stored`` and remembers their folders until they are dropped."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __call__(self, df: DataFrame, label: str) -> DataFrame:
+        path = work_path(self.spark, label)
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = table
+        return table
+
+    def drop(self, but: DataFrame | None = None) -> None:
+        """Remove the folders of all tables but one."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in [p for p, table in self.paths.items() if table is not but]:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+            del self.paths[path]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Keep]:
+    """Intermediates that are removed at the end: nothing that is still to be
+    read, a returned table above all, may read them then."""
+    keep = Keep(spark)
+    try:
+        yield keep
+    finally:
+        keep.drop()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the table does not have yet."""
     taken = {c.lower() for c in df.columns}

@@ -5,48 +5,60 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callmetrics.llm.common import stored
+from callmetrics.llm.common import Keep, scratch, stored
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", store=stored) -> DataFrame:
     """(node, root) for every node that has a link; the root is the smallest
     node of its component.
 
     Large-star and small-star in turn: every node's neighbours are tied to the
     smallest among them, first the larger ones, then the smaller ones, until
     the links no longer change. Minima are pre-aggregated, so a node with very
-    many links costs one partial row per task. Every round is written to the
-    shared folder; the number of rounds grows with the logarithm of the nodes.
-    Null ends and links from a node to itself are left out."""
-    edges = stored(
-        links.where(f"{a} <> {b}")
-        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(),
-        "links",
-    )
-    before = None
-    while True:
-        edges = stored(_small_star(_large_star(edges)), "stars")
-        mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before:
-            break
-        before = mark
-    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return stars.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
+    many links costs one partial row per task, and written before they meet the
+    links again, so that both sides of that join are plain shuffles, in which
+    adaptive execution splits the links of such a node over tasks. Every round
+    is written to the shared folder and removed when the next one is there; the
+    number of rounds grows with the logarithm of the nodes. Null ends and links
+    from a node to itself are left out. ``store`` writes the result."""
+    with scratch(links.sparkSession) as keep:
+        edges = keep(
+            links.where(f"{a} <> {b}")
+            .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(),
+            "links",
+        )
+        mark = None
+        while (now := _mark(edges)) != mark:
+            mark, edges = now, _round(edges, keep)
+        stars = store(edges, "stars")
+    roots = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return roots.union(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _mark(edges: DataFrame):
+    return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+
+def _round(edges: DataFrame, keep: Keep) -> DataFrame:
+    large = keep(_large_star(edges, keep), "large")
+    small = keep(_small_star(large, keep), "small")
+    keep.drop(but=small)
+    return small
+
+
+def _large_star(edges: DataFrame, keep: Keep) -> DataFrame:
     """Each node's larger neighbours are linked to the least of its neighbours and itself."""
     both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return (
         both.where("v > u").join(least, "u")
         .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     )
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, keep: Keep) -> DataFrame:
     """Each node and its smaller neighbours are linked to the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = keep(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     tied = edges.join(least, "u")
     return (
         tied.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")

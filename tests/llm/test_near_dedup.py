@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from callmetrics.llm import near_dedup as N
 from callmetrics.llm.graph import connected_components
+from callmetrics.llm.near_sets import one_per_group
 from tests.llm.helpers import ODD_ROWS, docs_frame, sentence, write_documents
 
 
@@ -86,7 +87,7 @@ def test_one_document_of_each_group_stays(spark):
     text = sentence(1, 50)
     rows = [(5, text, "en", "a"), (3, text.upper(), "de", "b"), (3, text, "en", "a"), (9, sentence(2, 50), "en", "a"), *ODD_ROWS]
     docs = docs_frame(spark, rows, extra=True)
-    kept = N.one_per_group(docs)
+    kept = one_per_group(docs)
     assert kept.columns == docs.columns
     got = kept.collect()
     assert {r.score for r in got} == {"kept"} and {r.simhash for r in got} == {"kept"}
@@ -99,12 +100,12 @@ def test_groups_without_ids(spark):
     docs = docs_frame(spark, [(None, "a b c d", "en", "a"), (None, "a b c d", "en", "a"), (2, "e f g h", "en", "a")])
     narrow = N.fingerprints(docs).select("doc_id", "simhash")
     assert sorted(str(r.component_id) for r in N.components(narrow).collect()) == ["2", "None", "None"]
-    assert N.one_per_group(docs).count() == 2
+    assert one_per_group(docs).count() == 2
 
 
 def test_empty(spark):
     docs = docs_frame(spark, [])
-    assert N.one_per_group(docs).count() == 0
+    assert one_per_group(docs).count() == 0
     assert N.components(N.fingerprints(docs).select("doc_id", "simhash")).count() == 0
 
 

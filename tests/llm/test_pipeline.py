@@ -9,7 +9,7 @@ import corpus_pipeline as C
 from callmetrics.llm import mixing
 from callmetrics.llm.private_data import masked
 from tests.llm.helpers import ODD_ROWS, sentence, write_documents, write_table
-from tests.llm.test_near_dedup import groups, plain_fingerprint
+from tests.llm.test_near_copies import least_of_groups
 
 GERMAN = "der hund und die katze gehen über die straße zum fluss und schlafen dort bis zum morgen "
 
@@ -23,6 +23,7 @@ def folder(tmp_path_factory):
     rows += [(200 + i, sentence(i, 60), "en", "s9") for i in range(10)]  # copies
     rows += [(300, f"{sentence(301, 40)} {item} {sentence(302, 40)}", "en", "s1")]  # leak
     rows += [(310, f"{sentence(303, 40)} mail me@x.example or +1 (017) 555-7713", "en", "s1")]
+    rows += [(400 + i, f"{sentence(i, 60)} and one more ending", "en", "s9") for i in range(2)]  # near copies
     rows += [(320, "12 34 !!", "en", "s1"), (321, None, "en", "s1")]
     write_documents(path, rows)
     write_table(path, "benchmark", {"item_id": [1, 2, None], "text": [item, None, ""]}, [("item_id", pa.int64()), ("text", pa.string())])
@@ -32,12 +33,9 @@ def folder(tmp_path_factory):
 def test_run(spark, folder):
     path, rows = folder
     kept = [r for r in rows if r[0] not in (320, 321)]
-    parts = groups([plain_fingerprint(t) for _, t, _, _ in kept])
-    least = {}
-    for row, part in zip(kept, parts):
-        least[part] = min(least.get(part, row[0]), row[0])
-    kept = [r for r, part in zip(kept, parts) if r[0] == least[part] and r[0] != 300]
-    assert not {200, 209, 300} & {r[0] for r in kept} and {0, 9, 310} <= {r[0] for r in kept}
+    least, links = least_of_groups({i: t for i, t, _, _ in kept})
+    kept = [r for r in kept if r[0] in least and r[0] != 300]
+    assert links and not {200, 209, 300, 400, 401} & {r[0] for r in kept} and {0, 9, 310} <= {r[0] for r in kept}
     sizes = {i: len(re.findall(r"[^\x20\x09-\x0D]+", masked(t))) for i, t, _, _ in kept}
     total = {}
     for i, _, _, source in kept:
