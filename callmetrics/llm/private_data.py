@@ -15,7 +15,10 @@ parsers expand an anchor to both sides and validate what they find:
 
 Spans are code points, end exclusive. Spans of one kind never overlap; spans
 of different kinds may. A null or empty text has none. Repeated rows are
-treated alike; columns of other names are left alone.
+treated alike; columns of other names are left alone. Time follows the length of
+a text: every run of characters is read a bounded number of times, whatever
+stands in it (digits with thousands of leading zeros, a cue before thousands of
+letters, thousands of scheme marks in one token).
 """
 
 from __future__ import annotations
@@ -43,6 +46,8 @@ BASE_PATTERNS = {
 
 CUES = ("iban", "account", "acct", "konto", "compte", "cuenta", "token", "api_key", "apikey", "secret", "password")
 
+IBAN_LENGTH = 34
+
 _DIGITS = frozenset("0123456789")
 _ALNUM = _DIGITS | frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _LOCAL = _ALNUM | frozenset("._%+-")
@@ -105,6 +110,11 @@ def _ip(text: str, begin: int) -> tuple[int, int] | None:
     return begin, end
 
 
+def _octet(digits: str) -> bool:
+    """Digits without leading zeros, of any number."""
+    return len(digits) < 3 or len(digits) == 3 and digits <= "255"
+
+
 def _card(text: str, begin: int) -> int:
     """End of the digits joined by single spaces or hyphens."""
     end, size = begin + 1, len(text)
@@ -137,20 +147,38 @@ def luhn(digits: str) -> bool:
 
 def _iban(identifier: str) -> bool:
     turned = (identifier[4:] + identifier[:4]).upper()
-    return len(identifier) >= 15 and int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
+    return 15 <= len(identifier) <= IBAN_LENGTH and int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
+
+
+class _Token:
+    """End and at-signs of the token an address may be in. A token is read once
+    for all the marks in it, so marks without an address cost no second look."""
+
+    def __init__(self, text: str):
+        self.text, self.end, self.at = text, 0, 0
+
+    def bounds(self, begin: int) -> tuple[int, int]:
+        """End of the token and its first at-sign from ``begin`` on (the end, if none)."""
+        if begin > self.end or self.end == 0:
+            self.end = self.at = begin
+            while self.end < len(self.text) and self.text[self.end] not in _URL_END:
+                self.end += 1
+        if self.at < begin or self.text[self.at:self.at + 1] != "@":
+            if self.at < self.end:
+                found = self.text.find("@", max(begin, self.at), self.end)
+                self.at = self.end if found < 0 else found
+        return self.end, self.at
 
 
-def _url(text: str, mark: int, floor: int) -> tuple[int, int] | None:
+def _url(text: str, mark: int, floor: int, token: _Token) -> tuple[int, int] | None:
     begin = mark
     while begin > floor and text[begin - 1] in _SCHEME:
         begin -= 1
     while begin < mark and not (text[begin].isascii() and text[begin].isalpha()):
         begin += 1
-    end = mark + 3
-    while end < len(text) and text[end] not in _URL_END:
-        end += 1
-    user, at, rest = text[mark + 3:end].partition("@")
-    if begin == mark or not at or not user or "/" in user or not rest or rest[0] not in _ALNUM:
+    user = mark + 3
+    end, at = token.bounds(user)
+    if begin == mark or at in (user, end) or text.find("/", user, at) >= 0 or text[at + 1:at + 2] not in _ALNUM or at + 1 >= end:
         return None
     while end > mark + 4 and text[end - 1] in ".,;:!?)":
         end -= 1
@@ -166,7 +194,7 @@ def _account(text: str, cue_end: int, cue: str) -> tuple[int, int] | None:
     end = _run(text, begin, _ALNUM)
     identifier = text[begin:end]
     if cue == "iban":
-        while end < len(text) and text[end] == " " and _run(text, end + 1, _ALNUM) - end - 1 in range(1, 5) and len(identifier) < 34:
+        while end < len(text) and text[end] == " " and _run(text, end + 1, _ALNUM) - end - 1 in range(1, 5) and len(identifier) < IBAN_LENGTH:
             following = _run(text, end + 1, _ALNUM)
             if not _iban_like(identifier + text[end + 1:following]):
                 break
@@ -176,7 +204,7 @@ def _account(text: str, cue_end: int, cue: str) -> tuple[int, int] | None:
 
 
 def _iban_like(identifier: str) -> bool:
-    return len(identifier) <= 34 and any(c in _DIGITS or c.isupper() for c in identifier[-4:])
+    return len(identifier) <= IBAN_LENGTH and any(c in _DIGITS or c.isupper() for c in identifier[-4:])
 
 
 def spans_of(text: str | None) -> list[Span]:
@@ -185,6 +213,7 @@ def spans_of(text: str | None) -> list[Span]:
         return []
     found: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
     used = dict.fromkeys(KINDS, 0)  # end of the last match of each kind, dropped ones too
+    token = _Token(text)
     run_end = 0  # digits below it belong to a run that has been looked at
     for last, anchor in _anchors().iter(text):
         if anchor in _DIGITS:
@@ -198,7 +227,7 @@ def spans_of(text: str | None) -> list[Span]:
                             found["card"].append((last, end))
                 if last >= used["ip"] and (hit := _ip(text, last)):
                     used["ip"] = hit[1]
-                    if all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in text[hit[0]:hit[1]].split(".")):
+                    if all(_octet(part.lstrip("0")) for part in text[hit[0]:hit[1]].split(".")):
                         found["ip"].append(hit)
                 run_end = _run(text, last, _DIGITS)
         elif anchor == "@":
@@ -210,7 +239,7 @@ def spans_of(text: str | None) -> list[Span]:
                 if 8 <= sum(c in _DIGITS for c in text[hit[0]:hit[1]]) <= 15:
                     found["phone"].append(hit)
         elif anchor == "://":
-            if last - 2 >= used["url"] and (hit := _url(text, last - 2, used["url"])):
+            if last - 2 >= used["url"] and (hit := _url(text, last - 2, used["url"], token)):
                 used["url"] = hit[1]
                 found["url"].append(hit)
         elif last >= used["account"] and (hit := _account(text, last + 1, anchor)):
