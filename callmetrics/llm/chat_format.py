@@ -4,17 +4,20 @@ For every participant of a dialogue the whole dialogue is rendered with that
 speaker as the assistant, all others as named users and system turns as they
 are; the loss mask covers the speaker's own turns, end marker included.
 
-Turns stand in the order turn, text, role (nulls first). Dialogues with more
-than ``PART_TURNS`` turns are cut into parts of that many, and each part is
-rendered for those who speak in it: a part without a turn of the speaker has
-nothing to learn. Copies of a turn are counted before they are dealt out, the
-position of a turn comes from range totals, and a part is all that one row
-ever holds, so a dialogue with a third of all turns is spread over many tasks.
+Turns stand in the order turn, text, role (nulls first). A dialogue is given in
+parts of ``PART_TURNS`` turns, every part to every participant of the whole
+dialogue, also where they are silent: the parts of a speaker, joined in order,
+are the whole dialogue. From the second part on, ``context`` repeats the system
+turns that open the dialogue (those in its first part), to be put before the
+part when it is used alone. Copies of a turn are counted before they are dealt
+out, the position of a turn comes from range totals, and a part is all that one
+row ever holds, so a dialogue with a third of all turns is spread over many
+tasks; participants are distinct roles, pre-aggregated.
 
 A null conversation is a dialogue of its own, a null text an empty turn, a null
 role the speaker ``unknown``. A name keeps letters, digits and ``_.-``; other
-characters become ``_``. Repeated rows are repeated turns. A part in which only
-the system speaks, and an empty table, give no rows.
+characters become ``_``. Repeated rows are repeated turns. A dialogue in which
+only the system speaks, and an empty table, give no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from callmetrics.llm.common import small_batches, table
+from callmetrics.llm.common import small_batches, stored, table
 from callmetrics.operators.ordered import prefix_sums
 
 PART_TURNS = 512
@@ -92,16 +95,42 @@ def parts(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     )
 
 
+def _opening(turns: str) -> F.Column:
+    """The rendered system turns before the first other one."""
+    others = F.transform(turns, lambda t: t["role"] != SYSTEM)
+    first = F.array_position(others, True)
+    lead = F.when(first > 0, F.slice(turns, F.lit(1), F.greatest(first.cast("int") - 1, F.lit(0)))).otherwise(F.col(turns))
+    return F.array_join(F.transform(lead, lambda t: F.concat(F.lit(heading(SYSTEM, "")), t["text"], F.lit(END))), "")
+
+
 def perspectives(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
-    """(conv_id, part, speaker, n_turns, n_loss_turns, rendered, loss_spans)."""
-    speakers = F.array_distinct(F.filter(F.transform("turns", lambda t: t["role"]), lambda r: r != SYSTEM))
+    """(conv_id, part, speaker, n_turns, n_loss_turns, context, rendered, loss_spans)."""
+    cut = parts(small_batches(conversations), part_turns)
+    roles = F.array_distinct(F.filter(F.transform("turns", lambda t: t["role"]), lambda r: r != SYSTEM))
+    turns = conversations.select("conv_id", F.coalesce("role", F.lit(UNKNOWN)).alias("role"))
+    long = stored(turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part_turns).select("conv_id"), "long")
+    if long.isEmpty():  # every dialogue is one part, with all who speak in it
+        seats = cut.withColumn("speaker", F.explode(roles)).withColumn("context", F.lit(""))
+    else:
+        cut = stored(cut, "parts")
+
+        def of(other: DataFrame, name: str) -> F.Column:
+            return cut["conv_id"].eqNullSafe(other[name])
+
+        ids = long.select(F.col("conv_id").alias("long_id"))
+        speakers = turns.where(F.col("role") != SYSTEM).distinct().withColumnsRenamed({"conv_id": "seat_id", "role": "speaker"})
+        speakers = speakers.join(ids, F.col("seat_id").eqNullSafe(F.col("long_id")), "left_semi")
+        openings = cut.where("part = 0").join(ids, of(ids, "long_id"), "left_semi").select(F.col("conv_id").alias("opening_id"), _opening("turns").alias("opening"))
+        short = cut.join(ids, of(ids, "long_id"), "left_anti").withColumn("speaker", F.explode(roles)).withColumn("context", F.lit(""))
+        seats = short.unionByName(
+            cut.join(speakers, of(speakers, "seat_id")).join(openings, of(openings, "opening_id"))
+            .withColumn("context", F.when(F.col("part") > 0, F.col("opening")).otherwise("")).select(*short.columns)
+        )
     return (
-        parts(small_batches(conversations), part_turns)
-        .withColumn("speaker", F.explode(speakers))
-        .withColumn("view", _view(F.col("turns"), F.col("speaker")))
+        seats.withColumn("view", _view(F.col("turns"), F.col("speaker")))
         .select(
             "conv_id", "part", "speaker", F.size("turns").cast("long").alias("n_turns"),
-            F.size("view.loss_spans").cast("long").alias("n_loss_turns"), "view.rendered", "view.loss_spans",
+            F.size("view.loss_spans").cast("long").alias("n_loss_turns"), "context", "view.rendered", "view.loss_spans",
         )
     )
 

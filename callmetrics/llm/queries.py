@@ -51,27 +51,36 @@ SELECT page_id, octet_length(payload) AS payload_bytes,
 FROM p JOIN leaders USING (hex)
 """
 
-# Parts of 512 turns; the speaker's turns carry the loss. Nulls first, as in the operator.
+# Parts of 512 turns, each for everyone in the dialogue; the speaker's turns
+# carry the loss. Nulls first, as in the operator.
 _OP10 = """
 WITH turns AS (
     SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(text, ''), coalesce(role, 'unknown')) - 1 AS position
     FROM conversations
 ), seats AS (
-    SELECT DISTINCT conv_id, position // 512 AS part, role AS speaker FROM turns WHERE role <> 'system'
+    SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role <> 'system'
+), opened AS (
+    SELECT *, min(position) FILTER (WHERE role <> 'system') OVER (PARTITION BY conv_id) AS first FROM turns
+), openings AS (
+    SELECT conv_id, string_agg('<|im_start|>system' || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY position) AS opening
+    FROM opened WHERE position < first AND position < 512 GROUP BY conv_id
 ), lines AS (
-    SELECT t.conv_id, s.part, s.speaker, t.position, t.role = s.speaker AS own,
+    SELECT t.conv_id, t.position // 512 AS part, s.speaker, t.position, t.role = s.speaker AS own,
         CASE WHEN t.role = 'system' THEN '<|im_start|>system' WHEN t.role = s.speaker THEN '<|im_start|>assistant'
             ELSE '<|im_start|>user name=' || regexp_replace(t.role, '[^A-Za-z0-9_.-]', '_', 'g') END || chr(10) AS head,
         t.text || '<|im_end|>' || chr(10) AS body
-    FROM turns t JOIN seats s ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.position // 512 = s.part
+    FROM turns t JOIN seats s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
 ), placed AS (
     SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, speaker ORDER BY position) AS ends FROM lines
+), rendered AS (
+    SELECT conv_id, part, speaker, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_loss_turns,
+        string_agg(head || body, '' ORDER BY position) AS rendered,
+        coalesce(string_agg((ends - length(body))::bigint || ':' || ends::bigint, ',' ORDER BY position) FILTER (WHERE own), '') AS loss_spans
+    FROM placed GROUP BY conv_id, part, speaker
 )
-SELECT conv_id, part, speaker, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_loss_turns,
-    string_agg(head || body, '' ORDER BY position) AS rendered,
-    string_agg((ends - length(body))::bigint || ':' || ends::bigint, ',' ORDER BY position) FILTER (WHERE own) AS loss_spans
-FROM placed GROUP BY conv_id, part, speaker
+SELECT r.*, CASE WHEN part > 0 THEN coalesce(opening, '') ELSE '' END AS context
+FROM rendered r LEFT JOIN openings o ON r.conv_id IS NOT DISTINCT FROM o.conv_id
 """
 
 # CRC-32 of a text, byte by byte through the polynomial's table (``steps``, a column of crc_table).
