@@ -3,9 +3,18 @@
 A window of ``K`` bytes is a closed syncmer if the smallest hash among its
 ``W`` inner strings of ``S`` bytes stands first or last. Whether a window is
 chosen depends on the window alone, so equal passages have equal anchors
-wherever they stand; ``anchors`` gives them with their positions. The
-fingerprint is the ``KEPT`` smallest 32-bit hashes of a text's anchors in hex,
-and the likeness of two is the estimated share of common anchors (Jaccard).
+wherever they stand. Of any ``W - 1`` windows in a row at least one is chosen;
+as every byte is in ``K`` windows, no change of a byte goes past all anchors.
+
+The fingerprint is all of a text's anchors in order, each as its distance from
+the one before (two hex digits) and the first 32 bits of its hash (eight). It
+grows with the text: about six digits for ten bytes.
+
+The likeness of two fingerprints is positional. Equal anchors (the n-th of a
+hash in one with the n-th of it in the other) are aligned by the longest chain
+that ascends in both; the stretches that the chain's windows cover in both,
+over all that the windows of either cover, is the likeness. A passage that was
+moved leaves the chain, so it counts less than one that stayed.
 
 A text without an anchor (shorter than a window, or none chosen) has one over
 its whole bytes. Null counts as empty; empty texts have the empty fingerprint,
@@ -15,6 +24,8 @@ fingerprints.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,9 +38,10 @@ from callmetrics.llm.common import cut_points, small_batches, table
 from callmetrics.llm.kernels import mix, pieces, span_hashes, text_buffer
 from callmetrics.session import parallelism
 
-S, W = 8, 17
+S, W = 8, 33
 K = S + W - 1
-KEPT = 64
+
+ANCHOR = np.dtype([("gap", "u1"), ("hash", ">u4")])
 
 
 def syncmers(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,14 +51,16 @@ def syncmers(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if len(data) >= K:
         inner = mix(np.ndarray((len(data) - S + 1,), "<u8", np.ascontiguousarray(data), strides=(1,)).astype(np.uint64))
         least = inner
-        for reach in (1, 2, 4, 8):
+        for reach in (1, 2, 4, 8, 16):
             least = np.minimum(least[:-reach], least[reach:])
-        least = np.minimum(least[:-1], least[1:])  # over W = 17
+        least = np.minimum(least[:-1], least[1:])  # over W = 33
         starts = np.flatnonzero((inner[:len(least)] == least) | (inner[W - 1:] == least))
         rows = np.searchsorted(edges, starts, "right") - 1
         whole = starts + K <= edges[rows + 1]
         starts, rows = starts[whole], rows[whole]
-        hashes = mix(inner[starts] + mix(inner[starts + S]) * np.uint64(3) + mix(inner[starts + 2 * S]) * np.uint64(5))
+        hashes = inner[starts]
+        for part in range(S, K, S):  # the whole window
+            hashes = mix(hashes * np.uint64(3) + inner[starts + part])
     bare = np.flatnonzero((np.bincount(rows, minlength=len(edges) - 1) == 0) & (edges[1:] > edges[:-1]))
     if len(bare):
         rows, starts = np.concatenate([rows, bare]), np.concatenate([starts, edges[bare]])
@@ -57,32 +71,88 @@ def syncmers(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def sketches(data: np.ndarray, edges: np.ndarray) -> list[np.ndarray]:
-    """The smallest anchor hashes of each row."""
-    rows, _, hashes = syncmers(data, edges)
-    keys = np.unique((rows.astype(np.uint64) << np.uint64(32)) | (hashes >> np.uint64(32)))
-    bounds = np.searchsorted(keys, np.arange(len(edges), dtype=np.uint64) << np.uint64(32))
-    return [keys[a:min(b, a + KEPT)].astype(">u4") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-
-
-def _all_sketches(text: pa.Array) -> list[str]:
+    """Each row's anchors in order."""
+    rows, starts, hashes = syncmers(data, edges)
+    found = np.zeros(len(rows), ANCHOR)
+    begins = np.searchsorted(rows, np.arange(len(edges)))
+    at = starts - edges[rows]
+    gaps = np.diff(at, prepend=0)
+    filled = begins[:-1][begins[:-1] < begins[1:]]
+    gaps[filled] = at[filled]
+    found["gap"], found["hash"] = gaps, hashes >> np.uint64(32)
+    return [found[a:b] for a, b in zip(begins[:-1].tolist(), begins[1:].tolist())]
+
+
+def _all_sketches(text: pa.Array) -> list[np.ndarray]:
     data, edges = text_buffer(text)
-    return [s.tobytes().hex() for _, _, part, bounds in pieces(data, edges) for s in sketches(part, bounds)]
+    return [s for _, _, part, bounds in pieces(data, edges) for s in sketches(part, bounds)]
+
+
+def _hex(sketch: np.ndarray) -> str:
+    return sketch.tobytes().hex()
+
+
+def _numbered(hashes: np.ndarray) -> np.ndarray:
+    """Every hash with the number of its occurrence below it."""
+    order = np.argsort(hashes, kind="stable")
+    ordered = hashes[order].astype(np.uint64)
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    number = np.arange(len(hashes)) - np.repeat(first, np.diff(np.append(first, len(hashes))))
+    out = np.zeros(len(hashes), np.uint64)
+    out[order] = ordered << np.uint64(32) | number.astype(np.uint64)
+    return out
+
+
+def _ascending(values: list[int]) -> list[int]:
+    """Positions of a longest strictly ascending part."""
+    ends, at, before = [], [], []
+    for i, value in enumerate(values):
+        place = bisect_left(ends, value)
+        before.append(at[place - 1] if place else -1)
+        if place == len(ends):
+            ends.append(value)
+            at.append(i)
+        else:
+            ends[place], at[place] = value, i
+    chain, i = [], at[-1] if at else -1
+    while i >= 0:
+        chain.append(i)
+        i = before[i]
+    return chain[::-1]
+
+
+def aligned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the aligned anchors of two sketches, in both texts."""
+    _, i, j = np.intersect1d(_numbered(a["hash"]), _numbered(b["hash"]), assume_unique=True, return_indices=True)
+    order = np.argsort(i)
+    i, j = i[order], j[order]
+    if np.any(j[1:] < j[:-1]):
+        chain = _ascending(j.tolist())
+        i, j = i[chain], j[chain]
+    return np.cumsum(a["gap"], dtype=np.int64)[i], np.cumsum(b["gap"], dtype=np.int64)[j]
+
+
+def _likeness(a: np.ndarray, b: np.ndarray) -> float:
+    if len(a) == len(b) and np.array_equal(a, b):
+        return 1.0
+    if not len(a) or not len(b):
+        return 0.0
+    left, right = aligned(a, b)
+    if not len(left):
+        return 0.0
+    covered = K + int(np.minimum(np.minimum(np.diff(left), np.diff(right)), K).sum())
+    spans = sum(int(x["gap"][1:].sum(dtype=np.int64)) + K for x in (a, b))
+    return covered / (spans - covered)
 
 
 def likeness(a: str | None, b: str | None) -> float:
-    """Share of common anchors among the smallest of both."""
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    left, right = ({x[i:i + 8] for i in range(0, len(x), 8)} for x in (a, b))
-    least = sorted(left | right)[:KEPT]
-    return sum(x in left and x in right for x in least) / len(least)
+    """Positional likeness of two fingerprints, 0 to 1."""
+    return _likeness(*(np.frombuffer(bytes.fromhex(x or ""), ANCHOR) for x in (a, b)))
 
 
 @F.arrow_udf(StringType())
 def fingerprint(text: pa.Array) -> pa.Array:
-    return pa.array(_all_sketches(text), pa.string())
+    return pa.array([_hex(s) for s in _all_sketches(text)], pa.string())
 
 
 _LIKENESS = [
@@ -100,7 +170,10 @@ def _compared(text: pa.Array, edited: pa.Array, following: pa.Array) -> pa.Array
     strange = [i for i, same in enumerate(known) if not same]
     found = dict(zip(strange, _all_sketches(following.take(pa.array(strange, pa.int64())))))
     after = [own[i + 1] if same else found[i] for i, same in enumerate(known)]
-    columns = (own, other, [likeness(a, b) for a, b in zip(own, other)], [likeness(a, b) for a, b in zip(own, after)])
+    columns = (
+        [_hex(s) for s in own], [_hex(s) for s in other],
+        [_likeness(a, b) for a, b in zip(own, other)], [_likeness(a, b) for a, b in zip(own, after)],
+    )
     return pa.StructArray.from_arrays(
         [pa.array(v, t) for v, (_, _, t) in zip(columns, _LIKENESS)], fields=[pa.field(n, t) for n, _, t in _LIKENESS]
     )

@@ -43,9 +43,81 @@ def test_anchors_are_context_free():
     assert first and all(second[s + shift] == h for s, h in first.items())
 
 
+def prints(*texts):
+    data, edges = text_buffer(pa.array(texts))
+    return [S._hex(s) for s in S.sketches(data, edges)]
+
+
+def plain_likeness(a, b):
+    """Longest common chain by quadratic dynamic programming over numbered anchors."""
+    def anchors(text):
+        seen, out = {}, []
+        data = (text or "").encode()
+        for start in plain_starts(text):
+            window = data[start:start + S.K] if len(data) >= S.K else data
+            seen[window] = seen.get(window, 0) + 1
+            out.append((window, seen[window]))
+        return out
+
+    left, right = anchors(a), anchors(b)
+    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+    for i, x in enumerate(left):
+        for j, y in enumerate(right):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
 def test_likeness():
-    assert S.likeness("", "") == 1 and S.likeness("", "00000001") == 0 and S.likeness(None, None) == 1
-    assert S.likeness("0000000100000002", "0000000200000003") == pytest.approx(1 / 3)
+    assert S.likeness("", "") == 1 and S.likeness("", "0000000001") == 0 and S.likeness(None, None) == 1
+    one, two, three = ("00000000aa", "10000000bb", "10000000cc")
+    assert S.likeness(one + two, one + three) == pytest.approx(S.K / (2 * (S.K + 16) - S.K))
+    assert S.likeness(one + two, one + two + three) == pytest.approx((S.K + 16) / (2 * S.K + 48 - S.K - 16))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_alignment_is_the_longest_common_chain(seed):
+    rng = random.Random(seed)
+    blocks = [sentence(100 * seed + i, 12) for i in range(8)] + ["ab" * 60]
+    a, b = (" ".join(rng.choices(blocks, k=6)) for _ in range(2))
+    data, edges = text_buffer(pa.array([a, b]))
+    left, right = S.sketches(data, edges)
+    at, to = S.aligned(left, right)
+    assert (np.diff(at) > 0).all() and (np.diff(to) > 0).all()
+    assert all(a.encode()[i:i + S.K] == b.encode()[j:j + S.K] for i, j in zip(at.tolist(), to.tolist()))
+    assert len(at) == plain_likeness(a, b)
+
+
+def test_no_edit_goes_unseen_and_moves_count_less():
+    import pyarrow.parquet as pq
+
+    given = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()
+    long = [t for t in given if len(t) > 20_000]
+    assert len(long) > 40
+    for number, text in enumerate(long):
+        rng = random.Random(number)
+        at = rng.randrange(100, len(text) - 5000)
+        edited = text[:at] + "".join("~" if c != "~" else "-" for c in text[at:at + 20]) + text[at + 20:]
+        single = text[:at] + ("~" if text[at] != "~" else "-") + text[at + 1:]
+        moved = text[:at] + text[at + 2000:at + 4000] + text[at:at + 2000] + text[at + 4000:]
+        own, *others = prints(text, edited, single, moved)
+        same, edit, letter, move = (S.likeness(own, x) for x in (own, *others))
+        if text[at:at + 2000] != text[at + 2000:at + 4000]:
+            assert same == 1 > max(letter, edit) >= min(letter, edit) > move > 0.4, (number, letter, edit, move)
+            # Of anchors that occur once, only those whose windows touch the edit are others.
+            data, edges = text_buffer(pa.array([text, edited]))
+            low, high = len(text[:at].encode()), len(text[:at + 20].encode())
+            left, right = S.sketches(data, edges)
+            kept, _ = S.aligned(left, right)
+            _, which, count = np.unique(left["hash"], return_inverse=True, return_counts=True)
+            starts = np.cumsum(left["gap"], dtype=np.int64)
+            assert len(kept) < len(starts)
+            lost = np.setdiff1d(starts[count[which] == 1], kept)
+            assert (lost > low - S.K).all() and (lost < high).all()
+
+
+def test_likeness_of_long_repetitive_texts():
+    a, b, c = prints("ab" * 100_000, "ab" * 100_000 + "c", "ba" * 50_000)
+    assert S.likeness(a, b) > 0.99 and 0.45 < S.likeness(a, c) < 0.55
 
 
 def check(rows, got):
@@ -95,5 +167,5 @@ def test_likeness_falls_with_the_share_of_common_text():
     rng = random.Random(4)
     base = sentence(9, 400)
     data, edges = text_buffer(pa.array([base, base[:1500] + sentence(rng.randrange(99), 150), sentence(77, 400)]))
-    a, b, c = (s.tobytes().hex() for s in S.sketches(data, edges))
+    a, b, c = map(S._hex, S.sketches(data, edges))
     assert S.likeness(a, b) > 0.3 > 0.1 > S.likeness(a, c)
