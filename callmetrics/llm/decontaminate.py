@@ -12,15 +12,16 @@ catches reordered passages.
    coverage (tiles cannot cover more, so nothing is lost).
 2. Tiling: running Karp-Rabin with a search length that begins long and is
    halved. In each pass the longest matches are marked first; a match that a
-   longer one has cut is tried again with what is left of it.
+   longer one has cut is tried again with what is left of it. Only the begins of
+   matches are laid out, so texts that repeat themselves cost a pair for each
+   diagonal they share and not for each pair of equal tokens.
 
 The benchmark is the query set. It is read in blocks of at most
 ``BLOCK_BYTES`` of text, each a broadcast index of bounded size, and all
 documents pass every block; their texts are never shuffled.
 
-An item with fewer tokens than a tile has to be found whole: anywhere in the
-document if it has a token of a script without spaces, or else as the document's
-only tokens. An item without a token never leaks. Null texts count as empty. A
+An item with fewer tokens than a tile has to be found whole, as one run anywhere
+in the document. An item without a token never leaks. Null texts count as empty. A
 repeated item or document row gives repeated result rows. A single item longer
 than a block is a block of its own.
 """
@@ -48,7 +49,7 @@ Tile = tuple[int, int, int]  # item position, document position, length
 
 def tokens_of(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of lower-case texts, and the row of each."""
-    starts, ends, rows, _ = _token_spans(data, edges)
+    starts, ends, rows = _token_spans(data, edges)
     return span_hashes(data, starts, ends), rows
 
 
@@ -71,9 +72,8 @@ def _in_ranges(values: np.ndarray, ranges: list[tuple[int, int]]) -> np.ndarray:
     return (at >= 0) & (values <= high[at])
 
 
-def _token_spans(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every token, and whether it is a code point of a
-    script without spaces."""
+def _token_spans(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every token."""
     inside = WORD[data]
     alone = ends_alone = np.zeros(0, np.int64)
     if len(data) > 2:
@@ -99,7 +99,7 @@ def _token_spans(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.nd
             np.unique(np.concatenate([ends, ends_alone, np.setdiff1d(alone, starts)])),
         )
         rows = np.searchsorted(edges, starts, "right") - 1
-    return starts, ends, rows, np.isin(starts, alone)
+    return starts, ends, rows
 
 
 def _windows(free: np.ndarray, length: int) -> np.ndarray:
@@ -110,35 +110,79 @@ def _windows(free: np.ndarray, length: int) -> np.ndarray:
     return np.flatnonzero(sums[length:] - sums[:-length] == length)
 
 
-def _scan(item, doc, free_item, free_doc, length) -> tuple[int, list[Tile]]:
-    """Maximal matches of at least ``length`` free tokens. Ends early when one
-    is more than twice as long: the search goes on from that length."""
-    hashes = []
-    for values, free in ((item, free_item), (doc, free_doc)):
-        at = _windows(free, length)
-        sums, factors = rolling_sums(values)
-        hashes.append((at, mix((sums[at + length] - sums[at]) * factors[at])))
-    (at_item, hash_item), (at_doc, hash_doc) = hashes
+def _free_run(free: np.ndarray) -> np.ndarray:
+    """How many tokens from each one on are free."""
+    taken = np.flatnonzero(~free)
+    ends = np.append(taken, len(free))
+    return ends[np.searchsorted(taken, np.arange(len(free)))] - np.arange(len(free))
+
+
+def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges [low, high), and the range each comes from."""
+    size = high - low
+    which = np.repeat(np.arange(len(low)), size)
+    return np.arange(len(which)) + np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size) if len(which) else which, which
+
+
+def _starts(item, doc, free_item, free_doc, at_item, at_doc, code_item, code_doc) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (item, document) at which a match begins: windows of equal hash
+    that no pair of equal free tokens precedes. Item windows of one hash lie by
+    the token before them, so a document window takes all but one range of them;
+    pairs further along a match are never laid out, however repetitive the texts."""
+    known, rank = np.unique(code_item, return_inverse=True)
+    before, place = np.unique(item[np.maximum(at_item - 1, 0)], return_inverse=True)
+    open_item = (at_item > 0) & free_item[np.maximum(at_item - 1, 0)]
+    width = len(before) + 1
+    key = rank * width + np.where(open_item, place, len(before))  # last: nothing before it to match
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    own = np.minimum(np.searchsorted(known, code_doc), len(known) - 1)
+    hit = np.flatnonzero(known[own] == code_doc)
+    own, at = own[hit], at_doc[hit]
+    token = doc[np.maximum(at - 1, 0)]
+    near = np.minimum(np.searchsorted(before, token), len(before) - 1)
+    same = (at > 0) & free_doc[np.maximum(at - 1, 0)] & (before[near] == token)
+    low, high = np.searchsorted(key, own * width), np.searchsorted(key, (own + 1) * width)
+    left = np.where(same, np.searchsorted(key, own * width + near), low)
+    right = np.where(same, np.searchsorted(key, own * width + near, "right"), low)
+    first, of_first = _spread(low, left)
+    second, of_second = _spread(right, high)
+    p = at_item[order[np.concatenate([first, second])]]
+    return p, at[np.concatenate([of_first, of_second])]
+
+
+def _scan(item, doc, free_item, free_doc, length) -> tuple[int, np.ndarray]:
+    """Maximal matches (item position, document position, size) of at least
+    ``length`` free tokens. None are given when one is more than twice as long:
+    the search goes on from that length."""
+    none = np.zeros((0, 3), np.int64)
+    at_item, at_doc = _windows(free_item, length), _windows(free_doc, length)
     if not len(at_item) or not len(at_doc):
-        return 0, []
-    order = np.argsort(hash_item, kind="stable")
-    low = np.searchsorted(hash_item[order], hash_doc, "left")
-    high = np.searchsorted(hash_item[order], hash_doc, "right")
-    tiles: list[Tile] = []
-    for where in np.flatnonzero(high > low):
-        q = int(at_doc[where])
-        for p in at_item[order[low[where]:high[where]]].tolist():
-            if p and q and free_item[p - 1] and free_doc[q - 1] and item[p - 1] == doc[q - 1]:
-                continue  # not maximal: found from the token before
-            size = min(len(item) - p, len(doc) - q)
-            same = (item[p:p + size] == doc[q:q + size]) & free_item[p:p + size] & free_doc[q:q + size]
-            run = size if same.all() else int(np.argmin(same))
-            if run < length:
-                continue  # equal hashes of different windows
-            if run > 2 * length:
-                return run, []
-            tiles.append((p, q, run))
-    return max((t[2] for t in tiles), default=0), tiles
+        return 0, none
+    (sums_item, factors_item), (sums_doc, factors_doc) = rolling_sums(item), rolling_sums(doc)
+
+    def code_item(at, size):
+        return (sums_item[at + size] - sums_item[at]) * factors_item[at]
+
+    def code_doc(at, size):
+        return (sums_doc[at + size] - sums_doc[at]) * factors_doc[at]
+
+    p, q = _starts(item, doc, free_item, free_doc, at_item, at_doc, code_item(at_item, length), code_doc(at_doc, length))
+    if not len(p):
+        return 0, none
+    # The end of each match by bisection over running hashes.
+    most = np.minimum(_free_run(free_item)[p], _free_run(free_doc)[q])
+    low, high = np.full(len(p), length), most
+    while np.any(low < high):
+        middle = (low + high + 1) // 2
+        same = code_item(p, middle) == code_doc(q, middle)
+        low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+    longest = int(low.max())
+    return (longest, none) if longest > 2 * length else (longest, np.stack([p, q, low], axis=1))
+
+
+def _taken(free: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(~free)])
 
 
 def tiling(item: np.ndarray, doc: np.ndarray, min_tile: int = MIN_TILE) -> list[Tile]:
@@ -151,22 +195,7 @@ def tiling(item: np.ndarray, doc: np.ndarray, min_tile: int = MIN_TILE) -> list[
         if longest > 2 * length:
             length = longest
             continue
-        queue: dict[int, list[Tile]] = {}
-        for tile in found:
-            queue.setdefault(tile[2], []).append(tile)
-        while queue:
-            size = max(queue)
-            for p, q, _ in sorted(queue.pop(size)):
-                taken = ~(free_item[p:p + size] & free_doc[q:q + size])
-                if not taken.any():
-                    free_item[p:p + size] = free_doc[q:q + size] = False
-                    tiles.append((p, q, size))
-                    continue
-                # The free stretches of a cut match are tried at their length.
-                bounds = np.flatnonzero(np.diff(np.concatenate([[1], taken.astype(np.int8), [1]])))
-                for a, b in bounds.reshape(-1, 2).tolist():
-                    if b - a >= length:
-                        queue.setdefault(b - a, []).append((p + a, q + a, b - a))
+        _mark(item, doc, free_item, free_doc, length, found, tiles)
         if length > 2 * min_tile:
             length //= 2
         elif length > min_tile:
@@ -175,6 +204,33 @@ def tiling(item: np.ndarray, doc: np.ndarray, min_tile: int = MIN_TILE) -> list[
             return sorted(tiles)
 
 
+def _mark(item, doc, free_item, free_doc, length, found, tiles: list[Tile]) -> None:
+    """Take the found matches as tiles, the longest first, or what is free of them."""
+    queue: dict[int, list] = {}
+    for size in np.unique(found[:, 2]).tolist():
+        queue[size] = [found[found[:, 2] == size, :2]]
+    while queue:
+        size = max(queue)
+        p, q = np.unique(np.concatenate(queue.pop(size)), axis=0).T
+        counts = [_taken(free)[at + size] - _taken(free)[at] for free, at in ((free_item, p), (free_doc, q))]
+        some = np.maximum(*counts) < size  # the others have nothing free
+        for p, q in zip(p[some].tolist(), q[some].tolist()):
+            taken = ~(free_item[p:p + size] & free_doc[q:q + size])
+            if not taken.any():
+                same = item[p:p + size] == doc[q:q + size]
+                if not same.all():  # equal hashes of different windows
+                    taken = ~same
+                else:
+                    free_item[p:p + size] = free_doc[q:q + size] = False
+                    tiles.append((p, q, size))
+                    continue
+            # The free stretches of a cut match are tried at their length.
+            bounds = np.flatnonzero(np.diff(np.concatenate([[1], taken.astype(np.int8), [1]])))
+            for a, b in bounds.reshape(-1, 2).tolist():
+                if b - a >= length:
+                    queue.setdefault(b - a, []).append(np.array([[p + a, q + a]]))
+
+
 @dataclass
 class BlockIndex:
     """Items of one block: their tokens, and their seeds sorted by hash."""
@@ -183,13 +239,11 @@ class BlockIndex:
     tokens: list[np.ndarray]
     vocabulary: np.ndarray
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # length: hashes, items, positions
-    spaceless: np.ndarray  # per item: it has a token of a script without spaces
 
     @classmethod
     def build(cls, rows: list[tuple], min_tile: int) -> BlockIndex:
         data, edges = text_buffer(pa.array([text for _, text in rows], pa.string()))
-        starts, ends, owner, alone = _token_spans(data, edges)
-        hashes, spaceless = span_hashes(data, starts, ends), np.bincount(owner[alone], minlength=len(rows)) > 0
+        hashes, owner = tokens_of(data, edges)
         tokens = np.split(hashes, np.searchsorted(owner, np.arange(1, len(rows))))
         seeds: dict[int, list] = {}
         for number, values in enumerate(tokens):
@@ -204,7 +258,7 @@ class BlockIndex:
             joined = [np.concatenate(column) for column in zip(*parts)]
             order = np.argsort(joined[0], kind="stable")
             ready[length] = tuple(column[order] for column in joined)
-        return cls([item_id for item_id, _ in rows], tokens, np.unique(hashes), ready, spaceless)
+        return cls([item_id for item_id, _ in rows], tokens, np.unique(hashes), ready)
 
     def leaks(self, hashes: np.ndarray, owner: np.ndarray, rows: int, min_tile: int, coverage: float) -> dict[int, list[dict]]:
         """Per row of a piece: the items that leak into it, with their tiles."""
@@ -218,21 +272,16 @@ class BlockIndex:
             at = _windows(known, length)
             at = at[owner[at] == owner[at + length - 1]]
             code = mix((sums[at + length] - sums[at]) * factors[at])
-            low, high = np.searchsorted(seeds, code, "left"), np.searchsorted(seeds, code, "right")
-            hit = np.flatnonzero(high > low)
-            if not len(hit):
+            low = np.searchsorted(seeds, code, "left")
+            hit = seeds[np.minimum(low, len(seeds) - 1)] == code
+            # Each seed of a row once, before the items' positions are laid out.
+            row, low = np.unique(np.stack([owner[at[hit]], low[hit]]), axis=1)
+            if not len(row):
                 continue
-            repeat = high[hit] - low[hit]
-            which = np.repeat(low[hit] - np.concatenate([[0], np.cumsum(repeat)[:-1]]), repeat) + np.arange(repeat.sum())
-            begins = np.repeat(at[hit], repeat)
-            if length < min_tile:  # short items of spaced words: the whole document or nothing
-                row = owner[begins]
-                fits = self.spaceless[items[which]] | (begins == edges[row]) & (edges[row + 1] == begins + length)
-                which, begins = which[fits], begins[fits]
-                if not len(which):
-                    continue
+            which, of = _spread(low, np.searchsorted(seeds, seeds[low], "right"))
             # One entry per row, item and position in the item.
-            triple = np.unique(np.stack([owner[begins], items[which], positions[which]]), axis=1)
+            triple = np.stack([row[of], items[which], positions[which]])
+            triple = triple[:, np.lexsort(triple[::-1])]
             pair_of = np.concatenate([[True], np.any(triple[:2, 1:] != triple[:2, :-1], axis=0)])
             step = np.minimum(np.diff(triple[2], append=0), length)
             step[np.append(pair_of[1:], True)] = length
