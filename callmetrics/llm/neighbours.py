@@ -18,8 +18,8 @@ a table on average. All rows are indexed.
 
 At scale. Equal vectors are one entry, with the k + 1 smallest ids that have it
 (a further copy can't be among the k nearest), so a vector that a third of all
-rows share is no hot bucket. A bucket beyond ``BLOCK_ROWS`` entries is cut into
-blocks, and a query that visits it meets each of them: nothing is dropped.
+rows share is no hot bucket. A bucket beyond ``BLOCK_ROWS`` entries, or the
+mean number of a shard, is cut into blocks, and a query that visits it meets each of them: nothing is dropped.
 Entries are dealt to shards once per table; a query goes to a shard once, with
 the list of the blocks it visits there, and leaves its k + 1 nearest. Pairs of
 query and candidate are never rows. Queries are 1 in 100 rows and stream past a
@@ -356,8 +356,9 @@ def nearest(vectors: DataFrame, asked: Column, k: int = NEIGHBOURS, tables: int
 
     entries = stored(distinct.withColumn("keys", bucket(F.col("embedding"))), "index")
     keyed = entries.select("h2", F.explode("keys").alias("key"))
-    sizes = stored(keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks")), "buckets")
     shards = max(parallelism(vectors.sparkSession), math.ceil(rows * index.tables / SHARD_ROWS), 1)
+    block_rows = max(1, min(BLOCK_ROWS, rows * index.tables // shards))  # no block is more than a mean shard
+    sizes = stored(keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks")), "buckets")
 
     def cell(block: Column) -> Column:
         return F.xxhash64("key", block)
