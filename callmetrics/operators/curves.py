@@ -18,6 +18,7 @@ from callmetrics.functions import outcomes as O
 from callmetrics.functions.hashing import uniform_long
 from callmetrics.functions.scoring import CURVE_CLIP, curve_probability, x50
 from callmetrics.operators import metrics as M
+from callmetrics.operators import resampling as RS
 
 # Ours: grid resolution. b runs from one below the lowest to one above the
 # highest level; a grows geometrically.
@@ -180,13 +181,9 @@ def curve_intervals(calls: DataFrame, replicates: int, seed: int, keys: Sequence
     index = M.materialize(M.indexed_clusters(per_instance.select("instance_id").distinct(), "instance_id"))
     count = index.count()
     # The same instances are drawn for every key, as often as there are instances.
-    times = M.bootstrap_draws(index.sparkSession, max(count, 1), replicates, seed).groupBy("rep", "idx").agg(
-        F.count(F.lit(1)).alias("times")
-    )
-    weighted = times.join(per_instance.join(index, "instance_id").drop("instance_id"), "idx")
-    cells = M.materialize(weighted.groupBy("rep", *keys, "level_value").agg(
-        *[F.sum(F.col(c) * F.col("times")).alias(c) for c in ("n", "k", "log_tokens")]
-    ))
+    drawn = RS.drawn_lists(index, count, replicates, seed)
+    rows = per_instance.join(index, "instance_id").drop("instance_id")
+    cells = M.materialize(RS.weighted_sums(rows, drawn, [*keys, "level_value"], ["n", "k", "log_tokens"], replicates).where("n > 0"))
     groups = ["rep", *keys]
     fits = M.materialize(fit_many_curves(cells.drop("log_tokens"), groups))
     means = cells.select(*groups, "level_value", F.round(F.col("log_tokens") / F.col("n") / 1e6, 6).alias("m"))

@@ -11,6 +11,7 @@ from callmetrics.functions import outcomes as O
 from callmetrics.functions import texts as X
 from callmetrics.functions import trace_kernels as K
 from callmetrics.operators import metrics as M
+from callmetrics.operators import resampling as RS
 from callmetrics.operators.ordered import quantiles
 from callmetrics.session import materialize
 
@@ -135,26 +136,21 @@ def stratified_auc(rows: DataFrame, keys: Sequence[str], strata: Sequence[str],
 
 
 def stratified_auc_interval(
-    rows: DataFrame, strata: Sequence[str], score: str, cluster: str, replicates: int, seed: int, keys: Sequence[str] = ()
+    rows: DataFrame, strata: Sequence[str], score: str, cluster: str, replicates: int, seed: int, keys: Sequence[str] = (),
+    lists=RS.drawn_lists,
 ) -> DataFrame:
-    """Resampled instances, per key; each replicate reweights the score
-    histogram, from which only the weights of drawn instances are laid out."""
+    """Resampled instances, per key. The score histogram is scanned once, its
+    rows carrying how often their instance was drawn in each replicate; ``lists``
+    says by which draws."""
     keys = list(keys)
-    histogram = rows.groupBy(cluster, *keys, *strata, F.col(score).alias("score")).agg(
+    histogram = rows.where(F.col(score).isNotNull()).groupBy(cluster, *keys, *strata, F.col(score).alias("score")).agg(
         F.sum("label").cast("bigint").alias("pos"), F.sum(1 - F.col("label")).cast("bigint").alias("neg")
     )
-    clusters = M.indexed_clusters(histogram.select(cluster).distinct(), cluster)
+    clusters = M.indexed_clusters(rows.select(cluster).distinct(), cluster)
     indexed = materialize(histogram.join(clusters, cluster).drop(cluster))
-    count = indexed.agg(F.count_distinct("idx")).first()[0]
-    draws = M.bootstrap_draws(rows.sparkSession, max(count, 1), replicates, seed).groupBy("rep", "idx").agg(
-        F.count(F.lit(1)).alias("times")
-    )
-    groups = ["rep", *keys, *strata]
-    weighted = draws.join(indexed, "idx").groupBy(*groups, "score").agg(
-        F.sum(F.col("pos") * F.col("times")).alias("pos"), F.sum(F.col("neg") * F.col("times")).alias("neg")
-    )
-    per = M.histogram_auc(materialize(weighted), groups)
-    areas = per.groupBy("rep", *keys).agg((F.sum("wins") / F.nullif(F.sum("pairs"), F.lit(0.0))).alias("auc"))
+    index = materialize(clusters.select("idx"))
+    drawn = lists(index, index.count(), replicates, seed)
+    areas = RS.resampled_areas(indexed, drawn, keys, strata, replicates)
     # One row per replicate.
     return areas.groupBy(*keys).agg(
         F.count("auc").alias("replicates"), F.round(F.percentile("auc", F.lit(0.025)), 6).alias("ci_low"),

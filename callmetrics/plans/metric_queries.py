@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from callmetrics.functions import outcomes as O
 from callmetrics.functions import scoring as X
 from callmetrics.operators import metrics as M
+from callmetrics.operators import resampling as RS
 from callmetrics.operators import status as S
 from callmetrics.plans import report as R
 from callmetrics.plans.registry import query
@@ -163,6 +164,13 @@ def _(spark, d):
     return out.select("clusters", "replicates", F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"))
 
 
+@query("me7_split_bootstrap")
+def _(spark, d):
+    """The interval by splitting: no draw is a row. Every replicate draws as many clusters as there are."""
+    out = RS.split_interval(T.predictions(spark, d), replicates=REPLICATES, seed=SEED)
+    return out.select("clusters", "replicates", *[F.round(c, 6).alias(c) for c in ("ci_low", "ci_high")], "least_draws", "most_draws")
+
+
 @query("me8_prospective_report", ctes=(*CALL_CTES, FEATURE_SQL, SCORED_SQL,
     f"pred AS (SELECT * FROM scored WHERE {IN_STUDY})", boot_sql("pred", REPLICATES, SEED)), sql=f"""
 , m AS (SELECT {METRIC_SQL}, round(avg((label - curve_prior) * (label - curve_prior)), 6) AS curve_brier FROM pred),

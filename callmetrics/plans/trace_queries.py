@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from callmetrics.functions import texts as X
 from callmetrics.operators import curves as C
+from callmetrics.operators import resampling as RS
 from callmetrics.operators import status as S
 from callmetrics.operators import traces as TR
 from callmetrics.plans.curve_queries import cells_sql, fit_sql
@@ -122,6 +123,14 @@ def _(spark, d):
     return TR.stratified_auc_interval(ranking_rows(spark, d), ["level_value", "route"], "bt_tail", "instance_id", REPLICATES, 20260712, ["model_id"])
 
 
+@query("tr3_split_interval")
+def _(spark, d):
+    """The interval by splitting, for numbers of instances that can't be drawn one by one."""
+    return TR.stratified_auc_interval(
+        ranking_rows(spark, d), ["level_value", "route"], "bt_tail", "instance_id", REPLICATES, 20260712, ["model_id"], RS.split_lists
+    )
+
+
 @query("tr4_within_instance_auc", ctes=(*CTES, RANKED_SQL, strat_sql("model_id", "instance_id", "hedge_tail")), sql=STRAT_RESULT)
 def _(spark, d):
     return TR.stratified_auc(ranking_rows(spark, d), ["model_id"], ["instance_id"], "hedge_tail")
