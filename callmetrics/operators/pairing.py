@@ -22,6 +22,22 @@ def paired_transitions(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+def paired_stage_counts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Outcome counts of each stage over the calls that both have: one pass over
+    the pairs, in which every pair counts once for either stage."""
+    key = ["instance_id", "sample_idx"]
+    pairs = before.select(*key, F.col("outcome").alias("b")).join(after.select(*key, F.col("outcome").alias("a")), key)
+    outcome = F.col("side.outcome")
+    counts = {
+        "correct": outcome == O.PASS, "silent_wrong": outcome == O.WRONG, "loud": O.is_loud(outcome),
+        "truncations": outcome == "fail_truncated", "api_errors": outcome == "error_api",
+    }
+    sides = F.array(*[F.struct(F.lit(n).alias("stage"), F.col(c).alias("outcome")) for n, c in (("before", "b"), ("after", "a"))])
+    return pairs.select(F.explode(sides).alias("side")).groupBy("side.stage").agg(
+        F.count(F.lit(1)).alias("calls"), *[F.count_if(c).alias(n) for n, c in counts.items()]
+    )
+
+
 def per_instance(calls: DataFrame, prefix: str) -> DataFrame:
     """Solve count, calls and spend of one model on each instance."""
     return calls.groupBy("instance_id").agg(

@@ -13,8 +13,10 @@ from callmetrics.operators import resampling as RS
 from callmetrics.operators import status as S
 from callmetrics.plans import report as R
 from callmetrics.plans.registry import query
-from callmetrics.plans.status_queries import CLASS_SQL, COUNTS_SQL, IN_STUDY, study
-from callmetrics.session import work_path
+from callmetrics.plans.status_queries import (
+    AFTER, BEFORE, CLASS_SQL, COUNTS_SQL, IN_STUDY, LIMITS, MAIN, MODEL, READY_SQL, STATUS_SQL, STOP_SQL, study,
+)
+from callmetrics.session import side_by_side, work_path
 from callmetrics.sources import tables as T
 from callmetrics.sources.files import load_frozen
 
@@ -171,8 +173,9 @@ def _(spark, d):
     return out.select("clusters", "replicates", *[F.round(c, 6).alias(c) for c in ("ci_low", "ci_high")], "least_draws", "most_draws")
 
 
-@query("me8_prospective_report", ctes=(*CALL_CTES, FEATURE_SQL, SCORED_SQL,
-    f"pred AS (SELECT * FROM scored WHERE {IN_STUDY})", boot_sql("pred", REPLICATES, SEED)), sql=f"""
+REPORT_CTES = (*CALL_CTES, FEATURE_SQL, SCORED_SQL,
+    f"pred AS (SELECT * FROM scored WHERE {IN_STUDY})", boot_sql("pred", REPLICATES, SEED))
+REPORT_SQL = f"""
 , m AS (SELECT {METRIC_SQL}, round(avg((label - curve_prior) * (label - curve_prior)), 6) AS curve_brier FROM pred),
 a AS (SELECT round(auc, 6) AS auc FROM ({auc_sql('pred')})),
 c AS (SELECT count(*) AS calls, {COUNTS_SQL}, round(sum(cost_microdollars)::DOUBLE / 1e6, 6) AS spend_usd FROM calls WHERE {IN_STUDY}),
@@ -184,11 +187,52 @@ SELECT CASE WHEN brier_skill_at_least_0_10 AND interval_excludes_zero AND auc_at
   brier_skill_at_least_0_10, interval_excludes_zero, auc_at_least_0_75,
   brier_skill_at_least_0_10 AND interval_excludes_zero AND auc_at_least_0_75 AS pass, CAST({REPLICATES} AS BIGINT) AS bootstrap_replicates,
   '{R.model_sha256(X.FROZEN)}' AS frozen_model_sha256, input_digest FROM g,
-  (SELECT {" || ':' || ".join(f"sum(('0x' || substr(sha256(call_id || '|' || label), {at}, 15))::BIGINT)::VARCHAR" for at in (1, 16, 31, 46))} AS input_digest FROM pred)""")
+  (SELECT {" || ':' || ".join(f"sum(('0x' || substr(sha256(call_id || '|' || label), {at}, 15))::BIGINT)::VARCHAR" for at in (1, 16, 31, 46))} AS input_digest FROM pred)"""
+
+
+@query("me8_prospective_report", ctes=REPORT_CTES, sql=REPORT_SQL)
 def report(spark, d):
     return R.prospective_report(study(T.calls(spark, d)), T.instances(spark, d), X.FROZEN, replicates=REPLICATES, seed=SEED)
 
 
+def guard_sql(main_ready: str) -> str:
+    """The report of the study, if it has stopped and is ready by ``main_ready``."""
+    head, tail = REPORT_SQL.rsplit("\nSELECT CASE WHEN", 1)
+    return head + f""",
+rp AS (SELECT CASE WHEN{tail}),
+st AS (SELECT s.*, {STOP_SQL} AS stop_reason FROM ({STATUS_SQL}) s WHERE {IN_STUDY}),
+gd AS (SELECT CASE WHEN (SELECT any_value(stop_reason) FROM st) IS NULL THEN '{R.NOT_STOPPED}'
+  WHEN NOT {main_ready} THEN '{R.NOT_READY}' END AS refused)
+SELECT refused, """ + ", ".join(
+        f"CASE WHEN refused IS NULL THEN {c} END AS {c}" for c in ("status", "completed_for_confidence", "brier_skill", "ci_low", "ci_high", "auc", "pass")
+    ) + " FROM gd, rp"
+
+
+def guarded(spark, d, before, calls_each):
+    calls = T.calls(spark, d)
+    ready = S.protocol_readiness(S.route_status(calls), MAIN, before, AFTER, calls_each).where(F.col("model_id") == MODEL).select("ready")
+    state = S.should_stop(S.study_status(study(calls)), LIMITS).select("stop_reason")
+    return R.guarded_report(study(calls), T.instances(spark, d), X.FROZEN, side_by_side(state, ready), REPLICATES, SEED)
+
+
+READY = f"(SELECT any_value(ready) FROM ({READY_SQL}) WHERE model_id = '{MODEL}')"
+
+
+@query("me8_guarded_report", ctes=REPORT_CTES, sql=guard_sql(READY))
+def _(spark, d):
+    """The report, unless the study goes on or its route has not held."""
+    return guarded(spark, d, BEFORE, 10)
+
+
+@query("me8_open_report", ctes=REPORT_CTES, sql=guard_sql("(SELECT count(*) >= 0 FROM st)"))
+def _(spark, d):
+    """The same where only the stopping rule is asked, so that the report is given once it has stopped."""
+    calls = T.calls(spark, d)
+    state = S.should_stop(S.study_status(study(calls)), LIMITS).select("stop_reason", F.lit(True).alias("ready"))
+    return R.guarded_report(study(calls), T.instances(spark, d), X.FROZEN, state, REPLICATES, SEED)
+
+
+
 SCORES = {"curve": "curve_prior", "metadata": "prediction", "trace": "trace_score", "combined": "(prediction + trace_score) / 2.0D"}
 LONG_SQL = """wide AS (SELECT *, CAST(1 + (n_chars * 31 + call_id * 17) % 89 AS DOUBLE) / 100.0 AS trace_score FROM predictions),
 long AS (SELECT call_id, label, curve_prior, 'curve' AS model, curve_prior AS prediction FROM wide

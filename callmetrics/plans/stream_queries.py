@@ -50,3 +50,13 @@ def _(spark, d):
     rows = T.upsert_log_from(live(spark, d, "lineitem"))
     table = SM.upsert_stream(rows, CALL_KEY, VERSION, work_path(spark, "upserts"))
     return table.select("instance_id", "sample_idx", "l_partkey", "outcome")
+
+
+@query("ss10_watermarked_upsert", ctes=(T.UPSERT_SQL,), sql=f"""
+SELECT instance_id, sample_idx, l_partkey, outcome FROM (
+  SELECT *, row_number() OVER (PARTITION BY {KEY_SQL} ORDER BY {DESC_SQL}) AS rn FROM upsert_log) WHERE rn = 1""")
+def _(spark, d):
+    """Every row comes twice; the ship date is the event time."""
+    rows = T.upsert_log_from(live(spark, d, "lineitem")).withColumn("shipped", F.col("l_shipdate").cast("timestamp"))
+    table = SM.upsert_within(rows.union(rows), CALL_KEY, VERSION, "shipped", "30 days", work_path(spark, "within"))
+    return table.select("instance_id", "sample_idx", "l_partkey", "outcome")

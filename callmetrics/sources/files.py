@@ -17,17 +17,22 @@ def read_json_lines(spark: SparkSession, path: str, schema: str = PREDICTION_LIN
 
 
 def load_frozen(spark: SparkSession, path: str) -> dict:
-    """One small model document, wherever Spark can read it."""
-    return json.loads("\n".join(row[0] for row in spark.read.text(path, wholetext=True).limit(1).collect()))
+    """One small model document, wherever Spark can read it. A path that holds
+    none or several is refused: which one was meant can't be told."""
+    found = spark.read.text(path, wholetext=True).limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"one model document is wanted, {'several are' if found else 'none is'} at {path}")
+    return json.loads(found[0][0])
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """Log lines with their file and a number that orders the lines of a file:
-    the block they were read from, then their place in the task."""
-    block = F.shiftleft(F.shiftright(F.col("_metadata.file_block_start"), 20), 34)
+    the byte at which the block they were read from begins, and their place in
+    the task. A file's blocks are as long as a task reads, but for the last, and
+    a line has a byte at least, so no number reaches the next block."""
     place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     return spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("log"), (block + place).alias("line_no"), "value"
+        F.col("_metadata.file_path").alias("log"), (F.col("_metadata.file_block_start") + place).alias("line_no"), "value"
     )
 
 

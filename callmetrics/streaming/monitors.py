@@ -59,6 +59,11 @@ def first_alarms(alarms: DataFrame) -> DataFrame:
     )
 
 
+def _no_rows(rows: DataFrame) -> DataFrame:
+    """What a stream without a batch leaves behind."""
+    return rows.sparkSession.createDataFrame([], rows.schema)
+
+
 def upsert_stream(rows: DataFrame, key: list[str], order: list[str], path: str) -> DataFrame:
     """Keyed upserts, merged on read: a micro-batch is reduced to its last row
     per key and written to a folder of its own, so replaying it changes
@@ -67,10 +72,40 @@ def upsert_stream(rows: DataFrame, key: list[str], order: list[str], path: str)
     def store(batch: DataFrame, batch_id: int) -> None:
         last_wins(batch, key, order).write.mode("overwrite").parquet(f"{path}/log/batch={batch_id}")
 
+    _no_rows(rows).write.mode("overwrite").parquet(f"{path}/log/batch=-1")
     run_available(rows.writeStream.outputMode("append").foreachBatch(store), f"{path}/state")
     return current_rows(rows.sparkSession, path, rows.schema, key, order)
 
 
+def upsert_within(rows: DataFrame, key: list[str], order: list[str], event_time: str, delay: str, path: str) -> DataFrame:
+    """Keyed upserts with a bound on lateness. Rows older than the watermark (the
+    newest event time seen, less the delay) take no part; replays of a row, equal
+    in key and order, are dropped while their first copy is in the state, which
+    forgets it once the watermark has passed. So the state holds the rows of one
+    delay and not of the whole stream."""
+    live = rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(dict.fromkeys([*key, *order])))
+    return upsert_stream(live, key, order, path)
+
+
+def late_rows(rows: DataFrame, event_time: str, delay: str, path: str) -> DataFrame:
+    """The rows that ``upsert_within`` leaves out as late, from the same batches:
+    those not newer than the newest event time of earlier batches less the
+    delay. A batch's newest time is stored beside it, so a replayed batch is cut
+    where it was cut first."""
+    spark = rows.sparkSession
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.agg(F.max(event_time).alias("newest")).write.mode("overwrite").parquet(f"{path}/newest/batch={batch_id}")
+        seen = spark.read.parquet(f"{path}/newest").where(F.col("batch") < batch_id)
+        mark = seen.agg((F.max("newest") - F.expr(f"INTERVAL {delay}")).alias("m")).first().m
+        late = batch.where(F.col(event_time) <= F.lit(mark)) if mark is not None else batch.limit(0)
+        late.write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+
+    _no_rows(rows).write.mode("overwrite").parquet(f"{path}/late/batch=-1")
+    run_available(rows.writeStream.outputMode("append").foreachBatch(store), f"{path}/state")
+    return spark.read.schema(rows.schema).parquet(f"{path}/late")
+
+
 def current_rows(spark: SparkSession, path: str, schema: StructType, key: list[str], order: list[str]) -> DataFrame:
     log = spark.read.parquet(f"{path}/log").select(*schema.fieldNames(), "batch")
     return last_wins(log, key, [*order, "batch"]).drop("batch")
