@@ -107,6 +107,15 @@ def parsed(head: bytes) -> dict[str, str]:
 # ---- files ---------------------------------------------------------------
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme by which Spark itself would read it. The archive
+    source runs in Python workers, which don't know the cluster's default file
+    system: to them a path without a scheme is a local file."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return found.replace("file:/", "file:///", 1) if found.startswith("file:/") and not found.startswith("file:///") else found
+
+
 def _files(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
@@ -401,7 +410,7 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
 def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive every page, then read the archives back; see the module for the method."""
     register(spark)
-    path = work_path(spark, "warc")
+    path = qualified(spark, work_path(spark, "warc"))
     with_revisits(table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(path)
     return (
         spark.read.format("warc").schema("page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
