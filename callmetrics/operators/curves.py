@@ -7,6 +7,7 @@ is laid over them; grid points are generated per reduced row.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -89,38 +90,43 @@ def fit_curves(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     return best.withColumn("x50", x50(F.col("b"), F.col("a"), F.col("lapse")))
 
 
-def _scores(level, n, k, b, a, lapse):
-    """Log-likelihood of every grid point; points along the last axis."""
+@lru_cache(maxsize=64)
+def _logs(levels: tuple[float, ...], stage: int, start: tuple[float, float, float] | None) -> tuple[np.ndarray, ...]:
+    """The points of one of the three grids of ``fit_curves`` and the logarithms
+    of both outcomes at every level; points along the last axis. They depend on
+    the levels and on where the grid lies, which many replicates share."""
+    level = np.array(levels)
+    low, high = level.min() - 1.0, level.max() + 1.0
+    if start is None:
+        grids = (
+            (low + (high - low) * np.arange(B_STEPS + 1) / B_STEPS)[:, None, None],
+            (A_LOW * np.power(A_RATIO, np.arange(A_STEPS + 1.0)))[None, :, None], np.array(LAPSES)[None, None, :],
+        )
+    else:
+        moves, lapse_moves, parts = ((FINE, LAPSE_FINE, 1.0), (LAST, LAST, 2.0))[stage - 1]
+        b0, a0, lapse0 = start
+        step, lapse_step = np.arange(-moves, moves + 1), np.arange(-lapse_moves, lapse_moves + 1)
+        grids = (
+            np.maximum(np.minimum(b0 + (high - low) / (B_STEPS * FINE) * (step / parts), high), low)[:, None, None],
+            (a0 * np.power(A_RATIO, step / (FINE * parts)))[None, :, None],
+            np.maximum(lapse0 + lapse_step * (LAPSE_STEP / parts), 0.0)[None, None, :],
+        )
+    b, a, lapse = (x.ravel() for x in np.broadcast_arrays(*grids))
     solve = (1.0 - lapse) / (1.0 + np.exp(-(a * (b - level[:, None]))))
     p = np.maximum(np.minimum(solve, 1.0 - CURVE_CLIP), CURVE_CLIP)
-    return np.round((k[:, None] * np.log(p) + (n - k)[:, None] * np.log(1.0 - p)).sum(axis=0), 6)
+    return b, a, lapse, np.log(p), np.log(1.0 - p)
 
 
 def _fit_one(level: np.ndarray, n: np.ndarray, k: np.ndarray) -> tuple[float, float, float]:
     """The three grids of ``fit_curves`` for the cells of one key."""
-    low, high = level.min() - 1.0, level.max() + 1.0
-
-    def best(b, a, lapse):
-        b, a, lapse = (x.ravel() for x in np.broadcast_arrays(b, a, lapse))
-        score = _scores(level, n, k, b, a, lapse)
+    found, levels = None, tuple(level.tolist())
+    for stage in range(3):
+        b, a, lapse, hit, miss = _logs(levels, stage, found)
+        score = np.round((k[:, None] * hit + (n - k)[:, None] * miss).sum(axis=0), 6)
         top = np.flatnonzero(score == score.max())
         pick = top[np.lexsort((lapse[top], a[top], b[top]))[0]]
-        return b[pick], a[pick], lapse[pick]
-
-    def around(found, moves, lapse_moves, parts):
-        b0, a0, lapse0 = found
-        step, lapse_step = np.arange(-moves, moves + 1), np.arange(-lapse_moves, lapse_moves + 1)
-        return best(
-            np.maximum(np.minimum(b0 + (high - low) / (B_STEPS * FINE) * (step / parts), high), low)[:, None, None],
-            (a0 * np.power(A_RATIO, step / (FINE * parts)))[None, :, None],
-            np.maximum(lapse0 + lapse_step * (LAPSE_STEP / parts), 0.0)[None, None, :],
-        )
-
-    start = best(
-        (low + (high - low) * np.arange(B_STEPS + 1) / B_STEPS)[:, None, None],
-        (A_LOW * np.power(A_RATIO, np.arange(A_STEPS + 1.0)))[None, :, None], np.array(LAPSES)[None, None, :],
-    )
-    return around(around(start, FINE, LAPSE_FINE, 1.0), LAST, LAST, 2.0)
+        found = float(b[pick]), float(a[pick]), float(lapse[pick])
+    return found
 
 
 _FIT = StructType([StructField(c, DoubleType()) for c in ("b", "a", "lapse")])
