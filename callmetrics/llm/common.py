@@ -54,6 +54,11 @@ class Keep:
         self.paths[path] = table
         return table
 
+    def all(self, tables: list[DataFrame]) -> DataFrame:
+        """Kept tables of one shape as a single scan, however many there are."""
+        paths = [path for path, table in self.paths.items() if any(table is t for t in tables)]
+        return self.spark.read.schema(tables[0].schema).parquet(*paths)
+
     def drop(self, but: DataFrame | None = None) -> None:
         """Remove the folders of all tables but one."""
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
