@@ -55,6 +55,7 @@ def fit_curves(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Maximum-likelihood (b, a, lapse) per key on a coarse grid, then on two
     finer ones around the best point."""
     keys = list(keys)
+    cells = M.materialize(cells)  # read four times
     span = cells.groupBy(*keys).agg(
         (F.min("level_value") - 1.0).alias("lo"), (F.max("level_value") + 1.0).alias("hi")
     )
@@ -213,12 +214,25 @@ def split_half(calls: DataFrame, key: str, seed: int) -> DataFrame:
         F.max(F.when(F.col("half") == 0, F.round("x50", 6))).alias("x_a"),
         F.max(F.when(F.col("half") == 1, F.round("x50", 6))).alias("x_b"),
     ).where(F.col("x_a").isNotNull() & F.col("x_b").isNotNull())
-    r = wide.agg(F.count(F.lit(1)).alias("models"), F.corr("x_a", "x_b").alias("r"))
+    r = correlated(wide, "x_a", "x_b")
     return r.select("models", F.round("r", 4).alias("pearson_r"), F.round(spearman_brown(F.col("r")), 4).alias("spearman_brown"))
 
 
+def correlated(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """(models, r): number of rows and Pearson's r, NaN where a side does not
+    vary; ``corr`` itself divides by zero there."""
+    moments = rows.agg(
+        F.count(F.lit(1)).alias("models"), F.covar_pop(x, y).alias("both"),
+        (F.stddev_pop(x) * F.stddev_pop(y)).alias("spread"),
+    )
+    r = F.greatest(F.least(F.col("both") / F.nullif(F.col("spread"), F.lit(0.0)), F.lit(1.0)), F.lit(-1.0))
+    r = F.when(F.col("spread") == 0, F.lit(M.NAN)).when(F.col("spread").isNotNull(), r)
+    return moments.select("models", r.alias("r"))
+
+
 def spearman_brown(r: Column) -> Column:
-    return 2.0 * r / (1.0 + r)
+    """Minus infinity at r = -1, where the denominator is zero."""
+    return F.when(r == -1.0, F.lit(-float("inf"))).otherwise(2.0 * r / (1.0 + r))
 
 
 def variance_split(calls: DataFrame, keys: Sequence[str], k_min: int) -> DataFrame:

@@ -322,3 +322,17 @@ def test_report_refuses_an_open_study(spark):
         final = spark.createDataFrame([state], "stop_reason string, ready boolean")
         with pytest.raises(ValueError, match=message):
             prospective_report(calls, instances, X.FROZEN, replicates=5, final=final)
+
+
+def test_split_half_without_variance(spark):
+    """Halves that are alike in every model: no correlation, and no division by zero."""
+    rows = [(m, str(i), 2.0 + i % 5, O.PASS if i % 5 < 2 else O.WRONG) for m in ("a", "b") for i in range(60)]
+    calls = spark.createDataFrame(rows, "model string, instance_id string, level_value double, outcome string")
+    found = C.split_half(calls, "model", 11).first()
+    assert found["models"] == 2 and math.isnan(found["pearson_r"]) and math.isnan(found["spearman_brown"])
+    opposed = spark.createDataFrame([(1.0, 2.0), (2.0, 1.0)], "x double, y double")
+    row = C.correlated(opposed, "x", "y").select("r", C.spearman_brown(F.col("r")).alias("sb")).first()
+    assert row["r"] == -1.0 and row["sb"] == -math.inf
+    assert C.correlated(opposed.where("x > 5"), "x", "y").first()["r"] is None
+    mixed = spark.createDataFrame([(1.0, 2.0), (2.0, 1.0), (3.0, 4.0), (4.0, 4.5)], "x double, y double")
+    assert C.correlated(mixed, "x", "y").first()["r"] == pytest.approx(mixed.agg(F.corr("x", "y")).first()[0], abs=1e-12)
