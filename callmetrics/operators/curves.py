@@ -188,9 +188,8 @@ def curve_intervals(calls: DataFrame, replicates: int, seed: int, keys: Sequence
     index = M.materialize(M.indexed_clusters(per_instance.select("instance_id").distinct(), "instance_id"))
     count = index.count()
     # The same instances are drawn for every key, as often as there are instances.
-    drawn = RS.drawn_lists(index, count, replicates, seed)
-    rows = per_instance.join(index, "instance_id").drop("instance_id")
-    cells = M.materialize(RS.weighted_sums(rows, drawn, [*keys, "level_value"], ["n", "k", "log_tokens"], replicates).where("n > 0"))
+    rows = M.materialize(per_instance.join(index, "instance_id").drop("instance_id"))
+    cells = M.materialize(RS.drawn_sums(rows, max(count, 1), [*keys, "level_value"], ["n", "k", "log_tokens"], replicates, seed).where("n > 0"))
     groups = ["rep", *keys]
     fits = M.materialize(fit_many_curves(cells.drop("log_tokens"), groups))
     means = cells.select(*groups, "level_value", F.round(F.col("log_tokens") / F.col("n") / 1e6, 6).alias("m"))

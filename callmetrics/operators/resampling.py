@@ -23,13 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from callmetrics.functions.hashing import md5_heads
 from callmetrics.operators.metrics import NAN, bootstrap_draws, cluster_sums, indexed_clusters, skill
 from callmetrics.operators.ordered import CELL, with_cell
-from callmetrics.session import materialize
+from callmetrics.session import materialize, parallelism
 
 LEAF = 64  # clusters
 BLOCK = 250  # replicates
 HELD = 2000  # groups of sums that a task holds before it gives them on
+RANGE = 1 << 14  # clusters whose draws meet their rows in one task
+PIECE = 1 << 20  # draws of a replicate that a task makes at once
+REPS_AT_ONCE = 25
 
 
 def leaf_draws(wanted: Sequence[int], clusters: int, replicates: int, seed: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -191,6 +195,75 @@ def weighted_sums(rows: DataFrame, lists: DataFrame, groups: Sequence[str], sums
     )
 
 
+def _picked(replicates: int, clusters: int, seed: int):
+    """A task's part of the md5 draws: per replicate, piece of its draws and range
+    of clusters the places in the range that were drawn, two bytes a draw."""
+    pieces = -(-clusters // PIECE)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number in batch.column(0).to_pylist():
+                rep, piece = divmod(number, pieces)
+                drawn = md5_heads(f"{seed}|{rep}|", piece * PIECE, min((piece + 1) * PIECE, clusters)) % np.uint32(clusters)
+                part = drawn // RANGE
+                order = np.argsort(part, kind="stable") if clusters > RANGE else np.arange(len(drawn))
+                parts, first = np.unique(part[order], return_index=True)
+                places = np.split((drawn % RANGE).astype(np.uint16)[order], first[1:])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(parts.astype(np.int64)), pa.array(np.full(len(parts), rep // BLOCK)), pa.array(np.full(len(parts), rep)),
+                    pa.array([p.tobytes() for p in places], pa.binary()),
+                ], names=["part", "block", "rep", "places"])
+
+    return work, replicates * pieces
+
+
+def drawn_sums(rows: DataFrame, clusters: int, groups: Sequence[str], sums: Sequence[str], replicates: int, seed: int) -> DataFrame:
+    """``weighted_sums`` by the md5 draws, for any number of clusters: draws meet
+    the rows (idx, groups and whole numbers; a few per cluster) by ranges of
+    ``RANGE`` clusters and blocks of replicates. No list of draws is kept per row;
+    what is shuffled is two bytes a draw, and a task holds one range's."""
+    groups, sums = list(groups), list(sums)
+    rows = rows.withColumn("__gid", _group_id(groups))
+    names = rows.select("__gid", *groups).distinct()
+    spark = rows.sparkSession
+    work, count = _picked(replicates, clusters, seed)
+    draws = spark.range(0, count, 1, min(count, 4 * parallelism(spark))).mapInArrow(work, "part long, block long, rep long, places binary")
+    blocks = F.sequence(F.lit(0).cast("long"), F.lit((replicates - 1) // BLOCK).cast("long"))
+    held = rows.select(
+        F.expr(f"idx div {RANGE}").alias("part"), F.explode(blocks).alias("block"), "__gid", F.expr(f"cast(idx % {RANGE} AS int)").alias("place"),
+        *[F.col(s).cast("long").alias(s) for s in sums],
+    )
+
+    def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by("__gid")
+        gid, place = left["__gid"].to_numpy(), left["place"].to_numpy()
+        values = np.stack([left[s].to_numpy() for s in sums], axis=1) if len(gid) else np.zeros((0, len(sums)), np.int64)
+        edges = np.flatnonzero(np.diff(gid)) + 1
+        owns = np.split(np.arange(len(gid)), edges) if len(gid) else []
+        rep, drawn = right["rep"].to_numpy(), right["places"]
+        whole = np.abs(values).sum(axis=0, dtype=np.float64).max(initial=0)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        wanted = np.unique(rep)
+        for at in range(0, len(wanted), REPS_AT_ONCE):
+            some = wanted[at:at + REPS_AT_ONCE]
+            times = np.zeros((len(some), RANGE))
+            for row in np.flatnonzero(np.isin(rep, some)).tolist():
+                times[np.searchsorted(some, rep[row])] += np.bincount(np.frombuffer(drawn[row].as_buffer(), np.uint16), minlength=RANGE)
+            exact = whole * times.max(initial=0) < 2**53  # doubles add up whole numbers below that exactly
+            for own in owns:
+                weights, mine = times[:, place[own]], values[own]
+                total = (weights @ mine.astype(float)).astype(np.int64) if exact else weights.astype(np.int64) @ mine
+                found.append((np.full(len(some), gid[own[0]]), some, total))
+        if not found:
+            return pa.table({c: pa.array([], pa.int64()) for c in ["__gid", "rep", *sums]})
+        total = np.concatenate([f[2] for f in found])
+        return pa.table([np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), *total.T.copy()], names=["__gid", "rep", *sums])
+
+    shape = "__gid long, rep long, " + ", ".join(f"{s} long" for s in sums)
+    met = held.groupBy("part", "block").cogroup(draws.groupBy("part", "block")).applyInArrow(add_up, shape)
+    return met.groupBy("__gid", "rep").agg(*[F.sum(s).alias(s) for s in sums]).join(names, "__gid").select("rep", *groups, *sums)
+
+
 _SCANNED = "__gid long, cell long, block long, pos array<long>, neg array<long>, twice array<double>"
 
 

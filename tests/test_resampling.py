@@ -127,3 +127,40 @@ def test_stored_tables_are_no_larger_than_the_histogram(spark, monkeypatch):
     rows = spark.range(300).selectExpr("concat('i', id % 30) AS c", "id % 4 AS s", "cast(id * 7 % 11 AS double) AS x", "id % 2 AS label")
     TR.stratified_auc_interval(rows, ["s"], "x", "c", 200, 1).collect()
     assert sizes and max(sizes) <= 300
+
+
+def test_md5_heads_are_those_of_hashlib():
+    import hashlib
+
+    from callmetrics.functions.hashing import md5_heads
+
+    for prefix, low, high in (("7|0|", 0, 1200), ("20260712|1999|", 99_990, 100_020), ("7|3|", 16_380, 16_390)):
+        want = [int(hashlib.md5(f"{prefix}{i}".encode()).hexdigest()[:8], 16) for i in range(low, high)]
+        assert md5_heads(prefix, low, high).tolist() == want
+
+
+def test_drawn_sums_by_ranges(spark, monkeypatch):
+    """Several ranges, blocks and pieces against lists of draws per cluster, whole numbers above 2**53 too."""
+    rows = spark.createDataFrame(
+        [(i, f"g{i % 3}" if i % 5 else None, i + 1, (i % 7) * 2**50) for i in range(60)] + [(7, "g9", 4, 1)], "idx long, g string, n long, big long"
+    )
+    lists = RS.drawn_lists(rows.select("idx"), 60, 300, 5)
+    want = sorted(map(tuple, RS.weighted_sums(rows, lists, ["g"], ["n", "big"], 300).where("n > 0").collect()), key=str)
+    monkeypatch.setattr(RS, "RANGE", 8)
+    monkeypatch.setattr(RS, "PIECE", 25)
+    got = RS.drawn_sums(rows, 60, ["g"], ["n", "big"], 300, 5).where("n > 0").collect()
+    assert sorted(map(tuple, got), key=str) == want
+
+
+def test_curve_intervals_keep_no_list_of_draws(spark, monkeypatch):
+    from callmetrics.operators import curves as C
+
+    def refused(*_):
+        raise AssertionError("a list of draws per cluster")
+
+    monkeypatch.setattr(RS, "drawn_lists", refused)
+    calls = spark.createDataFrame(
+        [("m", str(i), 2.0 + i % 4, "pass" if i % 4 < 2 else "fail_wrong", 100 + i) for i in range(40)],
+        "model string, instance_id string, level_value double, outcome string, completion_tokens long",
+    )
+    assert C.curve_intervals(calls, 20, 3, ["model"]).where("replicates = 20").count() == 6
