@@ -34,6 +34,7 @@ HELD = 2000  # groups of sums that a task holds before it gives them on
 RANGE = 1 << 14  # clusters whose draws meet their rows in one task
 PIECE = 1 << 20  # draws of a replicate that a task makes at once
 REPS_AT_ONCE = 25
+SCANNED_ROWS = 256  # of BLOCK counts each, several times over
 
 
 def leaf_draws(wanted: Sequence[int], clusters: int, replicates: int, seed: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -288,10 +289,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = [pa.array([k], pa.int64()) for k in key] + [pa.array([pos.tolist()]), pa.array([neg.tolist()]), pa.array([twice.tolist()])]
         return pa.RecordBatch.from_arrays(arrays, names=["__gid", "cell", "block", "pos", "neg", "twice"])
 
-    for batch in batches:
+    for batch in (whole.slice(at, SCANNED_ROWS) for whole in batches for at in range(0, whole.num_rows, SCANNED_ROWS)):
         gid, cell, block, score, up, down = (batch.column(i).to_numpy() for i in range(6))
-        if not len(gid):
-            continue
         weights = _weights(batch)
         change = np.flatnonzero((np.diff(gid) != 0) | (np.diff(cell) != 0) | (np.diff(block) != 0)) + 1
         for own in np.split(np.arange(len(gid)), change):

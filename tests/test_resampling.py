@@ -164,3 +164,30 @@ def test_curve_intervals_keep_no_list_of_draws(spark, monkeypatch):
         "model string, instance_id string, level_value double, outcome string, completion_tokens long",
     )
     assert C.curve_intervals(calls, 20, 3, ["model"]).where("replicates = 20").count() == 6
+
+
+def test_scan_holds_few_rows_of_a_batch():
+    """A full Arrow batch of 10,000 rows: memory follows the rows scanned at once, and sums don't change."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    rows = 10_000
+    drawn = pa.array([rng.integers(0, RS.BLOCK, 20).astype(np.int32) for _ in range(rows)], pa.list_(pa.int32()))
+    zero = np.zeros(rows, np.int64)
+    columns = [zero, zero, zero, np.sort(rng.integers(0, 900, rows)) / 10, rng.integers(0, 2, rows), rng.integers(0, 2, rows)]
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, columns), drawn], names=["__gid", "cell", "block", "score", "pos", "neg", "drawn"])
+    tracemalloc.start()
+    (found,) = RS._scan(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30_000_000
+    weights = RS._weights(batch)
+    pos, neg = columns[4][:, None] * weights, columns[5][:, None] * weights
+    score = columns[3]
+    first = np.searchsorted(score, score, "left")
+    last = np.searchsorted(score, score, "right")
+    upto = np.concatenate([np.zeros((1, RS.BLOCK), np.int64), np.cumsum(neg, axis=0)])
+    assert found["pos"][0].as_py() == pos.sum(axis=0).tolist() and found["neg"][0].as_py() == neg.sum(axis=0).tolist()
+    assert found["twice"][0].as_py() == (pos * (upto[first] + upto[last])).sum(axis=0).tolist()
