@@ -1,13 +1,11 @@
 """Trace words and the frozen risk policy.
 
-Whole traces are scored in ``trace_kernels``; the columns here cut them into
-chunks for the live trigger and read the trigger off a trace's scores.
+Traces are cut into words, and scored, in ``trace_kernels``; the column here
+reads the trigger off a trace's scores.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,28 +24,6 @@ TAIL, HEDGE_TAIL, LAST = 0.3, 0.15, 0.1
 # Ours: shingle lengths of the repetition features; four is the published one.
 LONG_SHINGLE, SHINGLE = 6, 4
 
-
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once. Inside a lambda a column
-    is otherwise computed again for every element."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def words(text: Column) -> Column:
-    """Lower-case words; a question mark is a word of its own."""
-    spaced = F.translate(F.lower(F.coalesce(text, F.lit(""))), PUNCTUATION, " " * len(PUNCTUATION))
-    return F.filter(F.split(F.replace(spaced, F.lit("?"), F.lit(" ? ")), r"[ \t\n\r\f]+"), lambda w: w != "")
-
-
-def between(array: Column, first: Column, count: Column | int) -> Column:
-    """``count`` elements from the one-based ``first`` on, read by position:
-    inside a lambda a slice would copy the whole array every time."""
-    last = first + count - 1
-    return F.when(
-        last >= first, F.transform(F.sequence(first, F.greatest(last, first)), lambda i: F.element_at(array, i))
-    ).otherwise(F.slice(array, 1, 0))
-
-
 # The frozen live-risk policy.
 WINDOW_WORDS, CHUNK_WORDS, MIN_WORDS, THRESHOLD = 320, 40, 80, 4.0
 # Ours: points per marker and per repeated four-word shingle.

@@ -8,7 +8,7 @@ the window too, so every shingle is looked up once whatever the windows.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -132,6 +132,48 @@ def rolling_scores_udf(lexicon: Mapping[str, Sequence[str]], chunk_sizes: Sequen
     return lambda text: once(F.lower(text))
 
 
+PIECE_WORDS = 1 << 16
+CHUNKS = "call_id bigint, chunk bigint, words binary, points bigint"
+
+
+def chunker(lexicon: Mapping[str, Sequence[str]], chunk_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of (call_id, lower-case text) to a row per full chunk, a few
+    texts at a time: its number, its words' hashes and its points."""
+    families = _hashed(lexicon)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            calls = batch.column(0)
+            for row, _, part, bounds in pieces(*text_buffer(batch.column(1))):
+                words = Words.of(part, bounds)
+                counts = words.sizes // chunk_words
+                offsets = sums_before(counts)
+                chunk = np.arange(offsets[-1]) - np.repeat(offsets[:-1], counts)
+                begin = np.repeat(words.edges[:-1], counts) + chunk * chunk_words
+                marked = sums_before(_points(words, families))
+                held = words.hashes[begin[:, None] + np.arange(chunk_words)]
+                edges = np.arange(len(begin) + 1, dtype=np.int32) * np.int32(8 * chunk_words)
+                yield pa.RecordBatch.from_arrays([
+                    calls.take(pa.array(row + np.repeat(np.arange(len(counts)), counts))), pa.array(chunk, pa.int64()),
+                    pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(edges), pa.py_buffer(held)]),
+                    pa.array(marked[begin + chunk_words] - marked[begin], pa.int64()),
+                ], names=["call_id", "chunk", "words", "points"])
+
+    return cut
+
+
+def chunk_scores(hashes: Sequence[np.ndarray], points: Sequence[np.ndarray], chunk_words: int) -> list[np.ndarray]:
+    """``rolling_scores`` of rows given by their full chunks: the words' hashes
+    and the points of each chunk. Some rows at a time, as windows overlap."""
+    found = []
+    for first, stop, part, bounds in pieces(np.concatenate(hashes), sums_before([len(h) for h in hashes]), PIECE_WORDS):
+        words, worth = Words(part, bounds), np.zeros(len(part), np.int64)
+        worth[::chunk_words] = np.concatenate(points[first:stop])
+        scores, offsets = rolling_scores(words, worth, previous(words, X.SHINGLE), chunk_words)
+        found += np.split(scores, offsets[1:-1])
+    return found
+
+
 def repetition(words: Words, first: np.ndarray, k: int) -> np.ndarray:
     """Share of repeated shingles from ``first`` to the end of every row."""
     before, rows = previous(words, k), words.rows
